@@ -16,12 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from chromaspark.analysis.pca import pca
-from chromaspark.functions.columns import col, zero_filled
+from chromaspark.functions.columns import col, features_as
 from chromaspark.functions.nearest import nearest
 from chromaspark.functions.reuse import cut_lineage, fits_rows, keep
 from chromaspark.operators.lookup import lookup_join
 from chromaspark.operators.neighbours import as_vectors, distinct_vectors
-from chromaspark.schema import RUN_ID
+from chromaspark.schema import RUN_ID, quoted
 
 POSITION_ROWS = 500_000  # positions broadcast below this count, shuffled above
 GRID = {2: 64, 3: 16}  # cells per axis; at most 4,096 cells
@@ -129,7 +129,7 @@ class Layout:
         dims = [c for c in self.positions.columns if c.startswith("e")]
         alias = {f: f"_f{i}" for i, f in enumerate(self.features)}
         named = keep(self.leaves.join(self.positions, "id").withColumnsRenamed(alias).select(*alias.values(), *dims))
-        rows = df.select(col(key), *[zero_filled(f).alias(a) for f, a in alias.items()])
+        rows = df.selectExpr(quoted(key), *features_as(list(alias), list(alias.values())))
         return lookup_join(rows, named, list(alias.values()), "inner", spread=F.xxhash64(col(key))).select(col(key), *dims)
 
 
@@ -193,7 +193,7 @@ def _advance(state: DataFrame, pulls: DataFrame, dims: int, small: bool, move) -
     """Join pulls to points and let ``move`` (NumPy, per batch) produce the next state."""
     es, us, gs = ([f"{p}{c + 1}" for c in range(dims)] for p in "eug")
     pulls = F.broadcast(pulls) if small else pulls
-    joined = state.join(pulls, "id", "left").fillna(0.0)
+    joined = state.select("id", *es, *us, *gs).join(pulls, "id", "left").fillna(0.0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

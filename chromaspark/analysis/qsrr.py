@@ -33,7 +33,7 @@ class QsrrFit:
 
     def points(self, df: DataFrame, key: str = RUN_ID) -> DataFrame:
         """Actual and fitted value of every run with a known target."""
-        known = df.where(clean_double(col(self.target)).isNotNull())
+        known = df.where(clean_double(self.target).isNotNull())
         return self.model.predict(known).select(
             col(key), col(self.target).alias("actual"), F.col("prediction").alias("fitted")
         )
@@ -45,7 +45,7 @@ def qsrr(df: DataFrame, features: list[str], y: str = RETENTION) -> QsrrFit:
     Rows without a target are left out and counted.
     """
     g: Gram = gram(df, features, y)
-    missing = df.where(clean_double(col(y)).isNull()).count()
+    missing = df.where(clean_double(y).isNull()).count()
     model = fit_linear("LR", g, {}, scaled=False)
     error = sse(g, np.array(model.coef), model.intercept)
     r2 = 1.0 - error / g.yy if g.yy > 0 else None

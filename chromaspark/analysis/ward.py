@@ -13,12 +13,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from chromaspark.functions.columns import col, zero_filled
+from chromaspark.functions.columns import col, features_as
 from chromaspark.functions.nearest import nearest, pair_hash
 from chromaspark.functions.reuse import cut_lineage, keep
 from chromaspark.operators.lookup import lookup_join
 from chromaspark.operators.neighbours import as_vectors, distinct_vectors
-from chromaspark.schema import RUN_ID
+from chromaspark.schema import RUN_ID, quoted
 
 MERGES = "left bigint, right bigint, height double, size double, round int"
 TAIL = 256
@@ -156,5 +156,5 @@ def ward_labels(tree: WardTree, df: DataFrame, k: int = 2, key: str = RUN_ID) ->
     leaf = up.join(F.broadcast(numbers), "up").select("id", "cluster")
     alias = {f: f"_f{i}" for i, f in enumerate(tree.features)}
     named = keep(tree.leaves.join(leaf, "id").withColumnsRenamed(alias).select(*alias.values(), "cluster"))
-    rows = df.select(col(key), *[zero_filled(f).alias(a) for f, a in alias.items()])
+    rows = df.selectExpr(quoted(key), *features_as(list(alias), list(alias.values())))
     return lookup_join(rows, named, list(alias.values()), "inner", spread=F.xxhash64(col(key))).select(col(key), "cluster")

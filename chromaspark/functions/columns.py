@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 from chromaspark.schema import quoted
@@ -14,30 +12,49 @@ def col(name: str) -> Column:
     return F.col(quoted(name))
 
 
-def to_number(c: Column) -> Column:
+def number(name: str) -> str:
+    """SQL text: column as double with NaN turned into NULL, so aggregates skip it."""
+    return f"nanvl(cast({quoted(name)} AS double), cast(NULL AS double))"
+
+
+def zero(name: str) -> str:
+    """SQL text: feature value as double, missing values as 0."""
+    return f"coalesce({number(name)}, 0D)"
+
+
+def double(value: float) -> str:
+    """SQL text of a double literal."""
+    return f"{float(value)!r}D"
+
+
+# Expressions are built as SQL text where there are many of them: one call instead of one per node.
+
+
+def to_number(name: str) -> Column:
     """Text to double; anything that is not a plain number becomes NULL.
 
     The pattern keeps out Java-only spellings such as ``1d`` that a cast would accept.
     """
-    text = F.trim(c.cast("string"))
-    plain = text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-    return F.when(plain, text.try_cast("double"))
+    text = f"trim(cast({quoted(name)} AS string))"
+    plain = r"r'^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$'"
+    return F.expr(f"CASE WHEN {text} RLIKE {plain} THEN try_cast({text} AS double) END")
 
 
-def clean_double(c: Column) -> Column:
-    """Numeric column with NaN turned into NULL, so SQL aggregates skip it."""
-    return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
+def clean_double(name: str) -> Column:
+    return F.expr(number(name))
 
 
 def zero_filled(name: str) -> Column:
-    """Feature value as double, missing values as 0."""
-    return F.coalesce(clean_double(col(name)), F.lit(0.0))
+    return F.expr(zero(name))
+
 
+def hash_text(key: str, seed: int) -> str:
+    """SQL text of a portable 32-bit hash of ``seed:key``, equal in every engine that has md5."""
+    return f"cast(conv(substring(md5(concat('{seed}:', cast({quoted(key)} AS string))), 1, 8), 16, 10) AS bigint)"
 
-def hash32(key: Column, seed: int) -> Column:
-    """Portable 32-bit hash of ``seed:key``: equal in every engine that has md5."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+
+def hash32(key: str, seed: int) -> Column:
+    return F.expr(hash_text(key, seed))
 
 
 def complement(organic: Column, n_solvents: int) -> Column:
@@ -65,10 +82,15 @@ def residual(actual: Column, predicted: Column) -> Column:
 
 def dot(names: list[str], weights, bias: float = 0.0) -> Column:
     """Linear form over zero-filled features with literal weights."""
-    terms = [zero_filled(n) * F.lit(float(w)) for n, w in zip(names, weights)]
-    return reduce(lambda a, b: a + b, terms, F.lit(float(bias)))
+    terms = [double(bias), *[f"{zero(n)} * {double(w)}" for n, w in zip(names, weights)]]
+    return F.expr(" + ".join(terms))
 
 
 def feature_array(names: list[str]) -> Column:
     """Zero-filled features as ``array<double>``."""
-    return F.array(*[zero_filled(n) for n in names])
+    return F.expr(f"array({', '.join(zero(n) for n in names)})")
+
+
+def features_as(names: list[str], aliases: list[str] | None = None) -> list[str]:
+    """SQL texts of the zero-filled features under their own (or other) names."""
+    return [f"{zero(n)} AS {quoted(a)}" for n, a in zip(names, aliases or names)]

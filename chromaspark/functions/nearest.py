@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from chromaspark.functions.reuse import keep
 
@@ -90,13 +90,6 @@ def _block_rows(dim: int) -> int:
     return int(max(32, min(1024, 8192 // max(dim, 1))))
 
 
-def _pack(df: DataFrame, keys: list[str], blocks: Column, cols: list[str]) -> DataFrame:
-    """Pack vectors of one cell into rows of about a block each (bounded arrays)."""
-    packed = df.withColumn("blk", F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int"))
-    items = F.collect_list(F.struct(*cols))
-    return packed.groupBy(*keys, "blk").agg(items.alias("items"))
-
-
 def nearest(
     queries: DataFrame,
     train: DataFrame,
@@ -133,16 +126,17 @@ def nearest(
         dims, cuts = _cut_tree(np.array([r["v"] for r in rows], dtype=np.float64), depth)
         empty = np.zeros(0)
         cells = Cells(dims, cuts, depth, empty, empty, empty, empty, empty)
-    placed = hold(_with_cell(train, cells, schema))
+    placed = _with_cell(train, cells, schema)
+    rows = int(min(_block_rows(dim), max(64, n // (4 * train.sparkSession.sparkContext.defaultParallelism))))
     if cells is None:
-        sizes = {0: n}
+        packed, blocks = _train_blocks(placed, {0: n}, rows)
         wanted = queries.withColumn("cell", F.lit(0).cast("bigint"))
-        return _best(_pairs(wanted, placed, sizes, dim, k, exclude_self, ward), k).drop("tie")
+        return _best(_pairs(wanted, packed, blocks, rows, dim, k, exclude_self, ward), k).drop("tie")
 
+    placed = hold(placed)
     stats = placed.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("w").alias("w"),
-        *[F.min(F.get("v", F.lit(i))).alias(f"lo{i}") for i in range(dim)],
-        *[F.max(F.get("v", F.lit(i))).alias(f"hi{i}") for i in range(dim)],
+        F.expr("count(1) AS n"), F.expr("min(w) AS w"),
+        *[F.expr(f"{fn}(v[{i}]) AS {a}{i}") for i in range(dim) for fn, a in (("min", "lo"), ("max", "hi"))],
     ).orderBy("cell").collect()  # at most MAX_CELLS rows
     cells.ids = np.array([r["cell"] for r in stats])
     cells.count = np.array([r["n"] for r in stats])
@@ -150,6 +144,8 @@ def nearest(
     cells.low = np.array([[r[f"lo{i}"] for i in range(dim)] for r in stats])
     cells.high = np.array([[r[f"hi{i}"] for i in range(dim)] for r in stats])
     sizes = {int(c): int(m) for c, m in zip(cells.ids, cells.count)}
+    packed, blocks = _train_blocks(placed, sizes, rows)
+    packed = hold(packed)
     need = k + (1 if exclude_self else 0)
 
     def scaled(box: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -184,13 +180,13 @@ def nearest(
                     open_[i, c] = False
                 yield _repeat(part, [cells.ids[np.flatnonzero(o)] for o in open_])
 
-    close = hold(_best(_pairs(queries.mapInPandas(near, schema + ", cell bigint"), placed, sizes, dim, k,
+    close = hold(_best(_pairs(queries.mapInPandas(near, schema + ", cell bigint"), packed, blocks, rows, dim, k,
                               exclude_self, ward), k))
     bound = close.groupBy("qid").agg(F.max("d2").alias("bound"), F.count(F.lit(1)).alias("m"))
     bounded = queries.join(bound, queries["id"] == bound["qid"], "left").select(
         "id", "v", "w", F.when(F.col("m") >= k, F.col("bound")).otherwise(F.lit(float("inf"))).alias("bound")
     )
-    more = _pairs(bounded.mapInPandas(rest, schema + ", cell bigint"), placed, sizes, dim, k, exclude_self, ward)
+    more = _pairs(bounded.mapInPandas(rest, schema + ", cell bigint"), packed, blocks, rows, dim, k, exclude_self, ward)
     return _best(close.unionByName(more), k).drop("tie")
 
 
@@ -207,38 +203,52 @@ def _repeat(part: pd.DataFrame, cells: list[np.ndarray]) -> pd.DataFrame:
     return out
 
 
-def _pairs(wanted: DataFrame, placed: DataFrame, sizes: dict, dim: int, k: int, exclude_self: bool, ward: bool):
-    """Distances of (query block, train block) pairs of the same cell; k best per query and block."""
+def _parts(spark, keys: int) -> int:
+    """Partitions of the block join: fixed, because small bytes here mean much arithmetic."""
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(1, min(keys, wide))
+
+
+def _train_blocks(placed: DataFrame, sizes: dict, rows: int) -> tuple[DataFrame, dict]:
+    """Train vectors packed into bounded rows ``(cell, blk, ti, tv, tw)``, spread by hash inside a cell."""
     spark = placed.sparkSession
-    slots = spark.sparkContext.defaultParallelism
-    rows = int(min(_block_rows(dim), max(64, sum(sizes.values()) // (4 * slots))))
     blocks = {c: max(1, -(-m // rows)) for c, m in sizes.items()}
-    # At most MAX_CELLS entries; with a single cell no lookup table is needed.
     if len(blocks) == 1:
-        per_cell = F.lit(next(iter(blocks.values())))
-        t, q = placed.withColumn("blocks", per_cell), wanted.withColumn("blocks", per_cell)
+        placed = placed.withColumn("blocks", F.lit(next(iter(blocks.values()))))
     else:
-        table = pd.DataFrame({"cell": list(blocks), "blocks": list(blocks.values())}).astype({"blocks": "int32"})
-        plan = F.broadcast(spark.createDataFrame(table))
-        t, q = placed.join(plan, "cell"), wanted.join(plan, "cell")
-    width = spark.conf.get("spark.sql.shuffle.partitions")
-    parts = max(1, min(sum(blocks.values()), max(int(width), slots)))
-    t = _pack(t, ["cell"], F.col("blocks"), ["id", "v", "w"])
-    # Every query meets every block of its cell; queries are packed inside (cell, block) in turn.
-    q = q.withColumn("sub", F.pmod(F.xxhash64("id", F.lit(11)), F.col("blocks")).cast("int"))
-    q = q.groupBy("cell", "blocks", "sub").agg(F.count(F.lit(1)).alias("m")).select(
-        "cell", "sub", F.ceil(F.col("m") / rows).cast("int").alias("q_blocks")
-    ).join(q, ["cell", "sub"])
-    q = _pack(q, ["cell", "blocks", "sub"], F.col("q_blocks"), ["id", "v", "w"])
-    q = q.select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"), F.col("items").alias("q")
-    )
-    keys = [F.col("cell"), F.col("blk")]
-    t = t.withColumnRenamed("items", "t").repartition(parts, *keys)
-    pairs = q.repartition(parts, *keys).join(t, ["cell", "blk"]).select(
-        F.col("q.id").alias("qi"), F.flatten("q.v").alias("qv"), F.col("q.w").alias("qw"),
-        F.col("t.id").alias("ti"), F.flatten("t.v").alias("tv"), F.col("t.w").alias("tw"),
-    )
+        table = pd.DataFrame({"cell": list(blocks), "blocks": list(blocks.values())})  # at most MAX_CELLS rows
+        placed = placed.join(F.broadcast(spark.createDataFrame(table)), "cell")
+    spread = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int").alias("blk")
+    items = placed.select("cell", spread, "id", "v", "w").repartition(_parts(spark, sum(blocks.values())), "cell", "blk")
+    packed = items.groupBy("cell", "blk").agg(F.collect_list(F.struct("id", "v", "w")).alias("t"))
+    return packed.select(
+        "cell", "blk", F.col("t.id").alias("ti"), F.flatten("t.v").alias("tv"), F.col("t.w").alias("tw")
+    ), blocks
+
+
+def _query_blocks(wanted: DataFrame, blocks: dict, rows: int) -> DataFrame:
+    """Query vectors of one Arrow batch packed per cell, one copy for every block of that cell.
+
+    Any grouping of queries is as good as another, so packing needs no shuffle.
+    """
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for cell, part in b.groupby("cell", sort=False):
+                for chunk in _chunks(part, rows):
+                    n = blocks[int(cell)]
+                    ids, w = chunk["id"].to_numpy(), chunk["w"].to_numpy(dtype=np.float64)
+                    flat = np.concatenate(chunk["v"].to_numpy())
+                    yield pd.DataFrame({"cell": cell, "blk": np.arange(n), "qi": [ids] * n, "qv": [flat] * n, "qw": [w] * n})
+
+    return wanted.mapInPandas(
+        pack, "cell bigint, blk int, qi array<bigint>, qv array<double>, qw array<double>"
+    ).repartition(_parts(wanted.sparkSession, sum(blocks.values())), "cell", "blk")
+
+
+def _pairs(wanted: DataFrame, packed: DataFrame, blocks: dict, rows: int, dim: int, k: int, exclude_self: bool, ward: bool):
+    """Distances of (query block, train block) pairs of the same cell; k best per query and block."""
+    pairs = _query_blocks(wanted, blocks, rows).join(packed, ["cell", "blk"]).select("qi", "qv", "qw", "ti", "tv", "tw")
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -297,5 +307,5 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     if k == 1:
         first = F.min(F.struct("d2", "tie", "tid")).alias("m")
         return found.groupBy("qid").agg(first).select("qid", "m.tid", "m.d2", "m.tie")
-    rank = F.row_number().over(W.partitionBy("qid").orderBy("d2", "tie"))
-    return found.withColumn("rn", rank).where(F.col("rn") <= k).drop("rn")
+    rank = "row_number() OVER (PARTITION BY qid ORDER BY d2, tie) AS rn"
+    return found.selectExpr("*", rank).where(f"rn <= {int(k)}").drop("rn")

@@ -7,9 +7,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from chromaspark.functions.columns import col, zero_filled
+from chromaspark.functions.columns import features_as
 from chromaspark.functions.reuse import keep
-from chromaspark.schema import RUN_ID
+from chromaspark.schema import RUN_ID, quoted
 
 
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
@@ -77,30 +77,30 @@ def training_table(
     df: DataFrame, features: list[str], y: str, task: str, n_labels: int = 0, folds: int = 3
 ) -> TrainingTable:
     """``df`` needs run_id, features, ``y`` and ``fold``."""
-    typed = col(y).cast("double" if task == "regression" else "int")
-    rows = keep(df.select(
-        col(RUN_ID), *[zero_filled(f).alias(f) for f in features], typed.alias("y"),
-        (col("fold") if "fold" in df.columns else F.lit(0)).alias("fold"),
+    kind = "double" if task == "regression" else "int"
+    rows = keep(df.selectExpr(
+        RUN_ID, *features_as(features), f"cast({quoted(y)} AS {kind}) AS y",
+        "fold" if "fold" in df.columns else "0 AS fold",
     ))
-    keys = [col(f) for f in features]
+    keys = list(features)
     if task == "regression":
         packed = rows.groupBy(*keys, "fold").agg(
-            F.count(F.lit(1)).cast("double").alias("w"), F.avg("y").alias("_m"),
-            (F.coalesce(F.var_pop("y"), F.lit(0.0)) * F.count(F.lit(1))).alias("ss"),
+            F.expr("cast(count(1) AS double) AS w"), F.expr("avg(y) AS _m"),
+            F.expr("coalesce(var_pop(y), 0D) * count(1) AS ss"),
         ).withColumnRenamed("_m", "y")
     else:
-        packed = rows.groupBy(*keys, "fold", "y").agg(F.count(F.lit(1)).cast("double").alias("w"))
+        packed = rows.groupBy(*keys, "fold", "y").agg(F.expr("cast(count(1) AS double) AS w"))
         packed = packed.withColumn("ss", F.lit(0.0))
     return TrainingTable(rows, keep(packed), list(features), task, n_labels, folds)
 
 
+SCORES = {
+    "regression": "sqrt(sum(w * (y - prediction) * (y - prediction) + ss) / sum(w))",
+    "classification": "sum(CASE WHEN y = prediction THEN w ELSE 0D END) / sum(w)",
+}
+
+
 def packed_score(scored: DataFrame, task: str) -> float:
     """RMSE or accuracy of predictions on packed rows, equal to the score on the single rows."""
-    w = F.col("w")
-    if task == "regression":
-        e = F.col("y") - F.col("prediction")
-        expr = F.sqrt(F.sum(w * e * e + F.col("ss")) / F.sum(w))
-    else:
-        expr = F.sum(F.when(F.col("y") == F.col("prediction"), w).otherwise(0.0)) / F.sum(w)
-    value = scored.agg(expr.alias("s")).first()["s"]
+    value = scored.selectExpr(f"{SCORES[task]} AS s").first()["s"]
     return float(value) if value is not None else float("nan")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import product
 
-from pyspark.ml.classification import LogisticRegressionModel, OneVsRestModel
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import SparkSession
 
 from chromaspark.models import knn, linear
@@ -79,7 +79,7 @@ def _restore(spark: SparkSession, path: str, head: dict) -> Model:
         "mlp": lambda: MlpModel(*base, _scaler(head), s["hidden"], s["weights"]),
         "tree": lambda: TreeModel(*base, LOADERS[s["class"]].load(f"{path}/fitted"), s["one_vs_rest"]),
         "logistic": lambda: LogisticModel(*base, _scaler(head), LogisticRegressionModel.load(f"{path}/fitted")),
-        "svc": lambda: SvcModel(*base, FourierMap.from_state(s["map"]), OneVsRestModel.load(f"{path}/margins"),
+        "svc": lambda: SvcModel(*base, FourierMap.from_state(s["map"]), s["coef"], s["bias"],
                                 LogisticRegressionModel.load(f"{path}/platt")),
         "knn": lambda: knn.load(spark, path, head),
     }

@@ -58,14 +58,14 @@ def fourier_map(scaler: Scaler, n: int = N_FEATURES, seed: int = 42, gamma: floa
     return FourierMap(scaler, g, omega, rng.uniform(0.0, 2.0 * np.pi, n))
 
 
-def mapped(features: list[str], fmap: FourierMap) -> Column:
-    """Fourier features as ``array<double>`` (vectorised over Arrow batches)."""
+def margins(features: list[str], fmap: FourierMap, coef: np.ndarray, bias: np.ndarray) -> Column:
+    """One linear form per class over the Fourier features, as ``array<double>``."""
 
     @pandas_udf("array<double>")
     def apply(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for cols in batches:
             x = np.column_stack([c.to_numpy(dtype=np.float64) for c in cols])
-            yield pd.Series(list(fmap.numpy(x)))
+            yield pd.Series(list(fmap.numpy(x) @ coef.T + bias))
 
     return apply(*[zero_filled(f) for f in features])
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chromaspark.functions.reuse import keep
-from chromaspark.models.base import Model, TrainingTable
+from chromaspark.models.base import Model, TrainingTable, packed_score
 from chromaspark.operators.moments import Scaler
 from chromaspark.operators.neighbours import KnnIndex, as_vectors, distinct_vectors, fit_knn, knn_predict, vote
 
@@ -59,15 +59,9 @@ def cv_scores(table: TrainingTable, grid: list[dict]) -> list[tuple[int, int, fl
             )
             packed = table.packed.where(F.col("fold") == f)
             scored = packed.join(said, list(table.features))
-            w = F.col("w")
-            if classify:
-                score = F.sum(F.when(F.col("y") == F.col("prediction"), w).otherwise(0.0)) / F.sum(w)
-            else:
-                e = F.col("y") - F.col("prediction")
-                score = F.sqrt(F.sum(w * e * e + F.col("ss")) / F.sum(w))
-            value = scored.agg(score.alias("s")).first()["s"]
-            if value is not None:
-                out.append((i, f, float(value)))
+            value = packed_score(scored, table.task)
+            if value == value:
+                out.append((i, f, value))
         for part in (near, asked, index.vectors, index.members):
             part.unpersist()
     return out

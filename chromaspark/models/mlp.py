@@ -110,7 +110,7 @@ def fit_mlp(
     scaler = fit_scaler(packed, features, weight="w")
     held = F.pmod(F.xxhash64(*[zero_filled(f) for f in features], F.lit(seed)), F.lit(10)) == 0
     data = keep(packed.select(
-        *[c.alias(f"x{i}") for i, c in enumerate(scaler.columns())], F.col("y").cast("double").alias("y"),
+        *[F.expr(t).alias(f"x{i}") for i, t in enumerate(scaler.texts())], F.col("y").cast("double").alias("y"),
         F.col("w"), held.cast("int").alias("held"),
     ))
     sums = data.agg(

@@ -7,11 +7,12 @@ samples of single rows, so they are trained on the unpacked rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import Transformer
 from pyspark.ml.classification import (
-    DecisionTreeClassificationModel, DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
+    DecisionTreeClassificationModel, DecisionTreeClassifier, GBTClassifier, LogisticRegression,
     LogisticRegressionModel, OneVsRest, OneVsRestModel, RandomForestClassificationModel, RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -22,8 +23,9 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chromaspark.functions.columns import feature_array
+from chromaspark.functions.descent import is_wide, lbfgs, row_sums
 from chromaspark.models.base import Model, TrainingTable, padded
-from chromaspark.models.kernel import FourierMap, fourier_map, mapped
+from chromaspark.models.kernel import FourierMap, fourier_map, margins
 from chromaspark.operators.moments import Scaler, fit_scaler
 
 UNLIMITED_DEPTH = 30  # the deepest tree Spark grows
@@ -122,7 +124,7 @@ class LogisticModel(Model):
     kind = "logistic"
 
     def predict(self, df: DataFrame) -> DataFrame:
-        out = self.fitted.transform(df.withColumn("_x", array_to_vector(F.array(*self.scaler.columns()))))
+        out = self.fitted.transform(df.withColumn("_x", array_to_vector(self.scaler.array())))
         p = padded(vector_to_array(F.col("probability")), self.n_labels)
         out = out.withColumn("_p", p).withColumn("_c", F.col("prediction").cast("int"))
         return out.drop("_x", "rawPrediction", "probability", "prediction").withColumnsRenamed(
@@ -141,62 +143,86 @@ def fit_logistic(table: TrainingTable, params: dict) -> LogisticModel:
     scaler = fit_scaler(table.packed, table.features, weight="w")
     n = table.packed.agg(F.sum("w")).first()[0]
     frame = table.packed.select(
-        array_to_vector(F.array(*scaler.columns())).alias("_x"), F.col("y").cast("double").alias("y"), "w"
+        array_to_vector(scaler.array()).alias("_x"), F.col("y").cast("double").alias("y"), "w"
     )
     est = LogisticRegression(
         featuresCol="_x", labelCol="y", weightCol="w", regParam=1.0 / (float(params.get("C", 1.0)) * n),
-        elasticNetParam=0.0, standardization=False, maxIter=int(params.get("max_iter", 500)), tol=1e-9,
+        elasticNetParam=0.0, standardization=False, maxIter=int(params.get("max_iter", 500)), tol=1e-7,
     )
     return LogisticModel("LR", "classification", list(table.features), dict(params), table.n_labels, scaler, est.fit(frame))
 
 
 @dataclass
 class SvcModel(Model):
+    """Fourier features, one margin per class, calibrated probabilities."""
+
     fmap: FourierMap | None = None
-    margins: OneVsRestModel | None = None
+    coef: list[list[float]] = field(default_factory=list)
+    bias: list[float] = field(default_factory=list)
     platt: LogisticRegressionModel | None = None
+    history: list[float] = field(default_factory=list)
     kind = "svc"
 
     def predict(self, df: DataFrame) -> DataFrame:
-        wide = df.withColumn("_x", array_to_vector(mapped(self.features, self.fmap)))
-        out = self.margins.transform(wide).withColumnsRenamed({"rawPrediction": "_m", "prediction": "_c"})
-        out = self.platt.transform(out)
-        p = padded(vector_to_array(F.col("probability")), self.n_labels)
-        out = out.withColumn("_p", p).withColumn("_c", F.col("_c").cast("int"))
-        return out.drop("_x", "_m", "_r", "probability", "prediction").withColumnsRenamed(
+        wide = df.withColumn("_a", margins(self.features, self.fmap, np.array(self.coef), np.array(self.bias)))
+        wide = wide.withColumn("_m", array_to_vector("_a"))
+        best = (F.array_position("_a", F.array_max("_a")) - 1).cast("int")
+        out = self.platt.transform(wide.withColumn("_c", best))
+        out = out.withColumn("_p", padded(vector_to_array(F.col("probability")), self.n_labels))
+        return out.drop("_a", "_m", "_r", "probability", "prediction").withColumnsRenamed(
             {"_p": "probability", "_c": "prediction"})
 
     def state(self) -> dict:
-        return {"map": self.fmap.state()}
+        return {"map": self.fmap.state(), "coef": self.coef, "bias": self.bias}
 
     def save(self, spark: SparkSession, path: str) -> None:
         super().save(spark, path)
-        self.margins.write().overwrite().save(f"{path}/margins")
         self.platt.write().overwrite().save(f"{path}/platt")
 
 
 def fit_svc(table: TrainingTable, params: dict) -> SvcModel:
-    """RBF margin classifier: Fourier features, one linear margin per class, then calibration.
+    """RBF margins of every class against the rest, fitted together in one pass per step.
 
-    C * sum hinge + 1/2 |w|^2 is Spark's mean hinge with regParam = 1 / (C * n).
+    1/2 |w|^2 + C * sum hinge per class, with the hinge rounded at its corner. Probabilities come from
+    a logistic fit on the margins.
     """
-    scaler = fit_scaler(table.packed, table.features, weight="w")
+    packed, features, k = table.packed, table.features, table.n_labels
+    scaler = fit_scaler(packed, features, weight="w")
     fmap = fourier_map(scaler, gamma=params.get("gamma", "scale"))
-    n = table.packed.agg(F.sum("w")).first()[0]
-    frame = table.packed.select(
-        array_to_vector(mapped(table.features, fmap)).alias("_x"), F.col("y").cast("double").alias("y"), "w"
-    )
-    values = [str(i) for i in range(table.n_labels)]
-    meta = {"ml_attr": {"type": "nominal", "name": "y", "vals": values}}
-    frame = frame.withColumn("y", F.col("y").alias("y", metadata=meta)).persist()
-    svc = LinearSVC(maxIter=int(params.get("max_iter", 50)), regParam=1.0 / (float(params.get("C", 1.0)) * n),
-                    standardization=False, weightCol="w", featuresCol="_x", labelCol="y")
-    margins = OneVsRest(classifier=svc, featuresCol="_x", labelCol="y", weightCol="w", parallelism=4).fit(frame)
-    scored = margins.transform(frame).select("rawPrediction", "y", "w").withColumnsRenamed({"rawPrediction": "_m"})
-    platt = LogisticRegression(featuresCol="_m", labelCol="y", weightCol="w", rawPredictionCol="_r", maxIter=100).fit(
-        scored.select("_m", F.col("y").alias("y"), "w"))
-    frame.unpersist()
-    return SvcModel("SVC", "classification", list(table.features), dict(params), table.n_labels, fmap, margins, platt)
+    m, c = len(fmap.phase), float(params.get("C", 1.0))
+    n = float(packed.agg(F.sum("w")).first()[0])
+    wide = is_wide(packed)
+
+    def value_and_grad(flat: np.ndarray) -> tuple[float, np.ndarray]:
+        w = flat.reshape(m + 1, k)
+
+        def part(b: dict) -> np.ndarray:
+            h = fmap.numpy(np.column_stack([b[f] for f in features]).astype(np.float64))
+            h = np.hstack([h, np.ones((len(h), 1))])
+            sign = np.where(b["y"].astype(np.int64)[:, None] == np.arange(k)[None, :], 1.0, -1.0)
+            short = 1.0 - sign * (h @ w)
+            loss = np.where(short >= CORNER, short - CORNER / 2, np.where(short > 0, short * short / (2 * CORNER), 0.0))
+            slope = -sign * np.clip(short / CORNER, 0.0, 1.0) * b["w"][:, None]
+            return np.concatenate([[float((loss * b["w"][:, None]).sum())], (h.T @ slope).ravel()])
+
+        s = row_sums(packed, [*features, "y", "w"], part, wide)
+        free = np.vstack([w[:-1], np.zeros((1, k))])
+        value = (0.5 * np.sum(free * free) + c * s[0]) / n
+        return float(value), (free.ravel() + c * s[1:]) / n
+
+    w, history = lbfgs(value_and_grad, np.zeros((m + 1) * k), rounds=int(params.get("max_iter", 50)), tol=1e-2)
+    w = w.reshape(m + 1, k)
+    coef, bias = w[:-1].T, w[-1]
+    scored = packed.select(
+        array_to_vector(margins(features, fmap, coef, bias)).alias("_m"), F.col("y").cast("double").alias("y"), "w"
+    ).persist()
+    platt = LogisticRegression(featuresCol="_m", labelCol="y", weightCol="w", rawPredictionCol="_r", maxIter=50, tol=1e-4)
+    fitted = platt.fit(scored)
+    scored.unpersist()
+    return SvcModel("SVC", "classification", list(features), dict(params), k, fmap, coef.tolist(), bias.tolist(), fitted, history)
+
+
+CORNER = 0.1  # width of the rounded corner of the hinge
 
 
 LOADERS = {c.__name__: c for c in (

@@ -223,7 +223,7 @@ def learning_curve(
     """
     spark = df.sparkSession
     base = df if "fold" in df.columns else hash_folds(df, folds)
-    spread = keep(base.withColumn("_u", (hash32(col(RUN_ID), seed) % 10_000) / F.lit(10_000.0)))
+    spread = keep(base.withColumn("_u", (hash32(RUN_ID, seed) % 10_000) / F.lit(10_000.0)))
     params = params or cat.expand(cat.DEFAULT_GRIDS[(task, name)])[0]
     lines = []
     for size in sizes:

@@ -6,10 +6,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from chromaspark.functions.columns import clean_double, col, cut_text, run_label, to_number, zero_filled
+from chromaspark.functions.columns import clean_double, col, cut_text, features_as, run_label, to_number
 from chromaspark.functions.reuse import collect_bounded
 from chromaspark.schema import (
-    NO_DATA, PH, QUALITY, QUALITY_CODE, RETENTION, RUN_ID, feature_columns, solvent_columns,
+    NO_DATA, PH, QUALITY, QUALITY_CODE, RETENTION, RUN_ID, feature_columns, quoted, solvent_columns,
 )
 
 MAX_LABELS = 10_000
@@ -31,7 +31,7 @@ class Dataset:
 
 def coerce_ph(df: DataFrame) -> DataFrame:
     """pH as a number; unreadable values become NULL. A table without pH is left alone."""
-    return df.withColumn(PH, to_number(col(PH))) if PH in df.columns else df
+    return df.withColumn(PH, to_number(PH)) if PH in df.columns else df
 
 
 def fill_labels(df: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def clean_numbers(df: DataFrame) -> DataFrame:
     """NaN to NULL in the retention and solvent columns."""
     for name in [*solvent_columns(df), RETENTION]:
         if name in df.columns:
-            df = df.withColumn(name, clean_double(col(name)))
+            df = df.withColumn(name, clean_double(name))
     return df
 
 
@@ -93,14 +93,14 @@ def load_dataset(df: DataFrame, chromatogram: DataFrame | None = None) -> Datase
 def feature_table(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Key, features in fixed order with missing values as 0, then ``extra`` columns."""
     feats = feature_columns(df)
-    return df.select(
-        col(RUN_ID), *[zero_filled(f).alias(f) for f in feats], *[col(c) for c in extra or []]
+    return df.selectExpr(
+        quoted(RUN_ID), *features_as(feats), *[quoted(c) for c in extra or []]
     )
 
 
 def known_target(df: DataFrame, target: str = RETENTION) -> DataFrame:
     """Rows whose target is known."""
-    return df.where(clean_double(col(target)).isNotNull())
+    return df.where(clean_double(target).isNotNull())
 
 
 def has_target(df: DataFrame, target: str) -> bool:

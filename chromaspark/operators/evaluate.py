@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from chromaspark.functions.columns import col
+from chromaspark.functions.reuse import keep
 from chromaspark.functions.running import running_totals
 from chromaspark.operators.clean import label_text
 
@@ -89,7 +90,7 @@ def one_vs_rest(scored: DataFrame, y: str, n_labels: int, probability: str = "pr
 
 
 def _cumulative(scores: DataFrame) -> DataFrame:
-    counts = score_counts(scores)
+    counts = keep(score_counts(scores))
     run = running_totals(counts, "class", "score", ["pos", "neg"])
     totals = F.broadcast(counts.groupBy("class").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")))
     return run.join(totals, "class")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chromaspark.functions.columns import col
+from chromaspark.schema import quoted
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -14,10 +13,9 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 
 def _small(dim: DataFrame, max_rows: int, max_bytes: int) -> bool:
     """Measure at most ``max_rows + 1`` rows of the lookup side: count and text size."""
-    wide = [f for f in dim.schema.fields if f.dataType.typeName() in ("string", "array", "map", "struct")]
-    text = [F.coalesce(F.octet_length(F.to_json(F.struct(col(f.name)))), F.lit(0)) for f in wide]
-    size = reduce(lambda a, b: a + b, text, F.lit(8 * len(dim.columns)))
-    row = dim.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
+    wide = [f.name for f in dim.schema.fields if f.dataType.typeName() in ("string", "array", "map", "struct")]
+    size = " + ".join([str(8 * len(dim.columns)), *[f"coalesce(octet_length(to_json(struct({quoted(c)}))), 0)" for c in wide]])
+    row = dim.limit(max_rows + 1).selectExpr("count(1) AS n", f"sum({size}) AS b").first()
     return row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
 
 

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chromaspark.functions.columns import clean_double, col, zero_filled
+from chromaspark.functions.columns import double, features_as, number, zero
+from chromaspark.schema import quoted
 
 
 @dataclass
@@ -18,20 +19,19 @@ class Scaler:
     mean: list[float]
     std: list[float]
 
-    def columns(self) -> list[Column]:
-        """Standardised features in order; a constant column becomes 0."""
+    def texts(self) -> list[str]:
+        """SQL texts of the standardised features in order; a constant column becomes 0."""
         return [
-            ((zero_filled(f) - F.lit(m)) / F.lit(s)) if s > 0 else F.lit(0.0)
+            f"(({zero(f)} - {double(m)}) / {double(s)})" if s > 0 else "0D"
             for f, m, s in zip(self.features, self.mean, self.std)
         ]
 
-    def apply(self, df: DataFrame) -> DataFrame:
-        scaled = {f: c for f, c in zip(self.features, self.columns())}
-        return df.select(*[scaled[c].alias(c) if c in scaled else col(c) for c in df.columns])
-
+    def array(self) -> Column:
+        return F.expr(f"array({', '.join(self.texts())})")
 
-def _weight(weight: str | None) -> Column:
-    return F.lit(1.0) if weight is None else col(weight).cast("double")
+    def apply(self, df: DataFrame) -> DataFrame:
+        scaled = dict(zip(self.features, self.texts()))
+        return df.selectExpr(*[f"{scaled.get(c, quoted(c))} AS {quoted(c)}" for c in df.columns])
 
 
 def fit_scaler(df: DataFrame, features: list[str], weight: str | None = None) -> Scaler:
@@ -40,15 +40,14 @@ def fit_scaler(df: DataFrame, features: list[str], weight: str | None = None) ->
     With ``weight`` each row stands for that many rows.
     """
     if weight is None:
-        row = df.agg(
-            *[F.avg(zero_filled(f)).alias(f"m{i}") for i, f in enumerate(features)],
-            *[F.stddev_pop(zero_filled(f)).alias(f"s{i}") for i, f in enumerate(features)],
-            *[F.min(zero_filled(f)).alias(f"lo{i}") for i, f in enumerate(features)],
-            *[F.max(zero_filled(f)).alias(f"hi{i}") for i, f in enumerate(features)],
-        ).first()
-        mean = [row[f"m{i}"] or 0.0 for i in range(len(features))]
+        row = df.selectExpr(*features_as(features, [f"x{i}" for i in range(len(features))])).selectExpr(*[
+            f"{fn}(x{i}) AS {fn}{i}" for i in range(len(features)) for fn in ("avg", "stddev_pop", "min", "max")
+        ]).first()
+        mean = [row[f"avg{i}"] or 0.0 for i in range(len(features))]
         # A constant column can show a rounding-size deviation; its range says it is constant.
-        std = [(row[f"s{i}"] or 0.0) if row[f"lo{i}"] != row[f"hi{i}"] else 0.0 for i in range(len(features))]
+        std = [
+            (row[f"stddev_pop{i}"] or 0.0) if row[f"min{i}"] != row[f"max{i}"] else 0.0 for i in range(len(features))
+        ]
         return Scaler(list(features), mean, std)
     g = gram(df, features, weight=weight)
     std = np.sqrt(np.maximum(np.diag(g.xx) / max(g.n, 1e-300), 0.0))
@@ -98,27 +97,26 @@ def grams(
     Two passes: global means first, then products around them, so nothing cancels. ``by`` must have
     few values (folds). Only d(d+1)/2 sums per value reach the driver.
     """
-    w = _weight(weight)
-    cells = [(f"x{i}", zero_filled(f)) for i, f in enumerate(features)]
-    if y is not None:
-        cells.append(("y", clean_double(col(y))))
-    base = df.select(
-        *([col(by).alias("g")] if by else []), w.alias("w"), *[c.alias(n) for n, c in cells]
+    names = [f"x{i}" for i in range(len(features))] + (["y"] if y is not None else [])
+    base = df.selectExpr(
+        *([f"{quoted(by)} AS g"] if by else []),
+        "1D AS w" if weight is None else f"cast({quoted(weight)} AS double) AS w",
+        *features_as(features, [f"x{i}" for i in range(len(features))]),
+        *([f"{number(y)} AS y"] if y is not None else []),
     )
     if y is not None:
-        base = base.where(F.col("y").isNotNull())
-    names = [n for n, _ in cells]
-    means = base.agg(F.sum("w").alias("n"), *[F.sum(F.col(n) * F.col("w")).alias(n) for n in names]).first()
+        base = base.where("y IS NOT NULL")
+    means = base.selectExpr("sum(w) AS n", *[f"sum({a} * w) AS {a}" for a in names]).first()
     if not means["n"]:
         return {}
-    center = {n: (means[n] or 0.0) / means["n"] for n in names}
-    around = {n: F.col(n) - F.lit(center[n]) for n in names}
-    aggs = [F.sum("w").alias("n"), *[F.sum(around[n] * F.col("w")).alias(f"s_{n}") for n in names]]
-    aggs += [
-        F.sum(around[a] * around[b] * F.col("w")).alias(f"p_{a}_{b}")
-        for i, a in enumerate(names) for b in names[i:]
-    ]
-    rows = (base.groupBy("g") if by else base.groupBy()).agg(*aggs).limit(1001).collect()
+    center = {a: (means[a] or 0.0) / means["n"] for a in names}
+    around = base.selectExpr(*(["g"] if by else []), "w", *[f"({a} - {double(center[a])}) AS {a}" for a in names])
+    sums = ["sum(w) AS n", *[f"sum({a} * w) AS s_{a}" for a in names]]
+    sums += [f"sum({a} * {b} * w) AS p_{a}_{b}" for i, a in enumerate(names) for b in names[i:]]
+    if by:
+        rows = around.groupBy("g").agg(*[F.expr(t) for t in sums]).limit(1001).collect()
+    else:
+        rows = around.selectExpr(*sums).collect()
     if len(rows) > 1000:
         raise ValueError(f"{by}: too many groups for Gram matrices")
     out = {}
@@ -161,18 +159,42 @@ def gram_table(df: DataFrame, features: list[str], y: str | None = None) -> Data
 def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pairwise-complete Pearson correlation in long form ``(x, y, r)``; NULL for constants.
 
-    All pairs come from one aggregation, so the table is read once.
+    Two passes: means and value counts, then plain sums around the means for all pairs at once.
+    Columns without missing values share their square sums; a pair with missing values gets sums over
+    its own complete rows.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    exprs = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = clean_double(col(a)), clean_double(col(b))
-        sxx, syy, sxy = F.regr_sxx(y, x), F.regr_syy(y, x), F.regr_sxy(y, x)
-        exprs.append(F.try_divide(sxy, F.sqrt(sxx * syy)).alias(f"r{i}"))
-    one = df.agg(*exprs)
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        cells.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"r{i}").alias("r")))
-        if a != b:
-            cells.append(F.struct(F.lit(b).alias("x"), F.lit(a).alias("y"), F.col(f"r{i}").alias("r")))
-    return one.select(F.inline(F.array(*cells)))
+    base = df.selectExpr(*[f"{number(c)} AS v{i}" for i, c in enumerate(columns)])
+    span = range(len(columns))
+    head = base.selectExpr(
+        "count(1) AS n", *[f"count(v{i}) AS n{i}" for i in span], *[f"avg(v{i}) AS m{i}" for i in span]
+    ).first()
+    around = base.selectExpr(*[f"(v{i} - {double(head[f'm{i}'] or 0.0)}) AS v{i}" for i in span])
+    full = [head[f"n{i}"] == head["n"] for i in span]
+    pairs = [(i, j) for i in span for j in range(i, len(columns))]
+    sums = ["count(1) AS n"]
+    for i, j in pairs:
+        sums.append(f"sum(v{i} * v{j}) AS p{i}_{j}")
+        if i != j and not (full[i] and full[j]):
+            both = f"v{i} IS NOT NULL AND v{j} IS NOT NULL"
+            sums.append(f"count(CASE WHEN {both} THEN 1 END) AS n{i}_{j}")
+            for side, v in (("a", f"v{i}"), ("b", f"v{j}")):
+                sums.append(f"sum(CASE WHEN {both} THEN {v} END) AS {side}{i}_{j}")
+                sums.append(f"sum(CASE WHEN {both} THEN {v} * {v} END) AS {side * 2}{i}_{j}")
+    s = around.selectExpr(*sums).first()
+    rows = []
+    for i, j in pairs:
+        shared = i == j or (full[i] and full[j])
+        # Around the column's own mean the linear sums vanish, so shared rows need no shift.
+        n = s["n"] if shared else s[f"n{i}_{j}"]
+        a, b = (0.0, 0.0) if shared else (s[f"a{i}_{j}"] or 0.0, s[f"b{i}_{j}"] or 0.0)
+        sxx = (s[f"p{i}_{i}"] if shared else s[f"aa{i}_{j}"]) or 0.0
+        syy = (s[f"p{j}_{j}"] if shared else s[f"bb{i}_{j}"]) or 0.0
+        sxy = s[f"p{i}_{j}"] or 0.0
+        if n:
+            sxx, syy, sxy = sxx - a * a / n, syy - b * b / n, sxy - a * b / n
+        scale = [1e-13 * max(1.0, (head[f"m{x}"] or 0.0) ** 2) * max(n, 1) for x in (i, j)]
+        r = float(sxy / np.sqrt(sxx * syy)) if sxx > scale[0] and syy > scale[1] else None
+        rows.append((columns[i], columns[j], r))
+        if i != j:
+            rows.append((columns[j], columns[i], r))
+    return df.sparkSession.createDataFrame(rows, "x string, y string, r double")

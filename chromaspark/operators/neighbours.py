@@ -9,40 +9,37 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from chromaspark.functions.columns import col, zero_filled
+from chromaspark.functions.columns import col, features_as, zero
 from chromaspark.functions.nearest import nearest
 from chromaspark.functions.reuse import keep
 from chromaspark.operators.lookup import lookup_join
 from chromaspark.operators.moments import Scaler, fit_scaler
-from chromaspark.schema import RUN_ID
+from chromaspark.schema import RUN_ID, quoted
 
 
 def distinct_vectors(df: DataFrame, features: list[str], key: str = RUN_ID) -> DataFrame:
     """One row per distinct zero-filled feature vector: the features, ``id`` (smallest key), ``w`` (rows)."""
-    base = df.select(col(key).alias("_k"), *[zero_filled(f).alias(f) for f in features])
-    return base.groupBy(*[col(f) for f in features]).agg(
-        F.min("_k").alias("id"), F.count(F.lit(1)).cast("double").alias("w")
-    )
+    base = df.selectExpr(f"{quoted(key)} AS _k", *features_as(features))
+    return base.groupBy(*features).agg(F.expr("min(_k) AS id"), F.expr("cast(count(1) AS double) AS w"))
 
 
 def as_vectors(distinct: DataFrame, scaler: Scaler | None, features: list[str]) -> DataFrame:
     """``(id, v, w)`` with the (scaled) features as an array."""
-    cells = scaler.columns() if scaler else [zero_filled(f) for f in features]
-    return distinct.select("id", F.array(*cells).alias("v"), "w")
+    cells = scaler.texts() if scaler else [zero(f) for f in features]
+    return distinct.selectExpr("id", f"array({', '.join(cells)}) AS v", "w")
 
 
 def first_members(df: DataFrame, features: list[str], k: int, values: list[str], key: str = RUN_ID) -> DataFrame:
-    """The ``k`` rows with the smallest key of each distinct vector, with the vector's ``id``."""
-    base = df.select(
-        col(key).alias("member"), *[zero_filled(f).alias(f) for f in features], *[col(v) for v in values]
-    )
-    w = W.partitionBy(*[col(f) for f in features]).orderBy("member")
-    # row_number with this filter is limited before the shuffle, so a hot vector sends k rows per task.
-    top = base.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
-    first = F.min("member").over(W.partitionBy(*[col(f) for f in features]))
-    return top.withColumn("tid", first).select("tid", "member", *values)
+    """The ``k`` rows with the smallest key of each distinct vector, with the vector's ``id``.
+
+    The rank filter is applied before the shuffle, so a hot vector sends at most k rows per task.
+    """
+    base = df.selectExpr(f"{quoted(key)} AS member", *features_as(features), *[quoted(v) for v in values])
+    over = ", ".join(quoted(f) for f in features)
+    top = base.selectExpr("*", f"row_number() OVER (PARTITION BY {over} ORDER BY member) AS rn").where(f"rn <= {int(k)}")
+    return top.selectExpr(f"min(member) OVER (PARTITION BY {over}) AS tid", "member", *[quoted(v) for v in values])
 
 
 @dataclass
@@ -60,8 +57,8 @@ class KnnIndex:
         """Neighbour rows ``(qid, rank, member, d2, <target>)`` of query vectors ``(id, v, w)``."""
         close = nearest(queries, self.vectors, self.k)
         rows = close.join(self.members, "tid")
-        rank = F.row_number().over(W.partitionBy("qid").orderBy("d2", "member"))
-        return rows.withColumn("rank", rank).where(F.col("rank") <= self.k).drop("tid")
+        rank = "row_number() OVER (PARTITION BY qid ORDER BY d2, member) AS rank"
+        return rows.selectExpr("*", rank).where(f"rank <= {int(self.k)}").drop("tid")
 
 
 def fit_knn(
@@ -89,8 +86,8 @@ def knn_join(
     packed = near.groupBy("qid").agg(  # at most k entries per query vector
         F.array_sort(F.collect_list(F.struct("d2", "member"))).alias("near")
     )
-    named = keep(asked.join(packed, asked["id"] == packed["qid"]).select(*[col(f) for f in features], "near"))
-    rows = query.select(col(key), *[zero_filled(f).alias(f) for f in features])
+    named = keep(asked.join(packed, asked["id"] == packed["qid"]).select(*[quoted(f) for f in features], "near"))
+    rows = query.selectExpr(quoted(key), *features_as(features))
     joined = lookup_join(rows, named, list(features), "inner", spread=F.xxhash64(col(key)))
     hits = F.filter("near", lambda x: x["member"] != col(key)) if exclude_self else F.col("near")
     return joined.select(col(key), F.posexplode(F.slice(hits, 1, k))).select(
@@ -123,5 +120,5 @@ def knn_predict(index: KnnIndex, df: DataFrame, classify: bool, key: str = RUN_I
     said = predict_vectors(index, as_vectors(asked, index.scaler, index.features), classify)
     alias = {f: f"_f{i}" for i, f in enumerate(index.features)}
     named = keep(asked.join(said, asked["id"] == said["qid"]).drop("id", "w", "qid").withColumnsRenamed(alias))
-    rows = df.withColumns({a: zero_filled(f) for f, a in alias.items()})
+    rows = df.selectExpr("*", *features_as(list(alias), list(alias.values())))
     return lookup_join(rows, named, list(alias.values()), "left", spread=F.xxhash64(col(key))).drop(*alias.values())

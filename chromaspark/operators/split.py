@@ -23,7 +23,7 @@ SMALL_GROUP = 100_000
 
 def hash_split(df: DataFrame, key: str = RUN_ID, seed: int = SEED, percent: int = 20) -> DataFrame:
     """Add ``is_test``: about ``percent`` of the rows, by hash. No shuffle."""
-    return df.withColumn("is_test", (hash32(col(key), seed) % 100) < percent)
+    return df.withColumn("is_test", (hash32(key, seed) % 100) < percent)
 
 
 def test_quotas(counts: dict, test_size: float) -> dict:
@@ -44,7 +44,7 @@ def _cutoffs(df: DataFrame, strata: str, key: str, seed: int, quota: dict) -> di
     Radix selection: count rows per hash prefix, keep only the prefix the quota falls into, refine.
     Every step is one aggregation over bounded groups; no class is ever sorted as a whole.
     """
-    rows = df.select(col(strata).alias("c"), col(key).alias("k"), hash32(col(key), seed).alias("h"))
+    rows = df.select(col(strata).alias("c"), col(key).alias("k"), hash32(key, seed).alias("h"))
     open_ = {c: (None, q) for c, q in quota.items() if q > 0}
     ready: dict = {}
     for level, shift in enumerate(_LEVELS):
@@ -106,7 +106,7 @@ def exact_split(
     if strata and sum(quota.values()) < len(counts):
         raise ValueError("the test share is smaller than the number of classes")
     chosen = F.lit(False)
-    h = hash32(col(key), seed)
+    h = hash32(key, seed)
     for c, (last_h, last_k) in _cutoffs(base, group, key, seed, quota).items():
         before = (h < F.lit(last_h)) | ((h == F.lit(last_h)) & (col(key) <= F.lit(last_k)))
         chosen = chosen | ((col(group) == F.lit(c)) & before)
@@ -119,7 +119,7 @@ def stratified_split(df: DataFrame, strata: str, key: str = RUN_ID, seed: int =
 
 def hash_folds(df: DataFrame, folds: int = 3, key: str = RUN_ID, seed: int = FOLD_SEED) -> DataFrame:
     """Add ``fold`` in 0..folds-1 by hash."""
-    return df.withColumn("fold", (hash32(col(key), seed) % folds).cast("int"))
+    return df.withColumn("fold", (hash32(key, seed) % folds).cast("int"))
 
 
 def fold_count(smallest_class: int) -> int:
@@ -136,7 +136,7 @@ def hash_rank(
     prefix, so the largest class is spread over 4,096 window groups instead of one.
     """
     shift = 32 - buckets_bits
-    rows = df.withColumn("_h", hash32(col(key), seed)).withColumn("_b", F.shiftright("_h", shift))
+    rows = df.withColumn("_h", hash32(key, seed)).withColumn("_b", F.shiftright("_h", shift))
     counts = rows.groupBy(col(strata), F.col("_b")).agg(F.count(F.lit(1)).alias("_n"))
     running = W.partitionBy(col(strata)).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(

@@ -357,7 +357,7 @@ FROM best b JOIN r_qmap m ON b.run_id = m.run_id JOIN r_said s ON s.qid = m.qid"
           {r6('a + b * CAST("MolWt" AS DOUBLE)')} AS fitted FROM ds, fit WHERE "Retention_Time_min" IS NOT NULL""",
         "knn_graph": f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
           rep AS (SELECT v, min(vec_id) AS id FROM e GROUP BY v),
-          p AS (SELECT a.id AS i, b.id AS j, round(list_sum(list_transform(list_zip(a.v, b.v), x -> (x[1] - x[2]) * (x[1] - x[2]))), 9) AS d2
+          p AS (SELECT a.id AS i, b.id AS j, round(power(list_distance(a.v, b.v), 2), 9) AS d2
             FROM rep a, rep b WHERE a.id <> b.id),
           t AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d2, j) AS rank FROM p)
           SELECT i, j, rank, {r6('sqrt(d2)')} AS distance FROM t WHERE rank <= 14""",

@@ -541,12 +541,12 @@ def forest_classify(spark, sf):
 
 @query
 def boosting_regress(spark, sf):
-    return _test_scores(spark, sf, "GB", "regression", {"n_estimators": 50, "learning_rate": 0.1, "max_depth": 3})
+    return _test_scores(spark, sf, "GB", "regression", {"n_estimators": 20, "learning_rate": 0.1, "max_depth": 3})
 
 
 @query
 def boosting_classify(spark, sf):
-    return _test_scores(spark, sf, "GBC", "classification", {"n_estimators": 50, "learning_rate": 0.1, "max_depth": 3})
+    return _test_scores(spark, sf, "GBC", "classification", {"n_estimators": 20, "learning_rate": 0.1, "max_depth": 3})
 
 
 @query

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chromaspark.functions.columns import col, to_number
-from chromaspark.schema import NA_TOKENS, RETENTION, RUN_ID, solvent_columns
+from chromaspark.schema import NA_TOKENS, RETENTION, RUN_ID, quoted, solvent_columns
 
 SUFFIXES = {".csv": "csv", ".parquet": "parquet", ".json": "json"}
 
@@ -26,8 +26,8 @@ def source_format(path: str, fmt: str | None = None) -> str:
 
 
 def _missing_to_null(df: DataFrame) -> DataFrame:
-    tokens = [F.lit(t) for t in NA_TOKENS]
-    return df.select(*[F.when(~col(c).isin(*tokens), col(c)).alias(c) for c in df.columns])
+    tokens = ", ".join(f"'{t}'" for t in NA_TOKENS)
+    return df.selectExpr(*[f"CASE WHEN {quoted(c)} NOT IN ({tokens}) THEN {quoted(c)} END AS {quoted(c)}" for c in df.columns])
 
 
 def read_runs(spark: SparkSession, path: str, fmt: str | None = None, key: str = RUN_ID) -> DataFrame:
@@ -48,7 +48,7 @@ def read_runs(spark: SparkSession, path: str, fmt: str | None = None, key: str =
         df = _missing_to_null(text)
         for name in [*solvent_columns(df), RETENTION]:
             if name in df.columns:
-                df = df.withColumn(name, to_number(col(name)))
+                df = df.withColumn(name, to_number(name))
         if key in df.columns:
             df = df.withColumn(key, col(key).try_cast("bigint"))
     if key not in df.columns:
