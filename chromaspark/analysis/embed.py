@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from chromaspark.analysis.pca import pca
 from chromaspark.functions.columns import col, features_as
 from chromaspark.functions.nearest import nearest
-from chromaspark.functions.reuse import cut_lineage, fits_rows, keep
+from chromaspark.functions.reuse import cut_lineage, fits_rows, hot, keep
 from chromaspark.operators.lookup import lookup_join
 from chromaspark.operators.neighbours import as_vectors, distinct_vectors
 from chromaspark.schema import RUN_ID, quoted
@@ -215,7 +215,7 @@ def tsne_layout(vectors: DataFrame, edges: DataFrame, dims: int = 2, epochs: int
     """Gradient descent with momentum and gains; returns positions and KL at the first and last epoch."""
     n = vectors.count()
     small = fits_rows(vectors, POSITION_ROWS)
-    edges = keep(edges)
+    edges = hot(keep(edges))
     entropy = edges.agg(F.sum(F.col("p") * F.log("p"))).first()[0] or 0.0
     state = _start(vectors, dims, 1e-2)
     rate = max(n / exaggeration / 4.0, 50.0)
@@ -261,7 +261,7 @@ def umap_layout(vectors: DataFrame, edges: DataFrame, dims: int = 2, epochs: int
     """Cross-entropy descent with a falling rate; repulsion is the expected negative-sample force."""
     n = vectors.count()
     small = fits_rows(vectors, POSITION_ROWS)
-    edges = keep(edges)
+    edges = hot(keep(edges))
     state = _start(vectors, dims, 5.0)
     a_, b_ = CURVE_A, CURVE_B
 

@@ -74,8 +74,7 @@ def ward_merges(vectors: DataFrame, tail: int = TAIL, cell_rows: int = 4096) ->
     clusters = cut_lineage(vectors.select("id", "v", "w"))
     rounds, n, r = [], clusters.count(), 0
     while n > max(tail, 1):
-        held: list[DataFrame] = []
-        near = keep(nearest(clusters, clusters, 1, exclude_self=True, ward=True, cell_rows=cell_rows, kept=held))
+        near = keep(nearest(clusters, clusters, 1, exclude_self=True, ward=True, cell_rows=cell_rows))
         back = near.select(F.col("qid").alias("tid"), F.col("tid").alias("qid"))
         mutual = near.join(back, ["qid", "tid"]).where(F.col("qid") < F.col("tid"))
         a, b = clusters.alias("a"), clusters.alias("b")
@@ -89,8 +88,6 @@ def ward_merges(vectors: DataFrame, tail: int = TAIL, cell_rows: int = 4096) ->
         gone = merged.select(F.explode(F.array("left", "right")).alias("id"))
         clusters = cut_lineage(clusters.join(gone, "id", "left_anti").unionByName(
             merged.select(F.col("left").alias("id"), "v", F.col("size").alias("w"))))
-        for part in [near, *held]:
-            part.unpersist()
         done = merged.count()
         if done == 0:
             raise RuntimeError("no mutual nearest pair found")

@@ -97,23 +97,15 @@ def nearest(
     exclude_self: bool = False,
     ward: bool = False,
     cell_rows: int = 4096,
-    kept: list | None = None,
 ) -> DataFrame:
     """The ``k`` train vectors closest to each query: ``(qid, tid, d2)``.
 
     Both inputs are ``(id bigint, v array<double>, w double)`` with unique ids. Ties go to the smaller
     ``tid``. With ``ward`` the squared distance is scaled by 2*wq*wt/(wq+wt), the merge cost of two
     clusters of those sizes; ties then follow a hash of the pair, so that equal-distance chains do
-    not all point the same way. Persisted intermediates are added to ``kept`` for the caller to release.
+    not all point the same way.
     """
-
-    def hold(df: DataFrame) -> DataFrame:
-        df = keep(df)
-        if kept is not None:
-            kept.append(df)
-        return df
-
-    train = hold(train.select("id", "v", F.col("w").cast("double").alias("w")))
+    train = keep(train.select("id", "v", F.col("w").cast("double").alias("w")))
     queries = queries.select("id", "v", F.col("w").cast("double").alias("w"))
     head = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
     n, dim = head["n"], head["d"] or 1
@@ -133,7 +125,7 @@ def nearest(
         wanted = queries.withColumn("cell", F.lit(0).cast("bigint"))
         return _best(_pairs(wanted, packed, blocks, rows, dim, k, exclude_self, ward), k).drop("tie")
 
-    placed = hold(placed)
+    placed = keep(placed)
     stats = placed.groupBy("cell").agg(
         F.expr("count(1) AS n"), F.expr("min(w) AS w"),
         *[F.expr(f"{fn}(v[{i}]) AS {a}{i}") for i in range(dim) for fn, a in (("min", "lo"), ("max", "hi"))],
@@ -145,7 +137,7 @@ def nearest(
     cells.high = np.array([[r[f"hi{i}"] for i in range(dim)] for r in stats])
     sizes = {int(c): int(m) for c, m in zip(cells.ids, cells.count)}
     packed, blocks = _train_blocks(placed, sizes, rows)
-    packed = hold(packed)
+    packed = keep(packed)
     need = k + (1 if exclude_self else 0)
 
     def scaled(box: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -180,7 +172,7 @@ def nearest(
                     open_[i, c] = False
                 yield _repeat(part, [cells.ids[np.flatnonzero(o)] for o in open_])
 
-    close = hold(_best(_pairs(queries.mapInPandas(near, schema + ", cell bigint"), packed, blocks, rows, dim, k,
+    close = keep(_best(_pairs(queries.mapInPandas(near, schema + ", cell bigint"), packed, blocks, rows, dim, k,
                               exclude_self, ward), k))
     bound = close.groupBy("qid").agg(F.max("d2").alias("bound"), F.count(F.lit(1)).alias("m"))
     bounded = queries.join(bound, queries["id"] == bound["qid"], "left").select(

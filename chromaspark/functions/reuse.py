@@ -1,18 +1,14 @@
-"""Keeping intermediate tables: persisted, size-checked, or cut from their lineage."""
+"""Keeping intermediate tables: written to the shared folder, persisted, or size-checked."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Persist with spilling; lost executors are recomputed from the lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors see: the session's ``spark.checkpoint.dir``.
 
@@ -35,6 +31,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def session_folder(spark: SparkSession) -> str:
+    """This session's part of the shared folder; can be removed once the session has ended."""
+    return f"{shared_folder(spark)}/chromaspark-{spark.sparkContext.applicationId}"
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    The result is a plain scan: later plans stay small, read only the columns they need and know the
+    table's size, and a lost executor costs nothing but a re-read.
+    """
+    spark = df.sparkSession
+    path = f"{session_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def hot(df: DataFrame) -> DataFrame:
+    """Persist a kept table that an iterative fit reads many times (spills to disk)."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, for plans that grow with every iteration."""
     shared_folder(df.sparkSession)

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chromaspark.functions.columns import features_as
-from chromaspark.functions.reuse import keep
+from chromaspark.functions.reuse import hot, keep
 from chromaspark.schema import RUN_ID, quoted
 
 
@@ -91,7 +91,7 @@ def training_table(
     else:
         packed = rows.groupBy(*keys, "fold", "y").agg(F.expr("cast(count(1) AS double) AS w"))
         packed = packed.withColumn("ss", F.lit(0.0))
-    return TrainingTable(rows, keep(packed), list(features), task, n_labels, folds)
+    return TrainingTable(rows, hot(keep(packed)), list(features), task, n_labels, folds)
 
 
 SCORES = {

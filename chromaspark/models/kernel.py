@@ -12,6 +12,7 @@ from pyspark.sql.functions import pandas_udf
 
 from chromaspark.functions.columns import zero_filled
 from chromaspark.functions.descent import is_wide, lbfgs, row_sums
+from chromaspark.functions.reuse import hot
 from chromaspark.models.base import Model, TrainingTable
 from chromaspark.operators.moments import Scaler, fit_scaler
 
@@ -97,6 +98,7 @@ class SvrModel(Model):
 
 def fit_svr(rows: DataFrame, features: list[str], params: dict, y: str = "y", n_features: int = N_FEATURES) -> SvrModel:
     """1/2 |w|^2 + C * sum max(0, |r| - epsilon), with the corner rounded so L-BFGS applies."""
+    rows = hot(rows)
     scaler = fit_scaler(rows, features)
     fmap = fourier_map(scaler, n_features, gamma=params.get("gamma", "scale"))
     c, eps = float(params.get("C", 1.0)), float(params.get("epsilon", EPSILON))
@@ -122,6 +124,7 @@ def fit_svr(rows: DataFrame, features: list[str], params: dict, y: str = "y", n_
 
     start = np.concatenate([np.zeros(n_features), [head["m"] or 0.0]])
     w, history = lbfgs(value_and_grad, start, rounds=int(params.get("max_iter", 60)), tol=1e-3)
+    rows.unpersist()
     return SvrModel("SVR", "regression", list(features), dict(params), 0, fmap, w[:-1].tolist(), float(w[-1]), history)
 
 

@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chromaspark.functions.reuse import keep
-from chromaspark.models.base import Model, TrainingTable, packed_score
+from chromaspark.models.base import SCORES, Model, TrainingTable
 from chromaspark.operators.moments import Scaler
-from chromaspark.operators.neighbours import KnnIndex, as_vectors, distinct_vectors, fit_knn, knn_predict, vote
+from chromaspark.operators.neighbours import KnnIndex, as_vectors, distinct_vectors, fit_knn, knn_predict
+from chromaspark.schema import quoted
 
 
 @dataclass
@@ -43,6 +44,18 @@ def fit(table: TrainingTable, params: dict) -> KnnModel:
     return KnnModel("KNN", table.task, list(table.features), dict(params), table.n_labels, index)
 
 
+def _votes_for(near: DataFrame, sizes: list[int], classify: bool) -> DataFrame:
+    """Predictions ``p0..`` per query vector, one for each neighbour count, in one reduction."""
+    if not classify:
+        return near.groupBy("qid").agg(*[
+            F.expr(f"avg(CASE WHEN rank <= {k} THEN y END) AS p{i}") for i, k in enumerate(sizes)
+        ])
+    votes = near.groupBy("qid", "y").agg(*[
+        F.expr(f"count(CASE WHEN rank <= {k} THEN 1 END) AS c{i}") for i, k in enumerate(sizes)
+    ])
+    return votes.groupBy("qid").agg(*[F.expr(f"-max(struct(c{i}, -y)).col2 AS p{i}") for i in range(len(sizes))])
+
+
 def cv_scores(table: TrainingTable, grid: list[dict]) -> list[tuple[int, int, float]]:
     """``(grid_id, fold, score)``; one neighbour search per fold serves every k of the grid."""
     sizes = [int(p.get("n_neighbors", 5)) for p in grid]
@@ -51,19 +64,15 @@ def cv_scores(table: TrainingTable, grid: list[dict]) -> list[tuple[int, int, fl
     for f in range(table.folds):
         train, test = table.rows.where(F.col("fold") != f), table.rows.where(F.col("fold") == f)
         index = fit_knn(train, table.features, max(sizes), "y")
-        asked = keep(distinct_vectors(test, table.features))
-        near = keep(index.vector_neighbours(as_vectors(asked, index.scaler, table.features)))
-        for i, k in enumerate(sizes):
-            said = asked.join(vote(near, "y", k, classify), F.col("id") == F.col("qid")).select(
-                *[f"`{c}`" for c in table.features], "prediction"
-            )
-            packed = table.packed.where(F.col("fold") == f)
-            scored = packed.join(said, list(table.features))
-            value = packed_score(scored, table.task)
-            if value == value:
-                out.append((i, f, value))
-        for part in (near, asked, index.vectors, index.members):
-            part.unpersist()
+        asked = distinct_vectors(test, table.features)
+        near = index.vector_neighbours(as_vectors(asked, index.scaler, table.features))
+        said = _votes_for(near, sizes, classify).withColumnRenamed("qid", "id")
+        named = asked.select("id", *[quoted(c) for c in table.features]).join(said, "id")
+        scored = table.packed.where(F.col("fold") == f).join(named, list(table.features))
+        row = scored.selectExpr(*[
+            f"{SCORES[table.task].replace('prediction', f'p{i}')} AS s{i}" for i in range(len(grid))
+        ]).first()
+        out += [(i, f, float(row[f"s{i}"])) for i in range(len(grid)) if row[f"s{i}"] is not None]
     return out
 
 

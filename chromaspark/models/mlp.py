@@ -12,7 +12,7 @@ from pyspark.sql.functions import pandas_udf
 
 from chromaspark.functions.columns import zero_filled
 from chromaspark.functions.descent import is_wide, lbfgs, row_sums
-from chromaspark.functions.reuse import keep
+from chromaspark.functions.reuse import hot
 from chromaspark.models.base import Model
 from chromaspark.operators.moments import Scaler, fit_scaler
 
@@ -109,7 +109,7 @@ def fit_mlp(
     out, d = (n_labels if classify else 1), len(features)
     scaler = fit_scaler(packed, features, weight="w")
     held = F.pmod(F.xxhash64(*[zero_filled(f) for f in features], F.lit(seed)), F.lit(10)) == 0
-    data = keep(packed.select(
+    data = hot(packed.select(
         *[F.expr(t).alias(f"x{i}") for i, t in enumerate(scaler.texts())], F.col("y").cast("double").alias("y"),
         F.col("w"), held.cast("int").alias("held"),
     ))

@@ -76,7 +76,7 @@ _ready: dict = {}
 
 
 def dataset(spark: SparkSession, sf_dir: str) -> Dataset:
-    """Cleaned, enriched and coded runs; built once per session and folder, persisted with spilling."""
+    """Cleaned, enriched and coded runs; built once per session and folder, kept as a table."""
     slot = (spark.sparkContext.applicationId, sf_dir)
     if slot not in _ready:
         ds = load_dataset(enrich_descriptors(raw_runs(spark, sf_dir), descriptor_lookup(spark)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chromaspark.analysis import embed, pca as pca_mod, ward
 from chromaspark.analysis.qsrr import qsrr
@@ -20,7 +20,7 @@ from chromaspark.operators.neighbours import as_vectors, distinct_vectors, knn_j
 from chromaspark.operators.predict import predict_quality, predict_retention, prepare_compounds
 from chromaspark.plans import given
 from chromaspark.plans.given import dataset, descriptor_lookup, raw_runs
-from chromaspark.schema import DESCRIPTORS, QUALITY, QUALITY_CODE, RETENTION, RUN_ID, SMILES
+from chromaspark.schema import DESCRIPTORS, QUALITY, QUALITY_CODE, RETENTION, RUN_ID, SMILES, quoted
 from chromaspark.sources import report as rep, session as ses, tables
 from chromaspark.streaming import score as stream
 
@@ -54,14 +54,13 @@ def forget(spark: SparkSession) -> None:
 def tidy(df: DataFrame) -> DataFrame:
     """Comparable output: whole numbers as BIGINT, doubles to six places."""
 
-    def cell(name: str, kind: str) -> Column:
+    def cell(name: str, kind: str) -> str:
+        c = quoted(name)
         if kind in ("tinyint", "smallint", "int"):
-            return col(name).cast("bigint").alias(name)
-        if kind == "double":
-            return (F.round(col(name), 6) + F.lit(0.0)).alias(name)
-        return col(name)
+            return f"cast({c} AS bigint) AS {c}"
+        return f"round({c}, 6) + 0D AS {c}" if kind == "double" else c
 
-    return df.select(*[cell(n, t) for n, t in df.dtypes])
+    return df.selectExpr(*[cell(n, t) for n, t in df.dtypes])
 
 
 def scratch(spark: SparkSession, name: str) -> str:
