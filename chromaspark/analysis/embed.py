@@ -217,14 +217,14 @@ def tsne_layout(vectors: DataFrame, edges: DataFrame, dims: int = 2, epochs: int
     small = fits_rows(vectors, POSITION_ROWS)
     edges = hot(keep(edges))
     entropy = edges.agg(F.sum(F.col("p") * F.log("p"))).first()[0] or 0.0
-    state = _start(vectors, dims, 1e-2)
-    rate = max(n / exaggeration / 4.0, 50.0)
+    state = _start(vectors, dims, 1.0)
     early = epochs // 4
     losses = []
     for t in range(epochs):
         count, center = _grid(state, dims)
         boost = exaggeration if t < early else 1.0
         momentum = 0.5 if t < early else 0.8
+        rate = n / (4.0 * boost)  # keeps the pull of one step within the distance it covers
 
         def repulse(y):
             diff2 = np.zeros((len(y), len(center)))

@@ -26,7 +26,7 @@ def hash_split(df: DataFrame, key: str = RUN_ID, seed: int = SEED, percent: int
     return df.withColumn("is_test", (hash32(key, seed) % 100) < percent)
 
 
-def test_quotas(counts: dict, test_size: float) -> dict:
+def class_quotas(counts: dict, test_size: float) -> dict:
     """Test rows per class: ceil of the total, shared by largest remainder (ties: smaller code)."""
     total = sum(counts.values())
     wanted = math.ceil(test_size * total - 1e-9)
@@ -102,7 +102,7 @@ def exact_split(
     counts = {r[0]: r[1] for r in rows if r[0] is not None}
     if not counts:
         return df.withColumn("is_test", F.lit(False))
-    quota = test_quotas(counts, test_size)
+    quota = class_quotas(counts, test_size)
     if strata and sum(quota.values()) < len(counts):
         raise ValueError("the test share is smaller than the number of classes")
     chosen = F.lit(False)
