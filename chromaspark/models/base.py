@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chromaspark.functions.columns import features_as
@@ -56,6 +57,12 @@ def padded(probability: Column, n_labels: int) -> Column:
     )
 
 
+def stacked(cols) -> np.ndarray:
+    """Feature matrix of one Arrow batch; a single column arrives without its tuple."""
+    parts = cols if isinstance(cols, tuple) else (cols,)
+    return np.column_stack([c.to_numpy(dtype=np.float64) for c in parts])
+
+
 @dataclass
 class TrainingTable:
     """Training rows and their compressed form.

@@ -13,7 +13,7 @@ from pyspark.sql.functions import pandas_udf
 from chromaspark.functions.columns import zero_filled
 from chromaspark.functions.descent import is_wide, lbfgs, row_sums
 from chromaspark.functions.reuse import hot
-from chromaspark.models.base import Model, TrainingTable
+from chromaspark.models.base import Model, TrainingTable, stacked
 from chromaspark.operators.moments import Scaler, fit_scaler
 
 N_FEATURES = 128
@@ -65,7 +65,7 @@ def margins(features: list[str], fmap: FourierMap, coef: np.ndarray, bias: np.nd
     @pandas_udf("array<double>")
     def apply(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for cols in batches:
-            x = np.column_stack([c.to_numpy(dtype=np.float64) for c in cols])
+            x = stacked(cols)
             yield pd.Series(list(fmap.numpy(x) @ coef.T + bias))
 
     return apply(*[zero_filled(f) for f in features])
@@ -75,7 +75,7 @@ def linear_on_map(features: list[str], fmap: FourierMap, coef: np.ndarray, bias:
     @pandas_udf("double")
     def apply(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for cols in batches:
-            x = np.column_stack([c.to_numpy(dtype=np.float64) for c in cols])
+            x = stacked(cols)
             yield pd.Series(fmap.numpy(x) @ coef + bias)
 
     return apply(*[zero_filled(f) for f in features])

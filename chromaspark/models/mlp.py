@@ -13,7 +13,7 @@ from pyspark.sql.functions import pandas_udf
 from chromaspark.functions.columns import zero_filled
 from chromaspark.functions.descent import is_wide, lbfgs, row_sums
 from chromaspark.functions.reuse import hot
-from chromaspark.models.base import Model
+from chromaspark.models.base import Model, stacked
 from chromaspark.operators.moments import Scaler, fit_scaler
 
 
@@ -77,7 +77,7 @@ class MlpModel(Model):
         @pandas_udf(schema)
         def apply(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             for cols in batches:
-                x = (np.column_stack([c.to_numpy(dtype=np.float64) for c in cols]) - mean) * inv
+                x = (stacked(cols) - mean) * inv
                 yield finish(forward(x, w, d, hidden, out)[1])
 
         return apply(*[zero_filled(f) for f in self.features])
