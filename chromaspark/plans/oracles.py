@@ -192,7 +192,7 @@ def _gram(cols: list[str]) -> str:
     parts = []
     for i, a in enumerate(cols):
         for b in cols[i:]:
-            parts.append(f"SELECT '{a}' AS x, '{b}' AS y, {r6(f'regr_sxy({zero(b)}, {zero(a)})')} AS value FROM ds")
+            parts.append(f"SELECT '{a}' AS x, '{b}' AS y, {r6(f'regr_sxy({zero(b)}, {zero(a)}) / count(*)')} AS value_per_run FROM ds")
     return f"WITH {DS} " + " UNION ALL ".join(parts)
 
 
