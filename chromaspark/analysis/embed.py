@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from chromaspark.analysis.pca import pca
-from chromaspark.functions.columns import col, features_as
+from chromaspark.functions.columns import col, double, features_as
 from chromaspark.functions.nearest import nearest
 from chromaspark.functions.reuse import cut_lineage, fits_rows, hot, keep
 from chromaspark.operators.lookup import lookup_join
@@ -156,37 +156,38 @@ def _start(vectors: DataFrame, dims: int, spread: float) -> DataFrame:
 def _grid(state: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts and centroids of the occupied grid cells: at most ``GRID[dims] ** dims`` rows."""
     es = [f"e{c + 1}" for c in range(dims)]
-    box = state.agg(*[F.min(e).alias(f"lo_{e}") for e in es], *[F.max(e).alias(f"hi_{e}") for e in es]).first()
+    box = state.selectExpr(*[f"{fn}({e}) AS {fn}_{e}" for e in es for fn in ("min", "max")]).first()
     steps = GRID[dims]
     cell = []
     for e in es:
-        lo, hi = box[f"lo_{e}"], box[f"hi_{e}"]
-        width = max((hi - lo) / steps, 1e-12)
-        cell.append(F.least(F.floor((F.col(e) - F.lit(lo)) / F.lit(width)), F.lit(steps - 1)).alias(f"c_{e}"))
-    rows = state.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), *[F.avg(e).alias(e) for e in es]).collect()
+        low, width = box[f"min_{e}"], max((box[f"max_{e}"] - box[f"min_{e}"]) / steps, 1e-12)
+        cell.append(f"least(floor(({e} - {double(low)}) / {double(width)}), {steps - 1}) AS c_{e}")
+    rows = state.selectExpr(*es, *cell).groupBy(*[f"c_{e}" for e in es]).agg(
+        F.expr("count(1) AS n"), *[F.expr(f"avg({e}) AS {e}") for e in es]
+    ).collect()
     return np.array([r["n"] for r in rows], dtype=np.float64), np.array([[r[e] for e in es] for r in rows])
 
 
 def _edges_with_positions(edges: DataFrame, state: DataFrame, dims: int, small: bool) -> DataFrame:
     es = [f"e{c + 1}" for c in range(dims)]
-    at_i = state.select(F.col("id").alias("i"), *[F.col(e).alias(f"i{e}") for e in es])
-    at_j = state.select(F.col("id").alias("j"), *[F.col(e).alias(f"j{e}") for e in es])
+    at_i = state.selectExpr("id AS i", *[f"{e} AS i{e}" for e in es])
+    at_j = state.selectExpr("id AS j", *[f"{e} AS j{e}" for e in es])
     if small:  # counted against POSITION_ROWS
         at_i, at_j = F.broadcast(at_i), F.broadcast(at_j)
     return edges.join(at_j, "j").join(at_i, "i")
 
 
-def _attraction(edges: DataFrame, state: DataFrame, dims: int, small: bool, pull) -> DataFrame:
-    """Sum over the edges of ``p * pull(d2) * (y_i - y_j)`` per point, with the loss pieces."""
+def _attraction(edges: DataFrame, state: DataFrame, dims: int, small: bool, pull: str) -> DataFrame:
+    """Sum over the edges of ``p * pull * (y_i - y_j)`` per point (``pull`` is SQL text in ``d2``), with the loss pieces."""
     es = [f"e{c + 1}" for c in range(dims)]
     rows = _edges_with_positions(edges, state, dims, small)
-    d2 = sum(((F.col(f"i{e}") - F.col(f"j{e}")) ** 2 for e in es), F.lit(0.0))
-    rows = rows.withColumn("d2", d2)
-    factor = F.col("p") * pull(F.col("d2"))
-    return rows.groupBy("i").agg(
-        *[F.sum(factor * (F.col(f"i{e}") - F.col(f"j{e}"))).alias(f"a{e}") for e in es],
-        F.sum("p").alias("degree"), F.sum(F.col("p") * F.log1p("d2")).alias("stress"),
-    ).withColumnRenamed("i", "id")
+    gaps = [f"(i{e} - j{e}) AS x{e}" for e in es]
+    d2 = " + ".join(f"x{e} * x{e}" for e in es)
+    rows = rows.selectExpr("i", "p", *gaps).selectExpr("*", f"{d2} AS d2").selectExpr("*", f"p * ({pull}) AS f")
+    return rows.groupBy(F.col("i").alias("id")).agg(
+        *[F.expr(f"sum(f * x{e}) AS a{e}") for e in es], F.expr("sum(p) AS degree"),
+        F.expr("sum(p * log1p(d2)) AS stress"),
+    )
 
 
 def _advance(state: DataFrame, pulls: DataFrame, dims: int, small: bool, move) -> DataFrame:
@@ -245,7 +246,7 @@ def tsne_layout(vectors: DataFrame, edges: DataFrame, dims: int = 2, epochs: int
             u = momentum * u - rate * g * grad
             return y + u, u, g, mass
 
-        pulls = _attraction(edges, state, dims, small, lambda d2: 1.0 / (1.0 + d2))
+        pulls = _attraction(edges, state, dims, small, "1D / (1D + d2)")
         state = cut_lineage(_advance(state, pulls, dims, small, move))
         if t in (early, epochs - 1) or t == 0:
             s = state.agg(F.sum("z").alias("z"), F.sum("stress").alias("s")).first()
@@ -265,9 +266,8 @@ def umap_layout(vectors: DataFrame, edges: DataFrame, dims: int = 2, epochs: int
     state = _start(vectors, dims, 5.0)
     a_, b_ = CURVE_A, CURVE_B
 
-    def pull(d2):
-        safe = F.greatest(d2, F.lit(1e-12))
-        return F.lit(-2.0 * a_ * b_) * F.pow(safe, F.lit(b_ - 1.0)) / (F.lit(1.0) + F.lit(a_) * F.pow(safe, F.lit(b_)))
+    safe = "greatest(d2, 1e-12D)"
+    pull = f"{double(-2.0 * a_ * b_)} * pow({safe}, {double(b_ - 1.0)}) / (1D + {double(a_)} * pow({safe}, {double(b_)}))"
 
     stress = []
     for t in range(epochs):

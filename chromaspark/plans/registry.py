@@ -727,7 +727,7 @@ def tsne_graph(spark, sf):
     return embed.tsne_graph(_run_vectors(spark, sf))
 
 
-EPOCHS = 30
+EPOCHS = 10
 
 
 @query
