@@ -212,7 +212,8 @@ def assign(marked: DataFrame, radius: int = 4) -> DataFrame:
     reached = nodes.join(first, "fp")
     lowest = reached.groupBy("v").agg(F.min("least").alias("lowest"))
     moved = reached.join(lowest, "v").select("fp", "lowest")
-    of_each = first.join(moved, "fp", "left").select("fp", F.coalesce("lowest", "least").alias("least"))
+    of_each = keep(first.join(moved, "fp", "left").select("fp", F.coalesce("lowest", "least").alias("least")), "components")
+    # both sides are plain scans now, so Spark can split the many rows of one fingerprint
     return marked.join(of_each, "fp")
 
 
