@@ -57,6 +57,15 @@ def _matrix(values: pd.Series) -> np.ndarray:
     return np.stack(values.to_numpy()).astype(np.float64) if len(values) else np.zeros((0, 1))
 
 
+def _cut_value(x: np.ndarray) -> float:
+    """A value at or near the median with rows on both sides of it, if there are two values at all."""
+    middle = np.median(x)
+    if (x > middle).any():
+        return float(middle)
+    below = x[x < middle]  # half of the rows or more hold the largest value: they form one side
+    return float(below.max()) if len(below) else float(middle)
+
+
 def _cut_tree(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Median cuts along the widest dimension; the sample only shapes cells, never the result."""
     size = 2**depth - 1
@@ -67,7 +76,7 @@ def _cut_tree(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         if len(rows) > 1:
             part = sample[rows]
             d = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
-            dims[node], cuts[node] = d, np.median(part[:, d])
+            dims[node], cuts[node] = d, _cut_value(part[:, d])
             right = part[:, d] > cuts[node]
             members[2 * node + 1], members[2 * node + 2] = rows[~right], rows[right]
     return dims, cuts

@@ -104,7 +104,10 @@ def fit_mlp(
     weights travel each step.
     """
     classify = task == "classification"
-    hidden = int(params.get("hidden_layer_sizes", (50,))[0])
+    layers = params.get("hidden_layer_sizes", (50,))
+    if len(layers) != 1:
+        raise ValueError(f"one hidden layer is supported, not {layers!r}")
+    hidden = int(layers[0])
     alpha, rounds, tol = float(params.get("alpha", 1e-3)), int(params.get("max_iter", 500)), float(params.get("tol", 1e-4))
     out, d = (n_labels if classify else 1), len(features)
     scaler = fit_scaler(packed, features, weight="w")

@@ -81,8 +81,6 @@ def grid_search(name: str, table: TrainingTable, grid: list[dict], parallelism:
             return i, f, packed_score(model.predict(table.packed.where(F.col("fold") == f)), table.task)
 
         jobs = [(i, f) for i in range(len(grid)) for f in range(table.folds)]
-        if len(grid) == 1:
-            jobs = []  # nothing to choose between
         with ThreadPool(max(1, parallelism)) as pool:
             scores = pool.map(one, jobs)
     return Search(grid, scores, choose(scores, regression))
@@ -226,9 +224,9 @@ def learning_curve(
     spread = keep(base.withColumn("_u", (hash32(RUN_ID, seed) % 10_000) / F.lit(10_000.0)))
     params = params or cat.expand(cat.DEFAULT_GRIDS[(task, name)])[0]
     lines = []
+    whole = training_table(spread, features, y, task, n_labels, folds)
     for size in sizes:
-        table = training_table(spread.where(F.col("_u") < size), features, y, task, n_labels, folds)
-        whole = training_table(spread, features, y, task, n_labels, folds)
+        table = whole if size >= 1 else training_table(spread.where(F.col("_u") < size), features, y, task, n_labels, folds)
         for f in range(folds):
             part = _part(table, F.col("fold") != f)
             model = cat.fit(name, part, params)

@@ -72,10 +72,12 @@ def priority_table(
 
 
 def with_priority(scored: DataFrame, labels: list[str], priority: list[str] | None = None,
-                  aliases: dict[str, str] | None = None) -> DataFrame:
-    """Attach label and priority; classes outside the list drop out."""
+                  aliases: dict[str, str] | None = None, unlisted: bool = False) -> DataFrame:
+    """Attach label and priority. Classes outside the list drop out, or with ``unlisted`` stay without a priority."""
     table = priority_table(scored.sparkSession, labels, priority, aliases)  # one row per label
-    return scored.join(F.broadcast(table), "code")
+    if not unlisted:
+        return scored.join(F.broadcast(table), "code")
+    return scored.join(F.broadcast(table.drop("label")), "code", "left").withColumn("label", label_text(F.col("code"), labels))
 
 
 def best_condition(ranked: DataFrame) -> DataFrame:
@@ -92,8 +94,11 @@ def first_by_priority(ranked: DataFrame, group: list[str]) -> DataFrame:
 
 
 def top_conditions(ranked: DataFrame, n: int = 10, order: str = "priority") -> DataFrame:
-    """The ``n`` best conditions; ``order="code"`` sorts by falling label code instead of priority."""
-    first = F.col("priority").asc() if order == "priority" else F.col("code").desc()
+    """The ``n`` best conditions; ``order="code"`` sorts by falling label code instead of priority.
+
+    Conditions without a priority (``with_priority(unlisted=True)``) come last, or in their place by code.
+    """
+    first = F.col("priority").asc_nulls_last() if order == "priority" else F.col("code").desc()
     return ranked.orderBy(first, "pH", "org").limit(n)
 
 
@@ -137,6 +142,7 @@ def suggest_conditions(
     accuracy: float | None = None,
     r2: float | None = None,
     priority: list[str] | None = None,
+    aliases: dict[str, str] | None = None,
 ) -> DataFrame:
     """Best condition for each compound (rows with ``SMILES`` and descriptors), all at once.
 
@@ -146,7 +152,7 @@ def suggest_conditions(
     known = compounds.select(SMILES, *DESCRIPTORS).distinct()
     bare = known.select(*DESCRIPTORS).distinct()
     scored = score_conditions(classify, cross_conditions(bare, conditions), solvents, descriptors=True)
-    best = first_by_priority(with_priority(scored, labels, priority), DESCRIPTORS)
+    best = first_by_priority(with_priority(scored, labels, priority, aliases), DESCRIPTORS)
     if regress is not None:
         asked = condition_features(best, solvents, descriptors=True).withColumn("run_id", F.xxhash64(*DESCRIPTORS))
         best = regress(asked).select(*best.columns, col("prediction").alias("retention"))

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from chromaspark.functions.columns import col
+from chromaspark.functions.reuse import keep
 from chromaspark.operators.lookup import lookup_join
 from chromaspark.schema import DESCRIPTORS, DESCRIPTOR_TYPES, RUN_ID, SMILES
 
@@ -32,7 +33,8 @@ def _provided(df: DataFrame, provider: Provider) -> DataFrame:
             yield out[[SMILES, *DESCRIPTORS]]
 
     # mapInPandas follows the shuffle of distinct(), so costly chemistry is spread over all tasks.
-    return df.select(SMILES).dropna().distinct().mapInPandas(compute, schema).dropna(subset=DESCRIPTORS)
+    # The result is kept: size checks and several joins read it, and chemistry is the dearest step.
+    return keep(df.select(SMILES).dropna().distinct().mapInPandas(compute, schema).dropna(subset=DESCRIPTORS))
 
 
 def _ready(df: DataFrame, overwrite: bool) -> DataFrame:

@@ -51,7 +51,10 @@ def fit_scaler(df: DataFrame, features: list[str], weight: str | None = None) ->
         return Scaler(list(features), mean, std)
     g = gram(df, features, weight=weight)
     std = np.sqrt(np.maximum(np.diag(g.xx) / max(g.n, 1e-300), 0.0))
-    return Scaler(list(features), [float(m) for m in g.mean], [float(s) for s in np.where(std > 1e-12, std, 0.0)])
+    ends = df.where(F.expr(f"{quoted(weight)} <> 0")).selectExpr(*features_as(features, [f"x{i}" for i in range(len(features))])).selectExpr(
+        *[f"min(x{i}) <> max(x{i}) AS moves{i}" for i in range(len(features))]
+    ).first()
+    return Scaler(list(features), [float(m) for m in g.mean], [float(s) if ends[i] else 0.0 for i, s in enumerate(std)])
 
 
 def standardize(df: DataFrame, features: list[str]) -> DataFrame:

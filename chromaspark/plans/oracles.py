@@ -303,6 +303,19 @@ FROM best b JOIN r_qmap m ON b.run_id = m.run_id JOIN r_said s ON s.qid = m.qid"
         "knn_join": f"""WITH {DS}, {REG_SPLIT}, rtrain AS (SELECT * FROM rsplit WHERE NOT is_test),
           rtest AS (SELECT * FROM rsplit WHERE is_test), {knn('rtrain', 'rtest', '"Retention_Time_min"', 3, 'r_')}
           SELECT m.run_id, rk AS rank, member AS neighbour, {r6('sqrt(d2)')} AS distance FROM r_qmap m JOIN r_nn n ON m.qid = n.qid""",
+        "knn_continuous": f"""WITH x AS (
+            SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS id, CAST(min(l_extendedprice) AS DOUBLE) / 20000.0 AS a,
+                   CAST(min(l_quantity) AS DOUBLE) / 10.0 AS b, CAST(min(l_discount) AS DOUBLE) * 20.0 AS c, CAST(min(l_tax) AS DOUBLE) * 20.0 AS d
+            FROM lineitem GROUP BY l_orderkey, l_linenumber
+          ), s AS (SELECT *, CAST('0x' || substr(md5('42:' || CAST(id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 5 AS asked FROM x
+          ), n AS (
+            SELECT q.id, min({{'d2': round((q.a - t.a) * (q.a - t.a) + (q.b - t.b) * (q.b - t.b) + (q.c - t.c) * (q.c - t.c)
+                                          + (q.d - t.d) * (q.d - t.d), 9), 't': t.id}}, 5) AS m
+            FROM s q JOIN s t ON q.asked AND NOT t.asked GROUP BY q.id
+          ), u AS (SELECT id, unnest(m) AS h FROM n)
+          SELECT id AS run_id, row_number() OVER (PARTITION BY id ORDER BY h.d2, h.t) AS rank, h.t AS neighbour, {r6('h.d2')} AS d2 FROM u""",
+        "csv_multiline": """SELECT CAST(s_suppkey AS BIGINT) AS run_id,
+          s_name || chr(10) || '"line" two, ' || CAST(s_nationkey AS VARCHAR) AS "Compound" FROM supplier""",
         "knn_regress": f"WITH {REG_KNN} SELECT run_id, actual, {r6('prediction')} AS predicted FROM rscored",
         "knn_classify": f"WITH {CLF_KNN} SELECT run_id, actual, prediction AS predicted FROM cscored",
         "knn_grid_scores": knn_folds(),

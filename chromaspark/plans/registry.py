@@ -274,6 +274,32 @@ def knn_neighbours(spark, sf):
 _REGISTRY["knn_join"] = _REGISTRY.pop("knn_neighbours")
 
 
+@query
+def knn_continuous(spark, sf):
+    """Five nearest train rows of each query row over continuous columns; every row of ``lineitem`` is on one side."""
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(
+        *[F.min(c).cast("double").alias(c) for c in ("l_extendedprice", "l_quantity", "l_discount", "l_tax")]
+    ).selectExpr(
+        "CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS id",
+        "array(l_extendedprice / 20000D, l_quantity / 10D, l_discount * 20D, l_tax * 20D) AS v", "1D AS w",
+    )
+    split = keep(rows.withColumn("asked", F.expr("CAST(conv(substring(md5(concat('42:', CAST(id AS STRING))), 1, 8), 16, 10) AS BIGINT) % 100 < 5")))
+    near = nearest(split.where("asked"), split.where("NOT asked"), 5)
+    order = "row_number() OVER (PARTITION BY qid ORDER BY d2, tid) AS rank"
+    return tidy(near.selectExpr("qid AS run_id", order, "tid AS neighbour", "d2"))
+
+
+@query
+def csv_multiline(spark, sf):
+    """Supplier rows through CSV with line breaks and quotes inside a field."""
+    path = scratch(spark, "multiline")
+    rows = spark.read.parquet(f"{sf}/supplier.parquet").select(
+        F.col("s_suppkey").cast("bigint").alias(RUN_ID), F.concat("s_name", F.lit('\n"line" two, '), F.col("s_nationkey").cast("string")).alias("Compound")
+    )
+    tables.write_runs(rows, path)
+    return tables.read_runs(spark, path, "csv").select(RUN_ID, "Compound")
+
+
 @query
 def knn_regress(spark, sf):
     return tidy(ev.predicted_vs_actual(_reg_scored(spark, sf), RETENTION, RUN_ID))
@@ -375,6 +401,10 @@ def _ranked(spark, sf):
     return cond.with_priority(_conditions_scored(spark, sf), dataset(spark, sf).labels)
 
 
+def _all_ranked(spark, sf):
+    return cond.with_priority(_conditions_scored(spark, sf), dataset(spark, sf).labels, unlisted=True)
+
+
 @query
 def conditions(spark, sf):
     return _as_ph(_conditions(spark, sf))
@@ -392,12 +422,12 @@ def best_condition(spark, sf):
 
 @query
 def top_conditions(spark, sf):
-    return _as_ph(cond.top_conditions(_ranked(spark, sf)).select("pH", "org", "buf", "label"))
+    return _as_ph(cond.top_conditions(_all_ranked(spark, sf)).select("pH", "org", "buf", "label"))
 
 
 @query
 def top_conditions_code(spark, sf):
-    return _as_ph(cond.top_conditions(_ranked(spark, sf), order="code").select("pH", "org", "buf", "label"))
+    return _as_ph(cond.top_conditions(_all_ranked(spark, sf), order="code").select("pH", "org", "buf", "label"))
 
 
 @query
@@ -543,12 +573,12 @@ def forest_classify(spark, sf):
 
 @query
 def boosting_regress(spark, sf):
-    return _test_scores(spark, sf, "GB", "regression", {"n_estimators": 20, "learning_rate": 0.1, "max_depth": 3})
+    return _test_scores(spark, sf, "GB", "regression", {"n_estimators": 50, "learning_rate": 0.1, "max_depth": 3})
 
 
 @query
 def boosting_classify(spark, sf):
-    return _test_scores(spark, sf, "GBC", "classification", {"n_estimators": 20, "learning_rate": 0.1, "max_depth": 3})
+    return _test_scores(spark, sf, "GBC", "classification", {"n_estimators": 50, "learning_rate": 0.1, "max_depth": 3})
 
 
 @query

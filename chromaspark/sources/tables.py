@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from chromaspark.functions.columns import col, to_number
 from chromaspark.schema import NA_TOKENS, RETENTION, RUN_ID, quoted, solvent_columns
@@ -30,11 +30,25 @@ def _missing_to_null(df: DataFrame) -> DataFrame:
     return df.selectExpr(*[f"CASE WHEN {quoted(c)} NOT IN ({tokens}) THEN {quoted(c)} END AS {quoted(c)}" for c in df.columns])
 
 
+def content_key(df: DataFrame, key: str = RUN_ID) -> DataFrame:
+    """Put a key column in front: a hash of the row's content and, among equal rows, of their number.
+
+    The keys of a table are the same however it is partitioned or its files are split.
+    """
+    text = [F.coalesce(col(c).cast("string"), F.lit("")) for c in df.columns]
+    nulls = [col(c).isNull() for c in df.columns]
+    hashed = df.withColumn("_h", F.xxhash64(*nulls, *text))
+    copy = F.row_number().over(Window.partitionBy("_h").orderBy("_h"))
+    numbered = hashed.withColumn("_copy", copy)
+    return numbered.select(F.when(F.col("_copy") == 1, F.col("_h")).otherwise(F.xxhash64("_h", "_copy")).alias(key), *[col(c) for c in df.columns])
+
+
 def read_runs(spark: SparkSession, path: str, fmt: str | None = None, key: str = RUN_ID) -> DataFrame:
     """Run table from CSV, Parquet, JSON or a catalogue table.
 
     CSV is read as text without an inference pass; missing-value tokens become NULL and the known
-    numeric columns are parsed. A table without a key gets one from its place in the files.
+    numeric columns are parsed. Fields may hold quoted line breaks, so one task reads a CSV file as a
+    whole. A table without a key gets one from its content (:func:`content_key`).
     """
     kind = source_format(path, fmt)
     if kind == "table":
@@ -44,7 +58,7 @@ def read_runs(spark: SparkSession, path: str, fmt: str | None = None, key: str =
     elif kind == "json":
         df = spark.read.json(path)
     else:
-        text = spark.read.option("header", True).option("escape", '"').csv(path)
+        text = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
         df = _missing_to_null(text)
         for name in [*solvent_columns(df), RETENTION]:
             if name in df.columns:
@@ -52,7 +66,7 @@ def read_runs(spark: SparkSession, path: str, fmt: str | None = None, key: str =
         if key in df.columns:
             df = df.withColumn(key, col(key).try_cast("bigint"))
     if key not in df.columns:
-        df = df.select(F.monotonically_increasing_id().alias(key), *[col(c) for c in df.columns])
+        df = content_key(df, key)
     return df
 
 
@@ -69,7 +83,7 @@ def read_dataset(
     side = None
     if chromatogram_path:
         kind = source_format(chromatogram_path)
-        reader = spark.read.option("header", True) if kind == "csv" else spark.read
+        reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True) if kind == "csv" else spark.read
         side = reader.format(kind).load(chromatogram_path)
     return RunFiles(read_runs(spark, runs_path, fmt), side)
 

@@ -58,3 +58,12 @@ def test_suggestions_keep_compounds_without_a_class(spark, lookup, ds):
     assert (out["CCO"]["pH"], out["CCO"]["org"], out["CCO"]["retention"]) == (2.5, 20.0, 5.0)
     grid = cond.cross_conditions(lookup, conditions, per_block=2)
     assert grid.count() == 4 * conditions.count()
+
+
+def test_unlisted_labels_stay_in_the_top_list(spark):
+    from chromaspark.operators.conditions import top_conditions, with_priority
+
+    scored = spark.createDataFrame([(3.0, 20.0, 80.0, 0), (4.0, 20.0, 80.0, 1)], "pH double, org double, buf double, code int")
+    ranked = with_priority(scored, ["Overlaping", "quite new"], unlisted=True)
+    assert [r["label"] for r in top_conditions(ranked).collect()] == ["Overlaping", "quite new"]
+    assert [r["label"] for r in top_conditions(ranked, order="code").collect()] == ["quite new", "Overlaping"]

@@ -57,3 +57,17 @@ def test_join_over_a_hot_vector(spark):
     for i in range(30):
         d = np.round((((np.array([0.1 * i, 0.0]) - t) / s) ** 2).sum(axis=1), 9)
         assert got[1000 + i] == list(np.lexsort((np.arange(300), d))[:5])
+
+
+def test_cut_with_most_rows_at_the_maximum():
+    """A dimension whose largest value holds most of the rows is cut all the same."""
+    from chromaspark.functions.nearest import _cut_tree
+
+    rng = np.random.default_rng(5)
+    x = rng.random((4000, 3)) * [10, 1, 1]
+    x[: 2400, 0] = 10.0
+    dims, cuts = _cut_tree(x, 6)
+    node = np.zeros(len(x), dtype=int)
+    for _ in range(6):
+        node = 2 * node + 1 + (x[np.arange(len(x)), dims[node]] > cuts[node])
+    assert np.bincount(node).max() < 400

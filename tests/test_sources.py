@@ -21,7 +21,7 @@ def test_csv_sample(spark, tmp_path):
     side = tmp_path / "chrom.csv"
     side.write_text("t,signal\n0,1\n")
     files = tables.read_dataset(spark, str(p), str(side))
-    a, b = files.runs.orderBy("run_id").collect()
+    a, b = files.runs.orderBy("Compound").collect()
     assert a["Compound"] == "A, first" and a["Buffer_%"] == 60.0
     assert b["SMILES"] is None and b["Retention_Time_min"] is None and b["Separation_Quality"] is None and b["pH"] is None
     assert files.chromatogram.count() == 1
@@ -77,3 +77,15 @@ def test_stream_scores_new_files_once(spark, runs, ds, lookup, tmp_path):
     got = {r["run_id"]: r["prediction"] for r in spark.read.parquet(out).collect()}
     want = {r["run_id"]: r["prediction"] for r in model.predict(ds.df).collect()}
     assert len(got) == 120 and got == pytest.approx(want)
+
+
+def test_quoted_line_break_and_content_keys(spark, tmp_path):
+    from chromaspark.sources.tables import read_runs
+
+    (tmp_path / "a.csv").write_text('Compound,SMILES,pH\n"two\nlines",CO,3\nplain,CN,4\nplain,CN,4\n')
+    runs = read_runs(spark, str(tmp_path / "a.csv"))
+    keys = sorted(r["run_id"] for r in runs.collect())
+    assert len(set(keys)) == 3
+    assert sorted(r["Compound"] for r in runs.collect()) == ["plain", "plain", "two\nlines"]
+    runs.drop("run_id").repartition(3).write.parquet(str(tmp_path / "b.parquet"))
+    assert sorted(r["run_id"] for r in read_runs(spark, str(tmp_path / "b.parquet")).collect()) == keys
