@@ -147,6 +147,7 @@ def search(
     n, dim, longest = head["n"], head["d"] or 1, head["longest"] or 0.0
     asked = rows.where(is_query).select(F.col("id").alias("qid"), "v")
     query = keep(asked.join(index.withColumnRenamed("id", "rep"), "v").select("qid", "rep", "v"), "queries")
+    n_query = query.count()
     kind = members.schema["v"].dataType.simpleString()
     depth = int(max(0, min(np.ceil(np.log2(max(1, n / leaf_rows))), np.floor(np.log2(max(1, min(n, fit_rows) / LEAST_FIT_LEAF))))))
 
@@ -205,7 +206,8 @@ def search(
                      pa.array([q[i].ravel() for i in where.values()], pa.list_(pa.float64()))], ["tree", "leaf", "qs", "vs"],
                 )
 
-    distinct = query.select(F.col("rep"), "v").distinct()
+    # walking a query costs far more than its bytes tell, so the number of tasks does not follow them
+    distinct = query.select(F.col("rep"), "v").distinct().repartition(max(spark.sparkContext.defaultParallelism, n_query // BLOCK))
     walked = distinct.mapInArrow(walk, "tree int, leaf int, qs array<bigint>, vs array<double>")
     met = walked.join(packed, ["tree", "leaf"]).select("qs", "vs", "ids", "xs")
     most = k + 1
