@@ -177,7 +177,7 @@ def leaks(
 
     seeds = keep(items.mapInArrow(seeds_of, "item bigint, place int, hash bigint"), "seeds")
     n = seeds.count()
-    bits = int(min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << int(np.ceil(np.log2(32 * max(1, n)))))))
+    bits = int(min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << int(np.ceil(np.log2(256 * max(1, n)))))))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = np.zeros(bits, dtype=bool)
