@@ -65,7 +65,8 @@ def verdicts(captures: DataFrame, entries: DataFrame, url: str = "url", day: str
     ``hits`` counts the list patterns in force on that date, the rest describes the first of them by
     (list, pattern); all null if there is none. A null URL or date has no hits.
     """
-    asked = captures.select(F.col(url).alias("url"), F.col(day).alias("day")).distinct()
+    # the bare URL is computed here once, in all tasks that read captures
+    asked = captures.select(F.col(url).alias("url"), F.col(day).alias("day"), canonical(F.col(url)).alias("bare")).distinct()
     reach = asked.agg(F.min(_period(F.col("day"))).alias("lo"), F.max(_period(F.col("day"))).alias("hi"))
     spans = intervals(entries).crossJoin(F.broadcast(reach))  # one row
     spans = spans.where("lo IS NOT NULL").select(
@@ -73,7 +74,7 @@ def verdicts(captures: DataFrame, entries: DataFrame, url: str = "url", day: str
         F.least(_period(F.date_sub("until", 1)), "hi").alias("b"),
     ).where("a <= b").select("pattern", "list", "since", "until", F.explode(F.sequence("a", "b")).alias("period"))
     wide = asked.where("url IS NOT NULL AND day IS NOT NULL").select(
-        "url", "day", _period(F.col("day")).alias("period"), F.explode(patterns_of(canonical(F.col("url")))).alias("pattern")
+        "url", "day", _period(F.col("day")).alias("period"), F.explode(patterns_of(F.col("bare"))).alias("pattern")
     )
     met = wide.join(spans, ["pattern", "period"]).where("day >= since AND day < until")
     first = F.min(F.struct("list", "pattern", "since", "until")).alias("m")
