@@ -149,6 +149,9 @@ ctrain AS (SELECT * FROM csplit WHERE NOT is_test), ctest AS (SELECT * FROM cspl
 cscored AS (SELECT t.run_id, t.code AS actual, s.prediction, m.qid FROM ctest t
   JOIN c_qmap m ON t.run_id = m.run_id JOIN c_said s ON m.qid = s.qid)"""
 
+CLF_ACCURACY = f"(WITH {CLF_KNN} SELECT {r6('avg(CASE WHEN actual = prediction THEN 1.0 ELSE 0.0 END)')} FROM cscored)"
+REG_R2 = f"(WITH {REG_KNN} SELECT {r6('1.0 - avg((actual - prediction) * (actual - prediction)) / var_pop(actual)')} FROM rscored)"
+
 CONDITIONS = """conds AS (SELECT DISTINCT "pH" AS ph, "Buffer_%" AS org, 100.0 - "Buffer_%" AS buf FROM ds
   WHERE "pH" IS NOT NULL AND "Buffer_%" IS NOT NULL AND "Organic_%" = 100.0 - "Buffer_%")"""
 
@@ -352,13 +355,13 @@ FROM best b JOIN r_qmap m ON b.run_id = m.run_id JOIN r_said s ON s.qid = m.qid"
         "heatmap": f"""WITH {CONDS_SCORED} SELECT a.ph, b.org, s.code FROM (SELECT DISTINCT "pH" AS ph FROM ds WHERE "pH" IS NOT NULL) a
           JOIN (SELECT DISTINCT "Buffer_%" AS org FROM ds WHERE "Buffer_%" IS NOT NULL) b ON true
           LEFT JOIN scored s ON s.ph = a.ph AND s.org = b.org""",
-        "suggest_per_compound": suggest,
+        "suggest_per_compound": f"SELECT x.*, {CLF_ACCURACY} AS accuracy, {REG_R2} AS r2 FROM ({suggest}) x",
         "predict_retention": f"""WITH {DS}, {REG_SPLIT}, {COMPOUNDS}, rtrain AS (SELECT * FROM rsplit WHERE NOT is_test),
           {knn('rtrain', 'compq', '"Retention_Time_min"', 5, 'r_')}, {regress('r_')}
           SELECT c."SMILES", {r6('s.prediction')} AS retention FROM compq c JOIN r_qmap m ON c.run_id = m.run_id JOIN r_said s ON s.qid = m.qid""",
         "predict_quality": f"""WITH {DS}, {CLF_SPLIT}, {COMPOUNDS}, ctrain AS (SELECT * FROM csplit WHERE NOT is_test),
           {knn('ctrain', 'compq', 'code', 5, 'c_')}, {classify('c_')}
-          SELECT c."SMILES", s.prediction AS code, l.label FROM compq c JOIN c_qmap m ON c.run_id = m.run_id
+          SELECT c."SMILES", s.prediction AS code, l.label, {CLF_ACCURACY} AS accuracy FROM compq c JOIN c_qmap m ON c.run_id = m.run_id
           JOIN c_said s ON s.qid = m.qid JOIN labels l ON l.code = s.prediction""",
         "qsrr_single": f"WITH {DS}, {SINGLE} SELECT {r6('b')} AS slope, {r6('a')} AS intercept, {r6('r2')} AS r2, n FROM fit",
         "qsrr_two": f"WITH {DS}, {TWO} SELECT {r6(bu)} AS logp, {r6(bv)} AS ph, {r6(f'my - {bu} * mu - {bv} * mv')} AS intercept FROM two",

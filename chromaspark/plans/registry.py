@@ -265,6 +265,16 @@ def _clf_scored(spark, sf):
     return keep(_clf_knn(spark, sf).predict(test).select(RUN_ID, QUALITY_CODE, "prediction", "probability"))
 
 
+@once
+def _clf_accuracy(spark, sf):
+    return ev.accuracy(_clf_scored(spark, sf), QUALITY_CODE).first()["accuracy"]
+
+
+@once
+def _reg_r2(spark, sf):
+    return ev.regression_metrics(_reg_scored(spark, sf), RETENTION).first()["r2"]
+
+
 @query
 def knn_neighbours(spark, sf):
     rows, ds = _reg_split(spark, sf), dataset(spark, sf)
@@ -441,9 +451,9 @@ def suggest_per_compound(spark, sf):
     ds = dataset(spark, sf)
     out = cond.suggest_conditions(
         _compounds(spark, sf), _conditions(spark, sf), ds.solvents, _clf_knn(spark, sf).predict, ds.labels,
-        _reg_knn(spark, sf).predict,
+        _reg_knn(spark, sf).predict, accuracy=_clf_accuracy(spark, sf), r2=_reg_r2(spark, sf),
     )
-    return _as_ph(out.select(SMILES, "pH", "org", "buf", "label", "retention"))
+    return _as_ph(out.select(SMILES, "pH", "org", "buf", "label", "retention", "accuracy", "r2"))
 
 
 @query
@@ -453,7 +463,8 @@ def predict_retention_default(spark, sf):
 
 @query
 def predict_quality_default(spark, sf):
-    return tidy(predict_quality(_clf_knn(spark, sf), _compounds(spark, sf), dataset(spark, sf).labels).drop("accuracy"))
+    said = predict_quality(_clf_knn(spark, sf), _compounds(spark, sf), dataset(spark, sf).labels, _clf_accuracy(spark, sf))
+    return tidy(said)
 
 
 _REGISTRY["predict_retention"] = _REGISTRY.pop("predict_retention_default")
