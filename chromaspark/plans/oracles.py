@@ -228,7 +228,7 @@ cum AS (SELECT class, score, pos, neg, sum(pos) OVER w AS cp, sum(neg) OVER w AS
 
 
 
-def knn_folds(k_values: tuple[int, ...] = (3, 5, 7), folds: int = 3) -> str:
+def knn_folds(k_values: tuple[int, ...] = (3, 5, 7), folds: int = 3, rounded: bool = True) -> str:
     """Scores of every k on every fold of the regression training rows."""
     head = f"""{DS}, {REG_SPLIT},
 folded AS (SELECT *, {h(43)} % {folds} AS fold FROM rsplit WHERE NOT is_test)"""
@@ -240,7 +240,7 @@ folded AS (SELECT *, {h(43)} % {folds} AS fold FROM rsplit WHERE NOT is_test)"""
             picks.append(f"""SELECT {i} AS grid_id, {f} AS fold, sqrt(avg((t.y - s.p) * (t.y - s.p))) AS score FROM
  (SELECT run_id, "Retention_Time_min" AS y FROM b{f}) t JOIN k{f}_qmap m ON t.run_id = m.run_id
  JOIN (SELECT qid, avg(y) AS p FROM k{f}_nn WHERE rk <= {k} GROUP BY qid) s ON s.qid = m.qid""")
-    return f"WITH {', '.join(ctes)} SELECT CAST(grid_id AS BIGINT) AS grid_id, CAST(fold AS BIGINT) AS fold, {r6('score')} AS score FROM ({' UNION ALL '.join(picks)})"
+    return f"WITH {', '.join(ctes)} SELECT CAST(grid_id AS BIGINT) AS grid_id, CAST(fold AS BIGINT) AS fold, {r6('score') if rounded else 'score'} AS score FROM ({' UNION ALL '.join(picks)})"
 
 
 def oracles() -> dict[str, str]:
@@ -382,4 +382,6 @@ FROM best b JOIN r_qmap m ON b.run_id = m.run_id JOIN r_said s ON s.qid = m.qid"
     body = CLF_KNN[len(DS):]
     out["results_table"] = f"""WITH {REG_KNN}{body} {reg} UNION ALL
       SELECT 'KNN', 'Classification', NULL, NULL, NULL, {r6('avg(CASE WHEN actual = prediction THEN 1.0 ELSE 0.0 END)')} FROM cscored"""
-    return out
+    from chromaspark.plans import proof_sql  # builds on the parts above
+
+    return out | proof_sql.oracles()

@@ -550,10 +550,18 @@ def linear_grid_scores(spark, sf):
     return spark.createDataFrame(rows, tune.SCORES_SCHEMA)
 
 
+def fitted(spark, sf, name: str, task: str, params: dict):
+    """A model fitted on the training rows, shared by the queries that ask for it."""
+    slot = (f"{task} {name} {params}", spark.sparkContext.applicationId, sf)
+    if slot not in _memo:
+        _memo[slot] = cat.fit(name, (_reg_table if task == "regression" else _clf_table)(spark, sf), params)
+    return _memo[slot]
+
+
 def _test_scores(spark, sf, name: str, task: str, params: dict) -> DataFrame:
-    table, rows = (_reg_table, _reg_split) if task == "regression" else (_clf_table, _clf_split)
+    rows = _reg_split if task == "regression" else _clf_split
     target = RETENTION if task == "regression" else QUALITY_CODE
-    model = cat.fit(name, table(spark, sf), params)
+    model = fitted(spark, sf, name, task, params)
     return model.predict(rows(spark, sf).where("is_test")).select(RUN_ID, col(target).alias("actual"), "prediction")
 
 
@@ -614,20 +622,14 @@ def mlp_classify(spark, sf):
 
 # --- training runs --------------------------------------------------------------------------------
 
-QUICK_GRIDS = {
-    ("regression", "DT"): {"max_depth": [5, 10]},
-    ("classification", "DT"): {"max_depth": [5, 10]},
-}
-
-
 @once
 def _trained_reg(spark, sf):
-    return tune.train_regression(dataset(spark, sf), ["LR", "Ridge", "Lasso", "KNN", "DT"], QUICK_GRIDS)
+    return tune.train_regression(dataset(spark, sf), ["LR", "Ridge", "Lasso", "KNN", "DT"])
 
 
 @once
 def _trained_clf(spark, sf):
-    return tune.train_classification(dataset(spark, sf), ["KNN", "DT", "LR"], QUICK_GRIDS)
+    return tune.train_classification(dataset(spark, sf), ["KNN", "DT", "LR"])
 
 
 @query
@@ -647,7 +649,7 @@ def grid_scores(spark, sf):
 
 @query
 def grid_means(spark, sf):
-    return tune.mean_scores(_trained_reg(spark, sf).scores(spark).where("model = 'KNN'"))
+    return tidy(tune.mean_scores(_trained_reg(spark, sf).scores(spark).where("model = 'KNN'")))
 
 
 @query
@@ -758,14 +760,24 @@ def _run_vectors(spark, sf):
     return keep(as_vectors(distinct_vectors(ds.df, ds.features), None, ds.features))
 
 
+@once
+def _umap_edges(spark, sf):
+    return keep(embed.umap_graph(_run_vectors(spark, sf)))
+
+
+@once
+def _tsne_edges(spark, sf):
+    return keep(embed.tsne_graph(_run_vectors(spark, sf)))
+
+
 @query
 def umap_graph(spark, sf):
-    return embed.umap_graph(_run_vectors(spark, sf))
+    return _umap_edges(spark, sf)
 
 
 @query
 def tsne_graph(spark, sf):
-    return embed.tsne_graph(_run_vectors(spark, sf))
+    return _tsne_edges(spark, sf)
 
 
 EPOCHS = 10
@@ -829,6 +841,8 @@ def score_stream(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_REGISTRY)
+    from chromaspark.plans import proofs  # builds on the queries above
+
+    return _REGISTRY | proofs.queries()
 
 
