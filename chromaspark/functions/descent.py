@@ -54,15 +54,17 @@ def lbfgs(
     tol: float = 1e-4,
     memory: int = 10,
     watch: Callable[[np.ndarray, float], bool] | None = None,
-) -> tuple[np.ndarray, list[float]]:
-    """Minimise a smooth function; returns the point and the value after every step.
+) -> tuple[np.ndarray, list[float], bool]:
+    """Minimise a smooth function; returns the point, the value after every step and whether it converged.
 
-    ``watch(point, value)`` may stop the run early.
+    It has converged if a step changes the value by less than the tolerance, or if no shorter step lowers
+    it any more. ``watch(point, value)`` may stop the run early, which does not count as converged.
     """
     x = start.astype(np.float64)
     f, g = value_and_grad(x)
     history = [f]
     pairs: deque = deque(maxlen=memory)
+    done = False
     for _ in range(rounds):
         q, alphas = g.copy(), []
         for s, y, rho in reversed(pairs):
@@ -89,6 +91,7 @@ def lbfgs(
                 break
             step *= 0.4
         if not moved:
+            done = True
             break
         s, y = nx - x, ng - g
         if s @ y > 1e-12 * float(np.linalg.norm(s) * np.linalg.norm(y)):
@@ -100,4 +103,4 @@ def lbfgs(
             break
         if done:
             break
-    return x, history
+    return x, history, done

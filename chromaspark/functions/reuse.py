@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,6 +48,11 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_ids(df: DataFrame, name: str = "run_id") -> DataFrame:
+    """``df`` with a unique bigint id a row, kept, so that the ids stay as they are."""
+    return keep(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def hot(df: DataFrame) -> DataFrame:
     """Persist a kept table that an iterative fit reads many times (spills to disk)."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)

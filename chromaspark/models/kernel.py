@@ -17,6 +17,7 @@ from chromaspark.models.base import Model, TrainingTable, stacked
 from chromaspark.operators.moments import Scaler, fit_scaler
 
 N_FEATURES = 128
+MAX_STEPS = 1000  # of the optimiser, which ends earlier where the value settles
 EPSILON = 0.1
 SMOOTH = 0.01  # half-width of the quadratic corner of the epsilon-insensitive loss
 
@@ -87,6 +88,7 @@ class SvrModel(Model):
     coef: list[float] = field(default_factory=list)
     bias: float = 0.0
     history: list[float] = field(default_factory=list)
+    converged: bool | None = None  # None for a loaded model
     kind = "svr"
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -97,7 +99,10 @@ class SvrModel(Model):
 
 
 def fit_svr(rows: DataFrame, features: list[str], params: dict, y: str = "y", n_features: int = N_FEATURES) -> SvrModel:
-    """1/2 |w|^2 + C * sum max(0, |r| - epsilon), with the corner rounded so L-BFGS applies."""
+    """1/2 |w|^2 + C * sum max(0, |r| - epsilon), with the corner rounded so L-BFGS applies.
+
+    Runs until the value settles; ``converged`` tells whether ``max_iter`` steps were enough.
+    """
     rows = hot(rows)
     scaler = fit_scaler(rows, features)
     fmap = fourier_map(scaler, n_features, gamma=params.get("gamma", "scale"))
@@ -123,9 +128,9 @@ def fit_svr(rows: DataFrame, features: list[str], params: dict, y: str = "y", n_
         return float(value), grad
 
     start = np.concatenate([np.zeros(n_features), [head["m"] or 0.0]])
-    w, history = lbfgs(value_and_grad, start, rounds=int(params.get("max_iter", 60)), tol=1e-3)
+    w, history, converged = lbfgs(value_and_grad, start, rounds=int(params.get("max_iter", MAX_STEPS)), tol=1e-3)
     rows.unpersist()
-    return SvrModel("SVR", "regression", list(features), dict(params), 0, fmap, w[:-1].tolist(), float(w[-1]), history)
+    return SvrModel("SVR", "regression", list(features), dict(params), 0, fmap, w[:-1].tolist(), float(w[-1]), history, converged)
 
 
 def svr_from_table(table: TrainingTable, params: dict) -> SvrModel:

@@ -162,7 +162,7 @@ def fit_mlp(
                 best.update(loss=loss, w=w.copy())
         return best["since"] >= 10
 
-    w, history = lbfgs(value_and_grad, start, rounds=rounds, tol=tol * 1e-2, watch=watch)
+    w, history, _ = lbfgs(value_and_grad, start, rounds=rounds, tol=tol * 1e-2, watch=watch)
     data.unpersist()
     chosen = best["w"] if early and np.isfinite(best["loss"]) else w
     return MlpModel(name, task, list(features), dict(params), n_labels, scaler, hidden, chosen.tolist(), history)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from chromaspark.functions.columns import feature_array
 from chromaspark.functions.descent import is_wide, lbfgs, row_sums
 from chromaspark.models.base import Model, TrainingTable, padded
-from chromaspark.models.kernel import FourierMap, fourier_map, margins
+from chromaspark.models.kernel import MAX_STEPS, FourierMap, fourier_map, margins
 from chromaspark.operators.moments import Scaler, fit_scaler
 
 UNLIMITED_DEPTH = 30  # the deepest tree Spark grows
@@ -161,6 +161,7 @@ class SvcModel(Model):
     bias: list[float] = field(default_factory=list)
     platt: LogisticRegressionModel | None = None
     history: list[float] = field(default_factory=list)
+    converged: bool | None = None  # None for a loaded model
     kind = "svc"
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -184,7 +185,7 @@ def fit_svc(table: TrainingTable, params: dict) -> SvcModel:
     """RBF margins of every class against the rest, fitted together in one pass per step.
 
     1/2 |w|^2 + C * sum hinge per class, with the hinge rounded at its corner. Probabilities come from
-    a logistic fit on the margins.
+    a logistic fit on the margins. ``converged`` tells whether the value settled within ``max_iter`` steps.
     """
     packed, features, k = table.packed, table.features, table.n_labels
     scaler = fit_scaler(packed, features, weight="w")
@@ -210,7 +211,7 @@ def fit_svc(table: TrainingTable, params: dict) -> SvcModel:
         value = (0.5 * np.sum(free * free) + c * s[0]) / n
         return float(value), (free.ravel() + c * s[1:]) / n
 
-    w, history = lbfgs(value_and_grad, np.zeros((m + 1) * k), rounds=int(params.get("max_iter", 50)), tol=1e-2)
+    w, history, converged = lbfgs(value_and_grad, np.zeros((m + 1) * k), rounds=int(params.get("max_iter", MAX_STEPS)), tol=1e-2)
     w = w.reshape(m + 1, k)
     coef, bias = w[:-1].T, w[-1]
     scored = packed.select(
@@ -219,7 +220,7 @@ def fit_svc(table: TrainingTable, params: dict) -> SvcModel:
     platt = LogisticRegression(featuresCol="_m", labelCol="y", weightCol="w", rawPredictionCol="_r", maxIter=50, tol=1e-4)
     fitted = platt.fit(scored)
     scored.unpersist()
-    return SvcModel("SVC", "classification", list(features), dict(params), k, fmap, coef.tolist(), bias.tolist(), fitted, history)
+    return SvcModel("SVC", "classification", list(features), dict(params), k, fmap, coef.tolist(), bias.tolist(), fitted, history, converged)
 
 
 CORNER = 0.1  # width of the rounded corner of the hinge

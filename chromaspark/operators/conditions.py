@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chromaspark.functions.columns import col, complement
+from chromaspark.functions.reuse import with_ids
 from chromaspark.operators.clean import label_text
 from chromaspark.operators.lookup import lookup_join
-from chromaspark.schema import DESCRIPTORS, PH, QUALITY_PRIORITY, SMILES
+from chromaspark.schema import DESCRIPTORS, PH, QUALITY_PRIORITY, RUN_ID, SMILES
 
 MAX_BROADCAST_CONDITIONS = 50_000
 
@@ -48,9 +49,7 @@ def condition_features(conditions: DataFrame, solvents: list[str], descriptors:
 def score_conditions(predict: Callable[[DataFrame], DataFrame], conditions: DataFrame, solvents: list[str],
                      descriptors: bool = False) -> DataFrame:
     """Predicted class ``code`` of every condition in one batch."""
-    keyed = condition_features(conditions, solvents, descriptors).withColumn(
-        "run_id", F.xxhash64(*[col(c) for c in conditions.columns])
-    )
+    keyed = with_ids(condition_features(conditions, solvents, descriptors), RUN_ID)
     scored = predict(keyed)
     return scored.select(*[col(c) for c in conditions.columns], col("prediction").cast("int").alias("code"))
 
@@ -154,7 +153,7 @@ def suggest_conditions(
     scored = score_conditions(classify, cross_conditions(bare, conditions), solvents, descriptors=True)
     best = first_by_priority(with_priority(scored, labels, priority, aliases), DESCRIPTORS)
     if regress is not None:
-        asked = condition_features(best, solvents, descriptors=True).withColumn("run_id", F.xxhash64(*DESCRIPTORS))
+        asked = with_ids(condition_features(best, solvents, descriptors=True), RUN_ID)
         best = regress(asked).select(*best.columns, col("prediction").alias("retention"))
     out = lookup_join(known, best, DESCRIPTORS, "left", spread=F.xxhash64(SMILES))
     if accuracy is not None:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chromaspark.functions.columns import col
@@ -9,6 +12,7 @@ from chromaspark.schema import quoted
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 * 1024 * 1024
+NO_KEY_SALTS = 1 << 20
 
 
 def _small(dim: DataFrame, max_rows: int, max_bytes: int) -> bool:
@@ -33,11 +37,16 @@ def lookup_join(
 
     A measured small ``dim`` is broadcast, so ``facts`` never moves. Otherwise both sides are
     shuffled on (key, salt): ``dim`` is repeated once per salt and each fact row picks a salt from
-    ``spread`` (a column expression that varies inside a hot key, e.g. a hash of the row key).
+    ``spread`` (a column expression that varies inside a hot key, e.g. a hash of the row key). Rows with
+    a null in the key are dealt over all tasks.
     """
     if _small(dim, max_rows, max_bytes):
         return facts.join(F.broadcast(dim), on=on, how=how)
     vary = spread if spread is not None else F.xxhash64(*[col(c) for c in facts.columns])
-    salted = facts.withColumn("_salt", F.pmod(vary, F.lit(salts)).cast("int"))
+    salt = F.pmod(vary, F.lit(salts))
+    # a row without a whole key meets nothing, so it may go anywhere
+    anywhere = salts + F.pmod(vary, F.lit(NO_KEY_SALTS))
+    bare = reduce(or_, [col(c).isNull() for c in on])
+    salted = facts.withColumn("_salt", F.when(bare, anywhere).otherwise(salt).cast("int"))
     repeated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, on=[*on, "_salt"], how=how).drop("_salt")

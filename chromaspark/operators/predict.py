@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from chromaspark.functions.reuse import with_ids
 from chromaspark.models.base import Model
 from chromaspark.operators.clean import label_text
 from chromaspark.operators.descriptors import Provider, default_condition, strict_descriptors
-from chromaspark.schema import SMILES
+from chromaspark.schema import RUN_ID, SMILES
 
 
 def score_table(model: Model, df: DataFrame) -> DataFrame:
@@ -17,7 +18,7 @@ def score_table(model: Model, df: DataFrame) -> DataFrame:
 
 def prepare_compounds(compounds: DataFrame, provider: Provider, solvents: list[str]) -> tuple[DataFrame, DataFrame]:
     """Distinct known structures under the default condition, and the rejected ones."""
-    unique = compounds.select(SMILES).dropna().distinct().withColumn("run_id", F.xxhash64(SMILES))
+    unique = with_ids(compounds.select(SMILES).dropna().distinct(), RUN_ID)
     valid, rejected = strict_descriptors(unique, provider)
     return default_condition(valid, solvents), rejected.select(SMILES)
 

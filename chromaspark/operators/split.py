@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from chromaspark.functions.columns import col, hash32
 from chromaspark.functions.reuse import collect_bounded
@@ -42,7 +43,8 @@ def _cutoffs(df: DataFrame, strata: str, key: str, seed: int, quota: dict) -> di
     """For each class the (hash, key) of its last test row.
 
     Radix selection: count rows per hash prefix, keep only the prefix the quota falls into, refine.
-    Every step is one aggregation over bounded groups; no class is ever sorted as a whole.
+    Every step is one aggregation over at most 4,096 prefixes a class and hands one row a class to the
+    driver; no class is ever sorted as a whole.
     """
     rows = df.select(col(strata).alias("c"), col(key).alias("k"), hash32(key, seed).alias("h"))
     open_ = {c: (None, q) for c, q in quota.items() if q > 0}
@@ -50,43 +52,29 @@ def _cutoffs(df: DataFrame, strata: str, key: str, seed: int, quota: dict) -> di
     for level, shift in enumerate(_LEVELS):
         if not open_:
             break
-        part = F.shiftright("h", shift)
-        inside = _inside(open_, _LEVELS[level - 1] if level else None)
-        counts = collect_bounded(
-            rows.where(inside).groupBy("c", part.alias("p")).agg(F.count(F.lit(1)).alias("n")),
-            4096 * 10_000, "hash prefixes",
-        )
-        by_class: dict = {}
-        for r in counts:
-            by_class.setdefault(r["c"], []).append((r["p"], r["n"]))
-        narrowed = {}
-        for c, (_, need) in open_.items():
-            for p, n in sorted(by_class[c]):
-                if need <= n:
-                    narrowed[c] = (p, need, n)
-                    break
-                need -= n
+        counts = _inside(rows, open_, _LEVELS[level - 1] if level else None).groupBy(
+            "c", "need", F.shiftright("h", shift).alias("p")
+        ).agg(F.count(F.lit(1)).alias("n"))
+        upto = counts.withColumn("upto", F.sum("n").over(W.partitionBy("c").orderBy("p")))
+        hit = upto.where("upto >= need AND upto - n < need").collect()  # one row a class
+        narrowed = {r["c"]: (r["p"], r["need"] - (r["upto"] - r["n"]), r["n"]) for r in hit}
         small = {c: v for c, v in narrowed.items() if v[2] <= SMALL_GROUP or shift == 0}
         if small:
-            inside = _inside({c: (v[0], 0) for c, v in small.items()}, shift)
             order = F.row_number().over(W.partitionBy("c").orderBy("h", "k"))
-            need = F.lit(0)
-            for c, v in small.items():
-                need = F.when(F.col("c") == F.lit(c), v[1]).otherwise(need)
-            last = rows.where(inside).withColumn("rn", order).where(F.col("rn") == need)
+            last = _inside(rows, {c: v[:2] for c, v in small.items()}, shift).withColumn("rn", order).where("rn = need")
             ready.update({r["c"]: (r["h"], r["k"]) for r in last.collect()})
-        open_ = {c: (v[0], v[1]) for c, v in narrowed.items() if c not in small}
+        open_ = {c: v[:2] for c, v in narrowed.items() if c not in small}
     return ready
 
 
-def _inside(groups: dict, shift: int | None) -> Column:
-    test = F.lit(False)
-    for c, (prefix, _) in groups.items():
-        hit = F.col("c") == F.lit(c)
-        if shift is not None and prefix is not None:
-            hit = hit & (F.shiftright("h", shift) == F.lit(prefix))
-        test = test | hit
-    return test
+def _inside(rows: DataFrame, groups: dict, shift: int | None) -> DataFrame:
+    """Rows of the given classes (at most 10,000, so broadcast), within each one's prefix if there is one, with its ``need``."""
+    schema = StructType([StructField("_c", rows.schema["c"].dataType), StructField("_p", LongType()), StructField("need", LongType())])
+    table = rows.sparkSession.createDataFrame([(c, p, need) for c, (p, need) in groups.items()], schema)
+    same = F.col("c") == F.col("_c")
+    if shift is not None:
+        same = same & (F.shiftright("h", shift) == F.col("_p"))
+    return rows.join(F.broadcast(table), same).drop("_c", "_p")
 
 
 def exact_split(
@@ -105,12 +93,16 @@ def exact_split(
     quota = class_quotas(counts, test_size)
     if strata and sum(quota.values()) < len(counts):
         raise ValueError("the test share is smaller than the number of classes")
-    chosen = F.lit(False)
+    last = _cutoffs(base, group, key, seed, quota)
+    schema = StructType([
+        StructField("_cut_class", base.select(col(group)).schema[0].dataType), StructField("_cut_hash", LongType()),
+        StructField("_cut_key", base.select(col(key)).schema[0].dataType),
+    ])
+    cuts = df.sparkSession.createDataFrame([(c, h, k) for c, (h, k) in last.items()], schema)  # one row a class
     h = hash32(key, seed)
-    for c, (last_h, last_k) in _cutoffs(base, group, key, seed, quota).items():
-        before = (h < F.lit(last_h)) | ((h == F.lit(last_h)) & (col(key) <= F.lit(last_k)))
-        chosen = chosen | ((col(group) == F.lit(c)) & before)
-    return base.withColumn("is_test", chosen).drop(_ALL)
+    before = (h < F.col("_cut_hash")) | ((h == F.col("_cut_hash")) & (col(key) <= F.col("_cut_key")))
+    joined = base.join(F.broadcast(cuts), col(group) == F.col("_cut_class"), "left")
+    return joined.select(*[col(c) for c in df.columns], F.coalesce(before, F.lit(False)).alias("is_test"))
 
 
 def stratified_split(df: DataFrame, strata: str, key: str = RUN_ID, seed: int = SEED, test_size: float = 0.2):

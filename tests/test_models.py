@@ -103,6 +103,7 @@ def test_kernel_and_mlp_beat_linear_on_a_sine(spark):
     t = training_table(spark.createDataFrame(rows, "run_id bigint, x double, y double, fold int"), ["x"], "y", "regression")
     flat = packed_score(cat.fit("LR", t, {}).predict(t.packed), "regression")
     s = cat.fit("SVR", t, {"C": 10})
+    assert s.converged and not cat.fit("SVR", t, {"C": 10, "max_iter": 2}).converged
     assert s.history[-1] < s.history[0]
     assert packed_score(s.predict(t.packed), "regression") < 0.5 * flat
     m = cat.fit("MLP", t, {"max_iter": 100})
