@@ -57,8 +57,10 @@ def lbfgs(
 ) -> tuple[np.ndarray, list[float], bool]:
     """Minimise a smooth function; returns the point, the value after every step and whether it converged.
 
-    It has converged if a step changes the value by less than the tolerance, or if no shorter step lowers
-    it any more. ``watch(point, value)`` may stop the run early, which does not count as converged.
+    A step is at most ten times as long as the one before, since a nearly linear stretch says nothing about
+    the curvature beyond it. Where no step along the estimated direction helps, the gradient is followed.
+    It has converged if a step changes the value by less than the tolerance, or if no step along the
+    gradient lowers it any more. ``watch(point, value)`` may stop the run early, which does not count as converged.
     """
     x = start.astype(np.float64)
     f, g = value_and_grad(x)
@@ -80,8 +82,12 @@ def lbfgs(
             q += (a - rho * (y @ q)) * s
         slope = float(g @ q)
         if slope <= 0:
-            q, slope = g.copy(), float(g @ g)
+            q = g / max(1.0, float(np.linalg.norm(g)))
+            slope = float(g @ q)
             pairs.clear()
+        if pairs:
+            shrink = min(1.0, 10.0 * float(np.linalg.norm(pairs[-1][0])) / float(np.linalg.norm(q)))
+            q, slope = shrink * q, shrink * slope
         step, moved = 1.0, False
         for _ in range(12):
             nx = x - step * q
@@ -91,6 +97,9 @@ def lbfgs(
                 break
             step *= 0.4
         if not moved:
+            if pairs:
+                pairs.clear()
+                continue
             done = True
             break
         s, y = nx - x, ng - g

@@ -211,7 +211,7 @@ def fit_svc(table: TrainingTable, params: dict) -> SvcModel:
         value = (0.5 * np.sum(free * free) + c * s[0]) / n
         return float(value), (free.ravel() + c * s[1:]) / n
 
-    w, history, converged = lbfgs(value_and_grad, np.zeros((m + 1) * k), rounds=int(params.get("max_iter", MAX_STEPS)), tol=1e-2)
+    w, history, converged = lbfgs(value_and_grad, np.zeros((m + 1) * k), rounds=int(params.get("max_iter", MAX_STEPS)), tol=1e-3)
     w = w.reshape(m + 1, k)
     coef, bias = w[:-1].T, w[-1]
     scored = packed.select(

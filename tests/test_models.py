@@ -169,3 +169,17 @@ def test_gram_subtraction_is_exact(table):
     keep = np.arange(200) % 3 != 0
     xc = x[keep] - x[keep].mean(axis=0)
     assert np.allclose(rest.xx, xc.T @ xc)
+
+
+def test_descent_crosses_a_nearly_linear_stretch():
+    from chromaspark.functions.descent import lbfgs
+
+    def bowl(w):
+        left, right = 1.0 - w, w - 2.0
+        slope = -1.0 / (1.0 + np.exp(-left)) + 100.0 / (1.0 + np.exp(-right)) + 2e-6 * w
+        return float((np.logaddexp(0, left) + 100.0 * np.logaddexp(0, right) + 1e-6 * w * w)[0]), slope
+
+    w, history, converged = lbfgs(bowl, np.array([-20.0]), tol=1e-8)
+    assert converged and abs(bowl(w)[1][0]) < 1e-2 and history[-1] < history[0] / 4
+    _, _, cut = lbfgs(bowl, np.array([-20.0]), rounds=2)
+    assert not cut
