@@ -79,3 +79,14 @@ def test_task_guards(spark, ds):
     assert clean.can_classify(ds.df)
     rare = spark.createDataFrame([(0,), (0,), (1,)], "SepQuality_Code int")
     assert not clean.can_classify(rare)
+
+
+def test_salted_lookup_keeps_rows_without_a_key(spark):
+    from chromaspark.operators.lookup import lookup_join
+
+    facts = spark.createDataFrame([(i, None if i % 3 else "a", i % 2) for i in range(30)], "id int, k string, m int")
+    dim = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 2.0), (None, 0, 9.0)], "k string, m int, x double")
+    for limit in (100, 0):
+        got = {r["id"]: r["x"] for r in lookup_join(facts, dim, ["k", "m"], max_rows=limit).collect()}
+        assert got == {i: None if i % 3 else float(1 + i % 2) for i in range(30)}
+        assert lookup_join(facts, dim, ["k", "m"], "inner", max_rows=limit).count() == 10
