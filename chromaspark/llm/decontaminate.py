@@ -293,3 +293,12 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """The rows of ``docs`` whose key has no leak (rows that share a key share the verdict); columns as given."""
     bad = leaks(docs, benchmark, key, text).select(F.col(key).alias("leaky")).distinct()
     return docs.join(bad, docs[key].cast("bigint").eqNullSafe(F.col("leaky")), "left_anti")
+
+
+def keep_clean_rows(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that have no leak themselves, whatever their keys are; columns as given."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    whole = keep(docs.select(row, F.monotonically_increasing_id().alias("place")), "placed")
+    bad = leaks(whole.select("place", F.col("row")[text].alias("text")), benchmark, "place").select("place").distinct()
+    left = whole.join(bad, "place", "left_anti")
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])
