@@ -9,6 +9,7 @@ is then compared word by word.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from chromaspark.llm.common import keep
 
-# Masks over windows of words: 1 is compared, 0 ignored. Each ignores two or three places.
-MASKS = ("11101101", "11011011", "10111101", "1110011011", "11100011101")
+# Masks over windows of words: 1 is compared, 0 ignored. One of them fits every stretch of 12 words with two others, of 15 with
+# three and of 20 with four (tests/llm/test_leaks.py counts them all); every longer stretch within the share holds one of these.
+MASKS = ("11010111", "1110001011", "1101000111", "111111")
 LEAST_WORDS = 5  # benchmark texts with fewer words say nothing and are not searched
 SPAN = 12  # words an overlap has at the least (the whole text, if that is shorter)
 SHARE = 0.8  # of them that agree
@@ -125,9 +127,17 @@ def _places(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
         yield (h >> np.uint64(shift)) & np.uint64(bits - 1)
 
 
-def _masks(lengths: list[int]) -> list[str]:
-    """The fixed masks, and a full one for each length of a benchmark text too short for some of them."""
-    return [*MASKS, *("1" * n for n in sorted(lengths))]
+def _short_masks(n: int, share: float = SHARE) -> list[str]:
+    """Masks over all of a text of ``n`` words, below ``SPAN``: whichever words may differ, one of the masks ignores them."""
+    size = 1 if n == LEAST_WORDS else 2  # neighbouring places are ignored together
+    groups = range(-(-n // size))
+    differ = n - int(np.ceil(share * n - 1e-9))
+    return ["".join("0" if i // size in out else "1" for i in range(n)) for out in combinations(groups, differ)]
+
+
+def _masks(lengths: list[int], share: float = SHARE) -> list[tuple[str, int]]:
+    """(mask, length of the benchmark texts it is for): the fixed masks, for all of ``SPAN`` words and more (0), and those of each shorter length."""
+    return [*((m, 0) for m in MASKS), *((m, n) for n in sorted(lengths) for m in _short_masks(n, share))]
 
 
 def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
@@ -149,25 +159,26 @@ def leaks(
 
     Two texts overlap if, in one alignment without gaps, some stretch of at least ``span`` words (or the
     whole benchmark text, if shorter) agrees in at least ``share`` of its words. Words are compared
-    without case and punctuation. ``matched`` and ``span`` describe the longest such stretch.
+    without case and punctuation. ``matched`` and ``span`` describe the longest such stretch, from its first
+    to its last equal word. The seeds find all overlaps of the default ``span`` and ``share``, or stricter ones.
     Null and empty texts have no words and never match; benchmark texts of fewer than five words are
     left out. Rows that share a key are reported together, repeated rows once. Either table may be empty.
     Other columns are not looked at.
     """
     spark = docs.sparkSession
     items = keep(_items(benchmark, item, item_text), "items")
-    widest = max(map(len, MASKS))
     sizes = items.select(F.size("words").alias("n")).agg(
-        F.max("n").alias("longest"), F.collect_set(F.when(F.col("n") < widest, F.col("n"))).alias("short")
-    ).first()  # at most a dozen short lengths
+        F.max("n").alias("longest"), F.collect_set(F.when(F.col("n") < SPAN, F.col("n"))).alias("short")
+    ).first()  # at most seven short lengths
     masks, reach = _masks(sizes["short"] or []), int(sizes["longest"] or 0)
+    widest = max(len(m) for m, _ in masks)
 
     def seeds_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, w in zip(b.column(0).to_pylist(), b.column(1)):
                 words = np.array(w.as_py(), dtype=np.int64).view(np.uint64)
-                for n, m in enumerate(masks):
-                    if set(m) == {"1"} and len(m) != len(words):
+                for n, (m, length) in enumerate(masks):
+                    if length != (len(words) if len(words) < SPAN else 0):
                         continue
                     h = _window_hashes(words, m, n).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
@@ -207,7 +218,7 @@ def leaks(
             out = {"doc": [], "words": [], "from": [], "place": [], "hash": []}
             for doc, words in zip(b.column(0).to_pylist(), _many(texts)):
                 place, hashes = [], []
-                for n, m in enumerate(masks):
+                for n, (m, _) in enumerate(masks):
                     h = _window_hashes(words, m, n)
                     hit = known(h)
                     place.append(hit)
@@ -265,7 +276,8 @@ def leaks(
 def overlap(words: list[int], test: list[int], shift: int, span: int, share: float) -> tuple[int, int]:
     """(matched, length) of the longest stretch in one alignment that agrees in ``share`` of its words; (0, 0) if none is long enough.
 
-    ``shift`` is the place in ``words`` where ``test`` would begin. A stretch begins and ends with equal words.
+    ``shift`` is the place in ``words`` where ``test`` would begin. What is returned begins and ends with equal words; it may be
+    shorter than ``span`` if only a stretch with other words at its ends is long enough.
     """
     low, high = max(0, -shift), min(len(test), len(words) - shift)
     if high <= low:
@@ -286,7 +298,15 @@ def overlap(words: list[int], test: list[int], shift: int, span: int, share: flo
             size = int(e - hit[k] + 1)
             if size >= need and size > best[1]:
                 best = (int(same[hit[k]: e + 1].sum()), size)
-    return best
+    if best[1] or len(same) < need or not len(hit):
+        return best
+    total = np.concatenate(([0.0], gain))
+    first = np.searchsorted(-np.minimum.accumulate(total), -(total + 1e-9))
+    end = int(np.argmax(np.arange(len(total)) - first))
+    inside = hit[(hit >= first[end]) & (hit < end)]
+    if end - first[end] < need or not len(inside):
+        return best
+    return len(inside), int(inside[-1] - inside[0] + 1)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
