@@ -162,11 +162,11 @@ def leaks(
     without case and punctuation. ``matched`` and ``span`` describe the longest such stretch, from its first
     to its last equal word. The seeds find all overlaps of the default ``span`` and ``share``, or stricter ones.
     Null and empty texts have no words and never match; benchmark texts of fewer than five words are
-    left out. Rows that share a key are reported together, repeated rows once. Either table may be empty.
+    left out, those without an id are reported under the null id. Rows that share a key are reported together, repeated rows once. Either table may be empty.
     Other columns are not looked at.
     """
     spark = docs.sparkSession
-    items = keep(_items(benchmark, item, item_text), "items")
+    items = keep(_items(benchmark, item, item_text).withColumn("number", F.monotonically_increasing_id()), "items")
     sizes = items.select(F.size("words").alias("n")).agg(
         F.max("n").alias("longest"), F.collect_set(F.when(F.col("n") < SPAN, F.col("n"))).alias("short")
     ).first()  # at most seven short lengths
@@ -183,10 +183,10 @@ def leaks(
                     h = _window_hashes(words, m, n).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([i] * len(h), pa.int64()), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h)],
-                        ["item", "place", "hash"],
+                        ["number", "place", "hash"],
                     )
 
-    seeds = keep(items.mapInArrow(seeds_of, "item bigint, place int, hash bigint"), "seeds")
+    seeds = keep(items.select("number", "words").mapInArrow(seeds_of, "number bigint, place int, hash bigint"), "seeds")
     n = seeds.count()
     bits = int(min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << int(np.ceil(np.log2(256 * max(1, n)))))))
 
@@ -247,11 +247,11 @@ def leaks(
     ).withColumn("stretch", F.monotonically_increasing_id()), "hits")
     hits = found.select("stretch", F.explode(F.arrays_zip("place", "hash")).alias("h")).select("stretch", "h.place", "h.hash")
     pairs = hits.join(seeds.withColumnRenamed("place", "at"), "hash").select(
-        "stretch", "item", (F.col("place") - F.col("at")).alias("shift")
+        "stretch", "number", (F.col("place") - F.col("at")).alias("shift")
     ).distinct()
-    lined = pairs.groupBy("stretch", "item").agg(F.collect_set("shift").alias("shifts"))  # no more shifts than words in the stretch
+    lined = pairs.groupBy("stretch", "number").agg(F.collect_set("shift").alias("shifts"))  # no more shifts than words in the stretch
     texts = found.select("stretch", "doc", "words")
-    both = lined.join(texts, "stretch").join(items.select(F.col("item"), F.col("words").alias("test")), "item")
+    both = lined.join(texts, "stretch").join(items.select("number", "item", F.col("words").alias("test")), "number")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

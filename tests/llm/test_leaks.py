@@ -61,3 +61,12 @@ def test_pipeline_stage_drops_only_leaking_rows(spark, tmp_path):
     assert got.columns == df.columns
     left = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr)
     assert left == sorted([(None, "clean one"), (None, None), (4, "clean two"), (5, "clean three")], key=repr)
+
+
+def test_benchmark_texts_without_an_id(spark):
+    texts = [" ".join(f"q{j}x{i}" for i in range(20)) for j in range(4)]
+    bench = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (2, texts[2])], "item_id bigint, text string")
+    df = spark.createDataFrame([(i, f"see {t}") for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = decontaminate.leaks(df, bench).collect()
+    assert {(r["doc_id"], r["item_id"], r["matched"]) for r in got} == {(0, None, 20), (1, None, 20), (2, 2, 20)} and len(got) == 3
+    assert [r["doc_id"] for r in decontaminate.keep_clean(df, bench).collect()] == [3]
