@@ -780,31 +780,28 @@ def tsne_graph(spark, sf):
     return _tsne_edges(spark, sf)
 
 
-EPOCHS = 10
-
-
 @query
 def tsne_2d(spark, sf):
     ds = dataset(spark, sf)
-    return embed.tsne(ds.df, ds.features, 2, epochs=EPOCHS).points(ds.df)
+    return embed.tsne(ds.df, ds.features, 2).points(ds.df)
 
 
 @query
 def tsne_3d(spark, sf):
     ds = dataset(spark, sf)
-    return embed.tsne(ds.df, ds.features, 3, epochs=EPOCHS).points(ds.df)
+    return embed.tsne(ds.df, ds.features, 3).points(ds.df)
 
 
 @query
 def umap_2d(spark, sf):
     ds = dataset(spark, sf)
-    return embed.umap(ds.df, ds.features, 2, epochs=EPOCHS).points(ds.df)
+    return embed.umap(ds.df, ds.features, 2).points(ds.df)
 
 
 @query
 def umap_3d(spark, sf):
     ds = dataset(spark, sf)
-    return embed.umap(ds.df, ds.features, 3, epochs=EPOCHS).points(ds.df)
+    return embed.umap(ds.df, ds.features, 3).points(ds.df)
 
 
 # --- persistence and streaming --------------------------------------------------------------------
