@@ -624,12 +624,22 @@ def mlp_classify(spark, sf):
 
 @once
 def _trained_reg(spark, sf):
-    return tune.train_regression(dataset(spark, sf), ["LR", "Ridge", "Lasso", "KNN", "DT"])
+    return tune.train_regression(dataset(spark, sf), [*tune.DEFAULT_REGRESSION, "Ridge", "Lasso", "KNN", "DT"])
 
 
 @once
 def _trained_clf(spark, sf):
-    return tune.train_classification(dataset(spark, sf), ["KNN", "DT", "LR"])
+    return tune.train_classification(dataset(spark, sf), [*tune.DEFAULT_CLASSIFICATION, "KNN", "DT", "LR"])
+
+
+@once
+def _tuned_knn(spark, sf):
+    return tune.train_regression(dataset(spark, sf), ["KNN"])
+
+
+@once
+def _tuned_tree(spark, sf):
+    return tune.train_classification(dataset(spark, sf), ["DT"])
 
 
 @query
@@ -649,7 +659,7 @@ def grid_scores(spark, sf):
 
 @query
 def grid_means(spark, sf):
-    return tidy(tune.mean_scores(_trained_reg(spark, sf).scores(spark).where("model = 'KNN'")))
+    return tidy(tune.mean_scores(_tuned_knn(spark, sf).scores(spark).where("model = 'KNN'")))
 
 
 @query
@@ -664,12 +674,12 @@ def metric_bars(spark, sf):
 
 @query
 def feature_importance_table(spark, sf):
-    return feature_importance(spark, _trained_clf(spark, sf).models["DT"])
+    return feature_importance(spark, _tuned_tree(spark, sf).models["DT"])
 
 
 @query
 def most_influential_feature(spark, sf):
-    return most_influential(spark, _trained_clf(spark, sf).models["DT"])
+    return most_influential(spark, _tuned_tree(spark, sf).models["DT"])
 
 
 @query

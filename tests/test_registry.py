@@ -6,6 +6,7 @@ from types import SimpleNamespace
 
 import pytest
 
+from chromaspark.models import tune
 from chromaspark.plans import registry
 
 
@@ -21,3 +22,12 @@ def test_layouts_run_all_their_epochs(monkeypatch, name):
     monkeypatch.setattr(registry.embed, name[:4], layout)
     registry.queries()[name](None, None)
     assert asked == [(int(name[5]), {})]
+
+
+@pytest.mark.parametrize("name, default", [("train_regression", tune.DEFAULT_REGRESSION), ("train_classification", tune.DEFAULT_CLASSIFICATION)])
+def test_training_queries_hold_the_default_models(monkeypatch, name, default):
+    asked = []
+    monkeypatch.setattr(registry, "dataset", lambda spark, sf: None)
+    monkeypatch.setattr(registry.tune, name, lambda ds, models=None: asked.append(models or default) or SimpleNamespace(metrics=None))
+    registry.queries()[name](SimpleNamespace(sparkContext=SimpleNamespace(applicationId="test")), name)
+    assert set(default) <= set(asked[0]) and len(asked[0]) == len(set(asked[0]))
