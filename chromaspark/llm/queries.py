@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chromaspark.llm import bpe, chat, decontaminate, edit_counts, forest, language, shards, simhash, token_files, url_lists
+from chromaspark.llm import (
+    bpe, chat, decontaminate, edit_counts, forest, language, secrets, shards, simhash, token_files, url_lists, variants, whitening,
+)
 
 END_ID = 2
 SHARDS = 16
@@ -102,6 +104,19 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan_secrets(_table(spark, sf_dir, "documents")))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -111,6 +126,6 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_token_files, op2_bpe, op3_chat_format, op4_url_lists, op5_forest_search, op6_shards, op7_edit_counts,
-        op8_decontaminate, op9_simhash, op10_language,
+        op8_decontaminate, op9_simhash, op10_language, op11_secrets, op12_variants, op13_whitening,
     ]
     return {f.__name__: f for f in own} | {"pipeline": _pipeline}
