@@ -201,10 +201,13 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 
 def keep_known(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.5) -> DataFrame:
-    """The rows whose text has a recognised language with a posterior of at least ``least``; columns as given."""
+    """The rows whose text has a recognised language with a posterior of at least ``least``; columns as given.
+
+    Without any labelled row there is no language to tell from another: then only null and letterless texts go.
+    """
     model = fit(docs.where(~held_out(key)), text, lang)
     if not model.languages:
-        return docs
+        return docs.where(F.col(text).rlike(r"\p{L}"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     both = docs.select(F.struct(*columns).alias("row"), predicted(F.col(text), model, docs.sparkSession).alias("p"))
     sure = both.where((F.col("p.lang") != UNKNOWN) & (F.col("p.score") >= least))
