@@ -78,6 +78,7 @@ class TrainingTable:
     task: str
     n_labels: int = 0
     folds: int = 3
+    binned: object = None  # blocks of bins, made by the first tree model that asks
 
 
 def training_table(

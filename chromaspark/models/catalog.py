@@ -13,7 +13,8 @@ from chromaspark.models.base import Model, TrainingTable, read_json
 from chromaspark.models.kernel import FourierMap, SvrModel, svr_from_table
 from chromaspark.models.linear import LinearModel
 from chromaspark.models.mlp import MlpModel, fit_mlp
-from chromaspark.models.spark_ml import LOADERS, LogisticModel, SvcModel, TreeModel, fit_logistic, fit_svc, fit_tree
+from chromaspark.models.spark_ml import LogisticModel, SvcModel, fit_logistic, fit_svc
+from chromaspark.models.trees import TreesModel, fit_trees, read_trees
 from chromaspark.operators.moments import Scaler
 from chromaspark.schema import CLASSIFICATION_CATALOG, REGRESSION_CATALOG
 
@@ -63,7 +64,7 @@ def fit(name: str, table: TrainingTable, params: dict) -> Model:
         return fit_svc(table, params)
     if name == "LR":
         return fit_logistic(table, params)
-    return fit_tree(name, table, params)
+    return fit_trees(name, table, params)
 
 
 def _scaler(head: dict) -> Scaler:
@@ -77,7 +78,7 @@ def _restore(spark: SparkSession, path: str, head: dict) -> Model:
         "linear": lambda: LinearModel(*base, s["coef"], s["intercept"]),
         "svr": lambda: SvrModel(*base, FourierMap.from_state(s["map"]), s["coef"], s["bias"]),
         "mlp": lambda: MlpModel(*base, _scaler(head), s["hidden"], s["weights"]),
-        "tree": lambda: TreeModel(*base, LOADERS[s["class"]].load(f"{path}/fitted"), s["one_vs_rest"]),
+        "trees": lambda: TreesModel(*base, *read_trees(spark, path, s), s["start"], s["importances"]),
         "logistic": lambda: LogisticModel(*base, _scaler(head), LogisticRegressionModel.load(f"{path}/fitted")),
         "svc": lambda: SvcModel(*base, FourierMap.from_state(s["map"]), s["coef"], s["bias"],
                                 LogisticRegressionModel.load(f"{path}/platt")),

@@ -1,9 +1,4 @@
-"""Trees, logistic regression and margin classifiers from Spark ML, on packed rows where that is exact.
-
-Packing keeps decision trees and boosting exact: rows with equal features always fall in the same
-leaf, and their weight and mean carry everything a split criterion uses. Forests draw bootstrap
-samples of single rows, so they are trained on the unpacked rows.
-"""
+"""Logistic regression and margin classifiers on packed rows, with Spark ML's logistic fit."""
 
 from __future__ import annotations
 
@@ -11,112 +6,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml import Transformer
-from pyspark.ml.classification import (
-    DecisionTreeClassificationModel, DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-    LogisticRegressionModel, OneVsRest, OneVsRestModel, RandomForestClassificationModel, RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import (
-    DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel, GBTRegressor,
-    RandomForestRegressionModel, RandomForestRegressor,
-)
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chromaspark.functions.columns import feature_array
 from chromaspark.functions.descent import is_wide, lbfgs, row_sums
 from chromaspark.models.base import Model, TrainingTable, padded
 from chromaspark.models.kernel import MAX_STEPS, FourierMap, fourier_map, margins
 from chromaspark.operators.moments import Scaler, fit_scaler
 
-UNLIMITED_DEPTH = 30  # the deepest tree Spark grows
-BINS = 128
-SEED = 42
-
-
-@dataclass
-class TreeModel(Model):
-    fitted: Transformer | None = None
-    one_vs_rest: bool = False
-    kind = "tree"
-
-    def predict(self, df: DataFrame) -> DataFrame:
-        out = self.fitted.transform(df.withColumn("_x", array_to_vector(feature_array(self.features))))
-        if self.task == "regression":
-            return out.drop("_x")
-        if self.one_vs_rest:
-            raw = vector_to_array(F.col("rawPrediction"))
-            soft = F.transform(raw, lambda z: F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * z)))
-            mass = F.aggregate(soft, F.lit(0.0), lambda a, z: a + z)
-            p = F.transform(soft, lambda z: F.coalesce(F.try_divide(z, mass), F.lit(0.0)))
-        else:
-            p = vector_to_array(F.col("probability"))
-        out = out.withColumn("_p", padded(p, self.n_labels))
-        keep = [c for c in out.columns if c not in ("_x", "_p", "rawPrediction", "probability", "prediction")]
-        return out.select(*[f"`{c}`" for c in keep], F.col("_p").alias("probability"),
-                          F.col("prediction").cast("int").alias("prediction"))
-
-    def importances(self) -> list[float]:
-        if not self.one_vs_rest:
-            return [float(v) for v in self.fitted.featureImportances.toArray()]
-        each = [m.featureImportances.toArray() for m in self.fitted.models]
-        mean = sum(each) / len(each)
-        return [float(v) for v in (mean / mean.sum() if mean.sum() > 0 else mean)]
-
-    def state(self) -> dict:
-        return {"class": type(self.fitted).__name__, "one_vs_rest": self.one_vs_rest}
-
-    def save(self, spark: SparkSession, path: str) -> None:
-        super().save(spark, path)
-        self.fitted.write().overwrite().save(f"{path}/fitted")
-
-
-def _depth(params: dict) -> int:
-    depth = params.get("max_depth")
-    return UNLIMITED_DEPTH if depth is None else int(depth)
-
-
-def _frame(table: TrainingTable, packed: bool) -> DataFrame:
-    df = table.packed if packed else table.rows.withColumn("w", F.lit(1.0))
-    label = F.col("y").cast("double")
-    if table.task == "classification":
-        # The class count is stated as metadata, so a fold that lacks a class still fits.
-        values = [str(i) for i in range(table.n_labels)]
-        label = label.alias("y", metadata={"ml_attr": {"type": "nominal", "name": "y", "vals": values}})
-    else:
-        label = label.alias("y")
-    return df.select(array_to_vector(feature_array(table.features)).alias("_x"), label, F.col("w").cast("double").alias("w"))
-
-
-_CACHE_MB = 512
-
-
-def fit_tree(name: str, table: TrainingTable, params: dict) -> TreeModel:
-    """RF, GB or DT (regression); RFC, GBC or DT (classification)."""
-    classify = table.task == "classification"
-    common = dict(featuresCol="_x", labelCol="y", maxBins=BINS, seed=SEED, maxDepth=_depth(params),
-                  minInstancesPerNode=1, maxMemoryInMB=_CACHE_MB)
-    one_vs_rest = False
-    if name == "RF":
-        est = RandomForestRegressor(numTrees=int(params.get("n_estimators", 100)), featureSubsetStrategy="all", **common)
-    elif name == "RFC":
-        est = RandomForestClassifier(numTrees=int(params.get("n_estimators", 100)), featureSubsetStrategy="sqrt",
-                                     probabilityCol="probability", **common)
-    elif name == "GB":
-        est = GBTRegressor(maxIter=int(params.get("n_estimators", 100)), stepSize=float(params.get("learning_rate", 0.1)),
-                           lossType="squared", weightCol="w", featureSubsetStrategy="all", **common)
-    elif name == "GBC":
-        gbt = GBTClassifier(maxIter=int(params.get("n_estimators", 100)), stepSize=float(params.get("learning_rate", 0.1)),
-                            weightCol="w", featureSubsetStrategy="all", **common)
-        est = OneVsRest(classifier=gbt, featuresCol="_x", labelCol="y", weightCol="w", parallelism=4)
-        one_vs_rest = True
-    elif classify:
-        est = DecisionTreeClassifier(weightCol="w", **common)
-    else:
-        est = DecisionTreeRegressor(weightCol="w", **common)
-    fitted = est.fit(_frame(table, packed=name not in ("RF", "RFC")))
-    return TreeModel(name, table.task, list(table.features), dict(params), table.n_labels, fitted, one_vs_rest)
-
-
 @dataclass
 class LogisticModel(Model):
     scaler: Scaler | None = None
@@ -224,10 +122,3 @@ def fit_svc(table: TrainingTable, params: dict) -> SvcModel:
 
 
 CORNER = 0.1  # width of the rounded corner of the hinge
-
-
-LOADERS = {c.__name__: c for c in (
-    DecisionTreeClassificationModel, DecisionTreeRegressionModel, GBTRegressionModel, OneVsRestModel,
-    RandomForestClassificationModel, RandomForestRegressionModel,
-)}
-

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chromaspark.functions.columns import col, hash32
 from chromaspark.functions.reuse import keep
-from chromaspark.models import catalog as cat, knn, linear
+from chromaspark.models import catalog as cat, knn, linear, trees
 from chromaspark.models.base import Model, TrainingTable, packed_score, training_table
 from chromaspark.operators.clean import Dataset, class_counts, known_target
 from chromaspark.operators.evaluate import accuracy, class_report, rank_models, regression_metrics
@@ -66,14 +66,16 @@ def _part(table: TrainingTable, condition) -> TrainingTable:
 def grid_search(name: str, table: TrainingTable, grid: list[dict], parallelism: int = 3) -> Search:
     """Score every grid point on every fold.
 
-    Linear models need one aggregation for the whole search, neighbour models one search per fold;
-    the others are fitted per (point, fold), a few at a time.
+    Linear models need one aggregation for the whole search, neighbour models one search per fold, tree models
+    one growth for all points and folds; the others are fitted per (point, fold), a few at a time.
     """
     regression = table.task == "regression"
     if regression and name in cat.LINEAR:
         scores = linear.cv_scores(name, linear.fold_grams(table), grid)
     elif name == "KNN":
         scores = knn.cv_scores(table, grid)
+    elif name in trees.NAMES[table.task]:
+        scores = trees.cv_scores(name, table, grid)
     else:
         def one(job: tuple[int, int]) -> tuple[int, int, float]:
             i, f = job
