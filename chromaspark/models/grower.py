@@ -158,18 +158,31 @@ def statistics(block: Block, spec: Spec, raw: np.ndarray | None = None) -> np.nd
     return np.stack((w, w * r, w * np.abs(r) * (1 - np.abs(r))), axis=1)
 
 
+def labels_of(block: Block, spec: Spec) -> np.ndarray | None:
+    return block.y.astype(np.int64) if spec.kind == "class" else None
+
+
 def width(spec: Spec) -> int:
     """Columns of the statistics that are averaged."""
     return spec.n_labels if spec.kind == "class" else 1
 
 
-def histogram(bins: np.ndarray, sizes: list[int], slot: np.ndarray, slots: int, stats: np.ndarray) -> np.ndarray:
-    """Sums of each (open node, bin of each feature): slots x all bins x statistics. Rows with slot -1 count nowhere."""
+def histogram(bins: np.ndarray, sizes: list[int], slot: np.ndarray, slots: int, stats: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+    """Sums of each (open node, bin of each feature): slots x all bins x statistics. Rows with slot -1 count nowhere.
+
+    With class shares each row has weight in the column of its ``label`` only, so one count serves all classes.
+    """
     use = np.flatnonzero((slot >= 0) & (stats[:, 0] > 0))
     slot, stats = slot[use].astype(np.int64), stats[use]
     out, at = np.zeros((slots, sum(sizes), stats.shape[1])), 0
     for f, size in enumerate(sizes):
         place = slot * size + bins[f, use]
+        if label is not None:
+            k = stats.shape[1] - 1
+            some = np.bincount(place * k + label[use], weights=stats[:, 0], minlength=slots * size * k).reshape(slots, size, k)
+            out[:, at: at + size, 0], out[:, at: at + size, 1:] = some.sum(axis=2), some
+            at += size
+            continue
         for k in range(stats.shape[1]):
             out[:, at: at + size, k] = np.bincount(place, weights=stats[:, k], minlength=slots * size).reshape(slots, size)
         at += size
@@ -212,8 +225,8 @@ def best_splits(hist: np.ndarray, sizes: list[int], averaged: int, some: int, pa
     return out
 
 
-def extend(tree: Tree, open_: np.ndarray, splits: list[tuple | None]) -> np.ndarray:
-    """Split the open nodes of a tree; returns its new open nodes."""
+def extend(tree: Tree, open_: np.ndarray, splits: list[tuple | None], classes: bool) -> np.ndarray:
+    """Split the open nodes of a tree; returns its new open nodes (those of one class are done)."""
     sums, paths, n = [], [], len(tree.left)
     for node, s in zip(open_, splits):
         if s is None:
@@ -228,7 +241,8 @@ def extend(tree: Tree, open_: np.ndarray, splits: list[tuple | None]) -> np.ndar
         tree.feature, tree.cut, tree.gain = grown(tree.feature, 0), grown(tree.cut, 0), grown(tree.gain, 0)
         tree.left, tree.sums = grown(tree.left, -1), np.concatenate((tree.sums, sums))
         tree.path = np.concatenate((tree.path, np.array(paths, np.uint64)))
-    return np.arange(n, n + more)
+    new = np.arange(n, n + more)
+    return new[tree.sums[new, 1:].max(axis=1) < tree.sums[new, 0] * (1 - 1e-12)] if classes and more else new
 
 
 def _slots(tree: Tree, open_: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -240,14 +254,18 @@ def _slots(tree: Tree, open_: np.ndarray, node: np.ndarray) -> np.ndarray:
 def grow_here(blocks: list[Block], sizes: list[int], spec: Spec, raws: list[np.ndarray] | None = None) -> Tree:
     """One tree from blocks that are at hand."""
     stats = [statistics(b, spec, raws[i] if raws else None) for i, b in enumerate(blocks)]
+    labels = [labels_of(b, spec) for b in blocks]
     tree, open_ = Tree.root(sum(s.sum(axis=0) for s in stats), spec.seed), np.zeros(1, np.int64)
     nodes = [np.zeros(b.bins.shape[1], np.int32) for b in blocks]
     for _ in range(spec.depth):
-        hist = sum(histogram(b.bins, sizes, _slots(tree, open_, n), len(open_), s) for b, n, s in zip(blocks, nodes, stats))
-        open_ = extend(tree, open_, best_splits(hist, sizes, width(spec), spec.some, tree.path[open_]))
+        hist = sum(histogram(b.bins, sizes, _slots(tree, open_, n), len(open_), s, y) for b, n, s, y in zip(blocks, nodes, stats, labels))
+        open_ = extend(tree, open_, best_splits(hist, sizes, width(spec), spec.some, tree.path[open_]), spec.kind == "class")
+        nodes = [tree.down(b.bins, 1, n) for b, n in zip(blocks, nodes)]
+        # a node of one packed row cannot be split
+        count = sum(np.bincount(n[s[:, 0] > 0], minlength=len(tree.left)) for n, s in zip(nodes, stats))
+        open_ = open_[count[open_] > 1]
         if not len(open_):
             break
-        nodes = [tree.down(b.bins, 1, n) for b, n in zip(blocks, nodes)]
     return tree
 
 
@@ -366,7 +384,7 @@ class Rows:
                             met = np.unique(slot[slot >= 0])
                             short = np.full(len(nodes) + 1, -1)
                             short[met] = np.arange(len(met))
-                            hist = histogram(block.bins, sizes, short[slot], len(met), stats)
+                            hist = histogram(block.bins, sizes, short[slot], len(met), stats, labels_of(block, shared.value[t]))
                             yield pa.RecordBatch.from_arrays(
                                 [pa.array(np.full(len(met), t, np.int32)), pa.array(met.astype(np.int32)), pa.array([h.tobytes() for h in hist], pa.binary())],
                                 ["t", "slot", "h"],
@@ -385,7 +403,7 @@ class Rows:
                 splits[r["t"]][r["slot"]] = pickle.loads(bytes(r["split"]))
             after = {}
             for t, nodes in open_.items():
-                new = extend(trees[t], nodes, splits[t])
+                new = extend(trees[t], nodes, splits[t], specs[t].kind == "class")
                 if len(new) and specs[t].depth > _levels(trees[t]):
                     after[t] = new
             open_ = after

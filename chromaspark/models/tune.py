@@ -130,25 +130,33 @@ def _train(
     table = training_table(train, result.features, result.target, result.task, len(result.labels), folds)
     test = keep(result.test)
     result.test = test
-    lines = []
-    for name in [m for m in order if m in models]:
+
+    def one(name: str) -> tuple[Model, Search, dict]:
         grid = grids.get((result.task, name)) or cat.DEFAULT_GRIDS[(result.task, name)]
         search = grid_search(name, table, cat.expand(grid), parallelism)
         model = cat.fit(name, table, search.grid[search.best])
-        result.models[name], result.searches[name] = model, search
         scored = model.predict(test)
         head = {"task": result.task, "model": name, "catalog_pos": order.index(name), "params": str(model.params)}
         if result.task == "regression":
             m = regression_metrics(scored, result.target).first()
-            lines.append({**head, "rmse": m["rmse"], "r2": m["r2"], "mae": m["mae"]})
-        else:
-            report = class_report(keep(scored.select(QUALITY_CODE, "prediction")), QUALITY_CODE, "prediction", result.labels)
-            rows = {r["label"]: r for r in report.collect()}
-            macro = rows["macro avg"]
-            lines.append({
-                **head, "accuracy": rows["accuracy"]["f1"], "precision": macro["precision"],
-                "recall": macro["recall"], "f1": macro["f1"], "support": macro["support"],
-            })
+            return model, search, {**head, "rmse": m["rmse"], "r2": m["r2"], "mae": m["mae"]}
+        report = class_report(keep(scored.select(QUALITY_CODE, "prediction")), QUALITY_CODE, "prediction", result.labels)
+        rows = {r["label"]: r for r in report.collect()}
+        macro = rows["macro avg"]
+        return model, search, {
+            **head, "accuracy": rows["accuracy"]["f1"], "precision": macro["precision"],
+            "recall": macro["recall"], "f1": macro["f1"], "support": macro["support"],
+        }
+
+    names = [m for m in order if m in models]
+    if any(n in trees.NAMES[result.task] for n in names):
+        trees.rows_of(table)  # shared by the tree models, so made before they start
+    # most fits wait for short jobs, so several models are fitted at a time
+    with ThreadPool(max(1, parallelism)) as pool:
+        fitted = pool.map(one, names, chunksize=1)
+    for name, (model, search, _) in zip(names, fitted):
+        result.models[name], result.searches[name] = model, search
+    lines = [line for _, _, line in fitted]
     fields = [p.split()[0] for p in METRICS_SCHEMA.split(", ")]
     result.metrics = spark.createDataFrame([tuple(x.get(c) for c in fields) for x in lines], METRICS_SCHEMA)
     return result
