@@ -1,9 +1,9 @@
 """t-SNE and UMAP layouts of distinct feature vectors.
 
 Both build an exact neighbour graph, turn it into symmetric edge weights and then move the points.
-Attraction runs along the edges. Repulsion comes from a grid summary of all points (cell counts and
-centroids, a bounded table), so every point feels every other without forming pairs. Runs with equal
-features share one point.
+Attraction runs along the edges. Up to ``POSITION_ROWS`` points (module ``layout``) t-SNE's repulsion comes from a space tree and
+UMAP samples single edges and negatives; beyond, positions are a table and repulsion comes from a grid summary of all
+points (cell counts and centroids). Runs with equal features share one point.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from chromaspark.analysis import layout
 from chromaspark.analysis.pca import pca
 from chromaspark.functions.columns import col, double, features_as
 from chromaspark.functions.nearest import nearest
-from chromaspark.functions.reuse import cut_lineage, fits_rows, hot, keep
+from chromaspark.functions.reuse import cut_lineage, hot, keep
 from chromaspark.operators.lookup import lookup_join
 from chromaspark.operators.neighbours import as_vectors, distinct_vectors
 from chromaspark.schema import RUN_ID, quoted
@@ -215,17 +216,24 @@ def _advance(state: DataFrame, pulls: DataFrame, dims: int, small: bool, move) -
 def tsne_layout(vectors: DataFrame, edges: DataFrame, dims: int = 2, epochs: int = 250, exaggeration: float = 12.0):
     """Gradient descent with momentum and gains; returns positions and KL at the first and last epoch."""
     n = vectors.count()
-    small = fits_rows(vectors, POSITION_ROWS)
-    edges = hot(keep(edges))
+    small = n <= POSITION_ROWS
+    edges = keep(edges)
     entropy = edges.agg(F.sum(F.col("p") * F.log("p"))).first()[0] or 0.0
     state = _start(vectors, dims, 1.0)
+    if small and epochs and n > 1:
+        ids, y = layout.arrays(state, dims)
+        packed = layout.Edges(edges, ids)
+        y, first, last = layout.tsne_positions(packed, y, epochs, exaggeration)
+        packed.close()
+        return layout.table(vectors.sparkSession, ids, y), entropy + first, entropy + last
+    edges = hot(edges)
     early = epochs // 4
     losses = []
     for t in range(epochs):
         count, center = _grid(state, dims)
         boost = exaggeration if t < early else 1.0
         momentum = 0.5 if t < early else 0.8
-        rate = n / (4.0 * boost)  # keeps the pull of one step within the distance it covers
+        rate = n / (4.0 * exaggeration)  # higher rates do not settle: the loss then rises again after the exaggeration
 
         def repulse(y):
             diff2 = np.zeros((len(y), len(center)))
@@ -259,12 +267,20 @@ CURVE_A, CURVE_B = 1.577, 0.895
 
 
 def umap_layout(vectors: DataFrame, edges: DataFrame, dims: int = 2, epochs: int = 200, negatives: int = 5):
-    """Cross-entropy descent with a falling rate; repulsion is the expected negative-sample force."""
+    """Cross-entropy descent with a falling rate, edge by edge; beyond ``POSITION_ROWS`` points by the expected force of each point."""
     n = vectors.count()
-    small = fits_rows(vectors, POSITION_ROWS)
-    edges = hot(keep(edges))
+    small = n <= POSITION_ROWS
+    edges = keep(edges)
     state = _start(vectors, dims, 5.0)
     a_, b_ = CURVE_A, CURVE_B
+    heaviest = edges.agg(F.max("p")).first()[0]
+    if small and epochs and heaviest:
+        ids, y = layout.arrays(state, dims)
+        packed = layout.Edges(edges, ids)
+        y, first, last = layout.umap_positions(packed, y, epochs, negatives, a_, b_, heaviest)
+        packed.close()
+        return layout.table(vectors.sparkSession, ids, y), first, last
+    edges = hot(edges)
 
     safe = "greatest(d2, 1e-12D)"
     pull = f"{double(-2.0 * a_ * b_)} * pow({safe}, {double(b_ - 1.0)}) / (1D + {double(a_)} * pow({safe}, {double(b_)}))"

@@ -168,7 +168,7 @@ def cv_scores(name: str, table: TrainingTable, grid: list[dict]) -> list[tuple[i
             for i, p in enumerate(grid):
                 cut = [_shorter(t, depths[i]) for t in trees[: counts[i]]]
                 out.append((i, f, _far_score(_forest(name, table, p, cut), table, f)))
-        return out
+        return sorted(out, key=lambda s: s[:2])
     columns, sizes, ends = (table.n_labels if classify else 1), rows.sizes, sorted({*counts, *range(CHUNK, max(counts), CHUNK)})
     starts = [0, *ends[:-1]]
     jobs = [(f, [_spec(name, table, f, deepest, i) for i in range(a, b)]) for f in folds for a, b in zip(starts, ends)]
