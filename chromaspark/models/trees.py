@@ -137,6 +137,16 @@ def fit_trees(name: str, table: TrainingTable, params: dict) -> TreesModel:
     return _forest(name, table, params, rows.grow([_spec(name, table, -1, depth, i) for i in range(n)]))
 
 
+def fold_fits(name: str, table: TrainingTable, params: dict) -> list[TreesModel]:
+    """The model of each fold left out, all grown together."""
+    rows, depth, n = rows_of(table), _depth(params), _count(name, params)
+    if name in BOOSTED:
+        rate = float(params.get("learning_rate", 0.1))
+        return [_boosted(name, table, params, b) for b in rows.boost([(f, depth, rate) for f in range(table.folds)], n, name == "GBC")]
+    trees = rows.grow([_spec(name, table, f, depth, i) for f in range(table.folds) for i in range(n)])
+    return [_forest(name, table, params, trees[f * n: (f + 1) * n]) for f in range(table.folds)]
+
+
 def _shorter(tree: Tree, depth: int) -> Tree:
     """The top of a tree: the same nodes, those at ``depth`` made leaves."""
     level = np.zeros(len(tree.left), np.int32)

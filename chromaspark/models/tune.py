@@ -237,9 +237,10 @@ def learning_curve(
     whole = training_table(spread, features, y, task, n_labels, folds)
     for size in sizes:
         table = whole if size >= 1 else training_table(spread.where(F.col("_u") < size), features, y, task, n_labels, folds)
+        fitted = trees.fold_fits(name, table, params) if name in trees.NAMES[task] else None
         for f in range(folds):
             part = _part(table, F.col("fold") != f)
-            model = cat.fit(name, part, params)
+            model = fitted[f] if fitted else cat.fit(name, part, params)
             train = packed_score(model.predict(part.packed), task)
             test = packed_score(model.predict(whole.packed.where(F.col("fold") == f)), task)
             lines.append((float(size), f, train, test))

@@ -116,3 +116,12 @@ def test_saved_trees_predict_the_same(spark, tables, tmp_path):
         again = cat.load_model(spark, f"{tmp_path}/{name}")
         assert np.array_equal(predictions(m, clf), predictions(again, clf)) and again.importances() == m.importances()
         assert abs(sum(m.importances()) - 1) < 1e-9
+
+
+def test_fold_fits_are_those_of_parts(tables):
+    from chromaspark.models.tune import _part
+
+    for name, table in (("DT", tables[3]), ("GBC", tables[4])):
+        params = {"n_estimators": 2, "max_depth": 3}
+        for f, m in enumerate(trees.fold_fits(name, table, params)):
+            assert np.allclose(predictions(m, table), predictions(cat.fit(name, _part(table, f"fold <> {f}"), params), table))
