@@ -60,16 +60,11 @@ def report_lines(
         if r.metrics is None:
             sections.append((f"{r.task} models", [f"skipped: {r.skipped}"]))
             continue
-        hint = (
-            "Lower RMSE and MAE are better, higher R2 is better." if r.task == "regression"
-            else "Higher accuracy, precision, recall and F1 are better."
-        )
-        sections.append((f"{r.task} models", [hint, *_metric_lines(r)]))
+        sections.append((f"{r.task} models", _metric_lines(r)))
         if r.task == "classification" and r.best is not None:
             rows = feature_importance(spark, r.best).orderBy("rank").collect()  # one row per feature
             if rows:
                 lines = [f"{x['rank']} | {x['feature']} | {x['importance']:.4f}" for x in rows]
-                lines.append(f"Most influential factor: {rows[0]['feature']}")
                 sections.append(("feature importance", lines))
     sections.append(("features", [
         "Solvents: " + ", ".join(ds.solvents), "Molecular descriptors: " + ", ".join(DESCRIPTORS), f"Additional: {PH}",
