@@ -12,7 +12,7 @@ from chromaspark.models import knn, linear
 from chromaspark.models.base import Model, TrainingTable, read_json
 from chromaspark.models.kernel import FourierMap, SvrModel, svr_from_table
 from chromaspark.models.linear import LinearModel
-from chromaspark.models.mlp import MlpModel, fit_mlp
+from chromaspark.models.mlp import MlpModel, fit_mlp, layers_of
 from chromaspark.models.spark_ml import LogisticModel, SvcModel, fit_logistic, fit_svc
 from chromaspark.models.trees import TreesModel, fit_trees, read_trees
 from chromaspark.operators.moments import Scaler
@@ -77,7 +77,7 @@ def _restore(spark: SparkSession, path: str, head: dict) -> Model:
     readers: dict[str, Callable[[], Model]] = {
         "linear": lambda: LinearModel(*base, s["coef"], s["intercept"]),
         "svr": lambda: SvrModel(*base, FourierMap.from_state(s["map"]), s["coef"], s["bias"]),
-        "mlp": lambda: MlpModel(*base, _scaler(head), s["hidden"], s["weights"]),
+        "mlp": lambda: MlpModel(*base, _scaler(head), layers_of(s["hidden"]), s["weights"]),
         "trees": lambda: TreesModel(*base, *read_trees(spark, path, s), s["start"], s["importances"]),
         "logistic": lambda: LogisticModel(*base, _scaler(head), LogisticRegressionModel.load(f"{path}/fitted")),
         "svc": lambda: SvcModel(*base, FourierMap.from_state(s["map"]), s["coef"], s["bias"],

@@ -1,4 +1,4 @@
-"""One-hidden-layer perceptron trained on packed rows: squared loss or softmax."""
+"""Perceptron with any number of hidden layers, trained on packed rows: squared loss or softmax."""
 
 from __future__ import annotations
 
@@ -17,11 +17,18 @@ from chromaspark.models.base import Model, stacked
 from chromaspark.operators.moments import Scaler, fit_scaler
 
 
-def _shapes(d: int, hidden: int, out: int) -> list[tuple[int, ...]]:
-    return [(d, hidden), (hidden,), (hidden, out), (out,)]
+def layers_of(hidden) -> tuple[int, ...]:
+    """Widths of the hidden layers; a single number is one layer."""
+    return tuple(int(h) for h in hidden) if isinstance(hidden, (list, tuple)) else (int(hidden),)
 
 
-def unpack(w: np.ndarray, d: int, hidden: int, out: int) -> list[np.ndarray]:
+def _shapes(d: int, hidden, out: int) -> list[tuple[int, ...]]:
+    sizes = (d, *layers_of(hidden), out)
+    return [shape for a, b in zip(sizes, sizes[1:]) for shape in ((a, b), (b,))]
+
+
+def unpack(w: np.ndarray, d: int, hidden, out: int) -> list[np.ndarray]:
+    """Matrix and offset of each layer in turn."""
     parts, at = [], 0
     for shape in _shapes(d, hidden, out):
         size = int(np.prod(shape))
@@ -30,10 +37,13 @@ def unpack(w: np.ndarray, d: int, hidden: int, out: int) -> list[np.ndarray]:
     return parts
 
 
-def forward(x: np.ndarray, w: np.ndarray, d: int, hidden: int, out: int) -> tuple[np.ndarray, np.ndarray]:
-    w1, b1, w2, b2 = unpack(w, d, hidden, out)
-    h = np.maximum(x @ w1 + b1, 0.0)
-    return h, h @ w2 + b2
+def forward(x: np.ndarray, w: np.ndarray, d: int, hidden, out: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """What enters each layer, and what leaves the last one."""
+    parts = unpack(w, d, hidden, out)
+    enters = [x]
+    for m, b in zip(parts[:-2:2], parts[1:-2:2]):
+        enters.append(np.maximum(enters[-1] @ m + b, 0.0))
+    return enters, enters[-1] @ parts[-2] + parts[-1]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -43,8 +53,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def loss_and_gradient(x, y, weight, w, d, hidden, out, classify) -> np.ndarray:
     """Weighted loss sum followed by its gradient (no penalty)."""
-    h, z = forward(x, w, d, hidden, out)
-    _, _, w2, _ = unpack(w, d, hidden, out)
+    enters, z = forward(x, w, d, hidden, out)
     if classify:
         p = softmax(z)
         code = y.astype(np.int64)
@@ -56,14 +65,17 @@ def loss_and_gradient(x, y, weight, w, d, hidden, out, classify) -> np.ndarray:
         r = z[:, 0] - y
         loss = 0.5 * np.sum(weight * r * r)
         delta = (weight * r)[:, None]
-    back = (delta @ w2.T) * (h > 0)
-    return np.concatenate([[loss], (x.T @ back).ravel(), back.sum(0), (h.T @ delta).ravel(), delta.sum(0)])
+    slopes: list[np.ndarray] = []
+    for enter, m in zip(reversed(enters), reversed(unpack(w, d, hidden, out)[::2])):
+        slopes = [(enter.T @ delta).ravel(), delta.sum(0), *slopes]
+        delta = (delta @ m.T) * (enter > 0)
+    return np.concatenate([[loss], *slopes])
 
 
 @dataclass
 class MlpModel(Model):
     scaler: Scaler | None = None
-    hidden: int = 50
+    hidden: tuple[int, ...] = (50,)
     weights: list[float] = field(default_factory=list)
     history: list[float] = field(default_factory=list)
     kind = "mlp"
@@ -92,38 +104,39 @@ class MlpModel(Model):
 
     def state(self) -> dict:
         s = self.scaler
-        return {"mean": s.mean, "std": s.std, "hidden": self.hidden, "weights": self.weights}
+        return {"mean": s.mean, "std": s.std, "hidden": list(self.hidden), "weights": self.weights}
 
 
 def fit_mlp(
     packed: DataFrame, features: list[str], params: dict, task: str, n_labels: int = 0, name: str = "MLP", seed: int = 42
 ) -> MlpModel:
-    """Full-batch fit with an L2 penalty and early stopping on a 10 % hash hold-out.
+    """Full-batch fit with an L2 penalty and early stopping on a tenth of the runs.
 
-    Rows are packed (weights), and only the gradient sum (about (d + 2) * hidden numbers) and the
-    weights travel each step.
+    A packed row of ``w`` runs gives a tenth of them to the hold-out, a remainder by the hash of its vector
+    and target, so a vector repeated very often is in both parts. Where that leaves no run on one side (a few
+    runs in all), nothing is held out. In regression both parts of a packed row share its mean target. Only
+    the gradient sum (one number a weight) and the weights travel each step.
     """
     classify = task == "classification"
-    layers = params.get("hidden_layer_sizes", (50,))
-    if len(layers) != 1:
-        raise ValueError(f"one hidden layer is supported, not {layers!r}")
-    hidden = int(layers[0])
+    hidden = layers_of(params.get("hidden_layer_sizes", (50,)))
     alpha, rounds, tol = float(params.get("alpha", 1e-3)), int(params.get("max_iter", 500)), float(params.get("tol", 1e-4))
     out, d = (n_labels if classify else 1), len(features)
     scaler = fit_scaler(packed, features, weight="w")
-    held = F.pmod(F.xxhash64(*[zero_filled(f) for f in features], F.lit(seed)), F.lit(10)) == 0
+    unit = F.pmod(F.xxhash64(*[zero_filled(f) for f in features], F.col("y").cast("double"), F.lit(seed)), F.lit(10))
+    tenth = F.floor(F.col("w") / 10)
+    held = tenth + F.when(unit < F.col("w") - 10 * tenth, 1.0).otherwise(0.0)
     data = hot(packed.select(
         *[F.expr(t).alias(f"x{i}") for i, t in enumerate(scaler.texts())], F.col("y").cast("double").alias("y"),
-        F.col("w"), held.cast("int").alias("held"),
+        F.col("w"), held.cast("double").alias("held"),
     ))
     sums = data.agg(
-        F.sum(F.when(F.col("held") == 0, F.col("w"))).alias("n"), F.sum(F.when(F.col("held") == 1, F.col("w"))).alias("nv"),
-        F.avg("y").alias("m"),
+        F.sum(F.col("w") - F.col("held")).alias("n"), F.sum("held").alias("nv"),
+        (F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("m"),
     ).first()
     n, n_held = float(sums["n"] or 0.0), float(sums["nv"] or 0.0)
     early = n_held > 0 and n > 0
-    if not n:
-        data, n, early = data.withColumn("held", F.lit(0)), n_held, False
+    if not early:
+        data, n = data.withColumn("held", F.lit(0.0)), n + n_held
     xs, wide = [f"x{i}" for i in range(d)], is_wide(data)
     size = sum(int(np.prod(s)) for s in _shapes(d, hidden, out))
     seen: dict[bytes, float] = {}
@@ -131,24 +144,25 @@ def fit_mlp(
     def value_and_grad(w: np.ndarray) -> tuple[float, np.ndarray]:
         def part(b: dict) -> np.ndarray:
             x = np.column_stack([b[c] for c in xs]).astype(np.float64)
-            use = b["held"] == 0
-            train = loss_and_gradient(x[use], b["y"][use], b["w"][use], w, d, hidden, out, classify) if use.any() else np.zeros(1 + size)
-            valid = loss_and_gradient(x[~use], b["y"][~use], b["w"][~use], w, d, hidden, out, classify)[0] if (~use).any() else 0.0
+            train = loss_and_gradient(x, b["y"], b["w"] - b["held"], w, d, hidden, out, classify)
+            use = b["held"] > 0
+            valid = loss_and_gradient(x[use], b["y"][use], b["held"][use], w, d, hidden, out, classify)[0] if early and use.any() else 0.0
             return np.append(train, valid)
 
         s = row_sums(data, [*xs, "y", "w", "held"], part, wide)
         seen[w.tobytes()] = s[-1] / max(n_held, 1.0)
-        w1, b1, w2, b2 = unpack(w, d, hidden, out)
-        penalty = 0.5 * alpha * (np.sum(w1 * w1) + np.sum(w2 * w2)) / n
-        shrink = np.concatenate([w1.ravel(), np.zeros(b1.size), w2.ravel(), np.zeros(b2.size)]) * alpha / n
+        parts = unpack(w, d, hidden, out)
+        penalty = 0.5 * alpha * sum(np.sum(m * m) for m in parts[::2]) / n
+        shrink = np.concatenate([p.ravel() if i % 2 == 0 else np.zeros(p.size) for i, p in enumerate(parts)]) * alpha / n
         return float(s[0] / n + penalty), s[1:-1] / n + shrink
 
     rng = np.random.default_rng(seed)
-    b1, b2 = np.sqrt(6.0 / (d + hidden)), np.sqrt(6.0 / (hidden + out))
-    start = np.concatenate([
-        rng.uniform(-b1, b1, d * hidden), rng.uniform(-b1, b1, hidden), rng.uniform(-b2, b2, hidden * out),
-        np.zeros(out) if classify else np.full(out, sums["m"] or 0.0),
-    ])
+    sizes, begin = (d, *hidden, out), []
+    for a, b in zip(sizes, sizes[1:]):
+        bound = np.sqrt(6.0 / (a + b))
+        begin += [rng.uniform(-bound, bound, a * b), rng.uniform(-bound, bound, b)]
+    begin[-1] = np.zeros(out) if classify else np.full(out, sums["m"] or 0.0)
+    start = np.concatenate(begin)
     best = {"loss": np.inf, "w": start, "since": 0}
 
     def watch(w: np.ndarray, value: float) -> bool:

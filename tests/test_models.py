@@ -111,22 +111,47 @@ def test_kernel_and_mlp_beat_linear_on_a_sine(spark):
     assert packed_score(m.predict(t.packed), "regression") < 0.8 * flat
 
 
+@pytest.mark.parametrize("hidden", [4, (4,), (4, 3), (3, 2, 3)])
 @pytest.mark.parametrize("classify", [False, True])
-def test_mlp_gradient_by_differences(classify):
+def test_mlp_gradient_by_differences(classify, hidden):
     rng = np.random.default_rng(0)
     x, wt = rng.normal(size=(7, 3)), rng.uniform(1, 3, 7)
     y = rng.integers(0, 2, 7) if classify else rng.normal(size=7)
     out = 2 if classify else 1
-    w = rng.normal(size=3 * 4 + 4 + 4 * out + out)
-    full = mlp.loss_and_gradient(x, y, wt, w, 3, 4, out, classify)
+    sizes = (3, *mlp.layers_of(hidden), out)
+    w = rng.normal(size=sum(a * b + b for a, b in zip(sizes, sizes[1:])))
+    full = mlp.loss_and_gradient(x, y, wt, w, 3, hidden, out, classify)
+    assert len(full) == 1 + len(w)
     for j in range(len(w)):
         step = np.zeros(len(w))
         step[j] = 1e-6
-        up = mlp.loss_and_gradient(x, y, wt, w + step, 3, 4, out, classify)[0]
-        down = mlp.loss_and_gradient(x, y, wt, w - step, 3, 4, out, classify)[0]
+        up = mlp.loss_and_gradient(x, y, wt, w + step, 3, hidden, out, classify)[0]
+        down = mlp.loss_and_gradient(x, y, wt, w - step, 3, hidden, out, classify)[0]
         assert abs((up - down) / 2e-6 - full[1 + j]) < 1e-4
 
 
+def test_mlp_of_two_layers(spark, table, tmp_path):
+    reg, clf = table[4], table[5]
+    flat = packed_score(cat.fit("LR", reg, {}).predict(reg.packed), "regression")
+    m = cat.fit("MLP", reg, {"hidden_layer_sizes": (50, 20), "max_iter": 60})
+    assert packed_score(m.predict(reg.packed), "regression") < 1.5 * flat
+    c = cat.fit("MLPC", clf, {"hidden_layer_sizes": (20, 10), "max_iter": 60})
+    assert packed_score(c.predict(clf.packed), "classification") > 0.9
+    c.save(spark, str(tmp_path / "m"))
+    back = cat.load_model(spark, str(tmp_path / "m"))
+    assert back.hidden == (20, 10) and back.weights == c.weights
+
+
+def test_mlp_with_one_hot_vector(spark):
+    """A vector that is nearly all runs is in both parts of the split; a table of one run holds nothing out."""
+    rows = [(i, 1.0, 2.0, 0) for i in range(500)] + [(500 + i, float(i), 3.0, 0) for i in range(3)]
+    hot = training_table(spark.createDataFrame(rows, "run_id bigint, x double, y double, fold int"), ["x"], "y", "regression")
+    m = cat.fit("MLP", hot, {"max_iter": 30})
+    assert abs(m.predict(hot.packed.where("x = 1")).first()["prediction"] - 2.0) < 0.2
+    one = training_table(spark.createDataFrame(rows[:1], "run_id bigint, x double, y double, fold int"), ["x"], "y", "regression")
+    assert abs(cat.fit("MLP", one, {"max_iter": 5}).predict(one.packed).first()["prediction"] - 2.0) < 0.2
+
+
 def test_fourier_map_approximates_rbf(spark, table):
     sc = fit_scaler(table[0], ["p", "q", "r"])
     fmap = kernel.fourier_map(sc, 4000)
