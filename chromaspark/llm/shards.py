@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from chromaspark.llm.common import new_folder
+from chromaspark.llm.common import drop_kept, keep, new_folder
 
 BUCKET_BYTES = 16 << 20
 BUCKET_ROWS = 100_000
-HOT_SHARE = 1e-4  # a row that makes up more of the table than this is scattered copy by copy
+HOT_PART = 4  # a row whose copies fill more than this part of a bucket is scattered copy by copy
+MAX_BROADCAST_HOT = 1_000_000  # about 16 MB
+SPREAD = 16
 MAX_BROADCAST_BUCKETS = 1_000_000  # about 16 MB
 GROUP = 1024  # buckets whose counts one task adds up
 
@@ -52,11 +54,20 @@ def write_shards(
     buckets = max(1, -(-(total["bytes"] or 0) // bucket_bytes), -(-n // BUCKET_ROWS))
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), size.alias("size"), mix.alias("mix"))
-    hot = docs.select(mix.alias("mix")).groupBy("mix").agg(F.count(F.lit(1)).alias("copies")).where(
-        F.col("copies") > max(1000, int(n * HOT_SHARE))
-    ).select("mix", F.lit(True).alias("hot"))  # at most 1 / HOT_SHARE rows, whatever the table
-    salt = F.when(F.col("hot"), F.monotonically_increasing_id()).otherwise(F.lit(0))
-    rows = rows.join(F.broadcast(hot), "mix", "left").select(
+    rows = rows.withColumn("place", F.monotonically_increasing_id())  # of the scan, so a task done again gives the same
+    same = docs.select(mix.alias("mix"), size.alias("size")).groupBy("mix").agg(F.count(F.lit(1)).alias("copies"), F.sum("size").alias("bytes"))
+    hot = keep(same.where((F.col("copies") > 1) & (
+        (F.col("bytes") > bucket_bytes // HOT_PART) | (F.col("copies") > BUCKET_ROWS // HOT_PART)
+    )).select("mix", F.lit(True).alias("hot")), "hot")
+    scattered = hot.count()
+    salt = F.when(F.col("hot"), F.col("place")).otherwise(F.lit(0))
+    if scattered > MAX_BROADCAST_HOT:  # every hot row meets its copies in several tasks
+        rows = rows.withColumn("part", F.pmod("place", F.lit(SPREAD).cast("bigint")))
+        hot = hot.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)).cast("array<bigint>")))
+        rows = rows.join(hot, ["mix", "part"], "left")
+    else:
+        rows = rows.join(F.broadcast(hot), "mix", "left")
+    rows = rows.select(
         "row", "size", "mix", F.pmod(F.xxhash64(F.lit(seed), "mix", salt), F.lit(buckets)).cast("int").alias("bucket")
     )
 
@@ -70,6 +81,7 @@ def write_shards(
     mixed = packed.select("bucket", F.shuffle(F.array_sort("rows", by_mix), seed).alias("rows"))
     laid = mixed.select("bucket", F.posexplode("rows").alias("pos", "r")).select("bucket", "pos", "r.row", "r.size")
     laid.write.option("compression", "zstd").parquet(f"{folder}/buckets")
+    drop_kept(hot)
 
     written = spark.read.schema(laid.schema).parquet(f"{folder}/buckets")
     before = _bucket_offsets(written)
