@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -45,9 +48,27 @@ def keep(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{session_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if getattr(_made, "scopes", None):
+        _made.scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_made = threading.local()
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that this thread keeps inside are deleted at the end, so a result must be written before."""
+    _made.scopes = [*getattr(_made, "scopes", []), []]
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _made.scopes.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+
 def with_ids(df: DataFrame, name: str = "run_id") -> DataFrame:
     """``df`` with a unique bigint id a row, kept, so that the ids stay as they are."""
     return keep(df.withColumn(name, F.monotonically_increasing_id()))

@@ -368,6 +368,9 @@ FROM best b JOIN r_qmap m ON b.run_id = m.run_id JOIN r_said s ON s.qid = m.qid"
         "ridge_two": f"WITH {DS}, {TWO} SELECT {r6(ru)} AS logp, {r6(rv)} AS ph, {r6(f'my - {ru} * mu - {rv} * mv')} AS intercept FROM two",
         "pca_total_variance": f"WITH {DS} SELECT {r6(' + '.join(f'var_samp({zero(f)})' for f in FEATS))} AS total FROM ds",
         "score_stream": f"""WITH {DS}, {SINGLE} SELECT run_id, {r6('a + b * CAST("MolWt" AS DOUBLE)')} AS prediction FROM ds, fit""",
+        "stream_knn": f"""WITH {DS}, {REG_SPLIT}, rtrain AS (SELECT * FROM rsplit WHERE NOT is_test),
+          {knn('rtrain', 'ds', '"Retention_Time_min"', 5, 'r_')}, {regress('r_')}
+          SELECT m.run_id, {r6('s.prediction')} AS prediction FROM r_qmap m JOIN r_said s ON m.qid = s.qid""",
         "model_roundtrip": f"""WITH {DS}, {SINGLE} SELECT run_id, {r6('a + b * CAST("MolWt" AS DOUBLE)')} AS prediction FROM ds, fit""",
         "qsrr_points": f"""WITH {DS}, {SINGLE} SELECT run_id, "Retention_Time_min" AS actual,
           {r6('a + b * CAST("MolWt" AS DOUBLE)')} AS fitted FROM ds, fit WHERE "Retention_Time_min" IS NOT NULL""",

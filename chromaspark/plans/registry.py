@@ -847,6 +847,17 @@ def score_stream(spark, sf):
     return tidy(spark.read.parquet(f"{folder}/out"))
 
 
+@query
+def stream_knn(spark, sf):
+    """All runs arrive as a stream in several batches and are scored by the neighbour model."""
+    folder = scratch(spark, "stream")
+    runs = raw_runs(spark, sf)
+    runs.repartition(4).write.parquet(f"{folder}/in")
+    arriving = stream.stream_runs(spark, f"{folder}/in", runs.schema, files_per_batch=2)
+    stream.run_batches(arriving, descriptor_lookup(spark), _reg_knn(spark, sf), [RUN_ID, "prediction"], f"{folder}/out", f"{folder}/state")
+    return tidy(spark.read.parquet(f"{folder}/out").drop("batch"))
+
+
 def queries() -> dict[str, Query]:
     from chromaspark.plans import proofs  # builds on the queries above
 

@@ -1,7 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from chromaspark.analysis.qsrr import qsrr
-from chromaspark.models import tune
+from chromaspark.models import catalog as cat, tune
+from chromaspark.models.base import training_table
 from chromaspark.operators.predict import predict_quality, predict_retention, prepare_compounds
 from chromaspark.sources import report, session, tables
 from chromaspark.streaming import score
@@ -79,6 +81,31 @@ def test_stream_scores_new_files_once(spark, runs, ds, lookup, tmp_path):
     assert len(got) == 120 and got == pytest.approx(want)
 
 
+def test_neighbour_stream_and_restart(spark, runs, ds, lookup, tmp_path):
+    """Batches equal a prediction of the whole table; a batch that is repeated after a crash replaces its first try."""
+    known = ds.df.where("Retention_Time_min IS NOT NULL").withColumn("fold", F.lit(0))
+    model = cat.fit("KNN", training_table(known, ds.features, "Retention_Time_min", "regression"), {"n_neighbors": 3})
+    src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    want = {r["run_id"]: r["prediction"] for r in model.predict(ds.df).collect()}
+
+    def go():
+        score.run_batches(score.stream_runs(spark, src, runs.schema), lookup, model, ["run_id", "prediction"], out, state)
+        return [(r["run_id"], r["prediction"]) for r in spark.read.parquet(out).collect()]
+
+    runs.where("run_id < 50").write.mode("append").parquet(src)
+    assert len(go()) == 50 and len(go()) == 50
+    runs.where("run_id >= 50").write.mode("append").parquet(src)
+    assert len(go()) == 120
+    # as if the session had died after the write and before the commit of the last batch
+    last = max(int(f.name) for f in (tmp_path / "state" / "commits").iterdir() if f.name.isdigit())
+    (tmp_path / "state" / "commits" / str(last)).unlink()
+    (tmp_path / "state" / "commits" / f".{last}.crc").unlink(missing_ok=True)
+    before = set((tmp_path / "out" / f"batch={last}").iterdir())
+    got = go()
+    assert len(got) == 120 and dict(got) == pytest.approx(want)
+    assert not before & set((tmp_path / "out" / f"batch={last}").glob("part-*"))
+
+
 def test_quoted_line_break_and_content_keys(spark, tmp_path):
     from chromaspark.sources.tables import read_runs
 
