@@ -48,23 +48,24 @@ def keep(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{session_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if getattr(_made, "scopes", None):
-        _made.scopes[-1].append(path)
+    if _made.get(threading.get_ident()):
+        _made[threading.get_ident()][-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_made = threading.local()
+_made: dict[int, list[list[str]]] = {}  # by thread
 
 
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[None]:
     """Tables that this thread keeps inside are deleted at the end, so a result must be written before."""
-    _made.scopes = [*getattr(_made, "scopes", []), []]
+    scopes = _made.setdefault(threading.get_ident(), [])
+    scopes.append([])
     try:
         yield
     finally:
         conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _made.scopes.pop():
+        for path in scopes.pop():
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
 
