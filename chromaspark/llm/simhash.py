@@ -2,17 +2,21 @@
 
 Two fingerprints at most ``radius`` bits apart have a common value at most half of it from each. So
 every fingerprint stands for all its variants within half the radius, variants are brought together,
-and fingerprints that share one are linked. The shuffle key is a linear hash of the variant (each bit
-position owns a fixed code, a value hashes to the exclusive or of its bits' codes). The hash of
-``x ^ mask`` is then the hash of ``x`` with that of ``mask``, which lets a task send ``x`` once to a
-bucket and the receiver rebuild just the variants of ``x`` that fall into its bucket.
+and fingerprints that share one are linked. The shuffle key is a linear hash of the variant: the 64 bit
+positions are dealt to ``b`` blocks, and a value hashes to the parities of its blocks. The hash of
+``x ^ mask`` is then the hash of ``x`` with that of ``mask``, so a task sends ``x`` once to each bucket
+that a variant of it falls into, and the receiver rebuilds those variants. A mask of ``r`` bits turns at
+most ``r`` parities, so of the ``2**b`` buckets only ``1 + b + b(b-1)/2`` (radius 4) are sent to: 37
+of 256, 137 of 65,536. Inside a bucket a second hash cuts the variants into passes of bounded size.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +28,10 @@ from chromaspark.llm.components import components
 
 SEED = 42
 BITS = 64
-BLOCK = 4096  # fingerprints packed into one shuffled row
-LEAST_CODE = 7
-BUCKET_VARIANTS = 4_000_000  # variants that one bucket holds in memory
+BLOCK = 1 << 14  # fingerprints that a task deals to the buckets at a time
+LEAST_BLOCKS, MOST_BLOCKS = 7, 32  # with 32 blocks, 8e12 fingerprints are a million a bucket
+BUCKET_HELD = 1_000_000  # fingerprints that one bucket receives
+PASS_VARIANTS = 4_000_000  # variants that one pass over a bucket holds in memory
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -82,11 +87,24 @@ def _masks(reach: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for n in range(reach + 1) for c in combinations(range(BITS), n)], dtype=np.uint64)
 
 
+def block_count(n: int, reach: int) -> int:
+    """Blocks of bit positions with which no bucket gets more than ``BUCKET_HELD`` of ``n`` fingerprints on average."""
+    for blocks in range(LEAST_BLOCKS, MOST_BLOCKS):
+        if n * sum(comb(blocks, i) for i in range(reach + 1)) <= BUCKET_HELD << blocks:
+            return blocks
+    return MOST_BLOCKS
+
+
 class _Ball:
-    """The variants within ``reach`` bits, dealt over ``2**code`` buckets by a linear hash."""
+    """The variants within ``reach`` bits, dealt over ``2**blocks`` buckets, each cut into ``2**passes`` passes.
+
+    The code of a value has the number of its bucket in the low bits and that of its pass above.
+    """
 
-    def __init__(self, reach: int, code: int):
-        bits = np.random.default_rng(64).integers(0, 1 << 32, BITS, dtype=np.uint64) & np.uint64((1 << code) - 1)
+    def __init__(self, reach: int, blocks: int, passes: int = 0):
+        self.blocks = blocks
+        inner = np.random.default_rng(64).integers(0, 1 << 32, BITS, dtype=np.uint64) & np.uint64((1 << passes) - 1)
+        bits = (np.uint64(1) << (np.arange(BITS, dtype=np.uint64) % np.uint64(blocks))) | (inner << np.uint64(blocks))
         self.table = np.zeros((8, 256), dtype=np.uint64)
         for byte in range(8):
             for b in range(8):
@@ -114,37 +132,60 @@ class _Ball:
         for b, part in zip(bucket.tolist(), np.split(owner, first[1:])):
             yield b, part.tobytes()
 
-    def variants(self, bucket: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Variants of ``x`` inside the bucket, and the index of the fingerprint each belongs to."""
+    def dealt(self, x: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Indexes of the fingerprints of each code."""
         codes = self.code(x)
-        order = np.argsort(codes, kind="stable")
+        order = np.argsort(codes, kind="stable").astype(np.uint32)
         value, first = np.unique(codes[order], return_index=True)
-        found, owners = [], []
-        for c, at in zip(value.tolist(), np.split(order, first[1:])):
-            masks = self.groups.get(c ^ bucket)
+        return list(zip(value.tolist(), np.split(order, first[1:])))
+
+    def size(self, bucket: int, x: np.ndarray) -> int:
+        """Number of variants of ``x`` inside the bucket."""
+        return sum(len(at) * len(self.groups.get(c ^ bucket, ())) for c, at in self.dealt(x))
+
+    def variants(self, code: int, x: np.ndarray, dealt: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Variants of ``x`` that have the code, and the index of the fingerprint each belongs to."""
+        found, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+        for c, at in dealt:
+            masks = self.groups.get(c ^ code)
             if masks is not None:
                 found.append((x[at][:, None] ^ masks[None, :]).ravel())
-                owners.append(np.repeat(at.astype(np.uint32), len(masks)))
-        if not found:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+                owners.append(np.repeat(at, len(masks)))
         return np.concatenate(found), np.concatenate(owners)
 
-    def links(self, bucket: int, x: np.ndarray) -> np.ndarray:
-        """Star edges (lowest, other) of the fingerprints that share a variant of this bucket."""
-        v, owner = self.variants(bucket, x)
-        s = np.sort(v)
-        shared = np.unique(s[1:][s[1:] == s[:-1]])
-        if not len(shared):
-            return np.zeros((0, 2), np.uint64)
-        at = np.minimum(np.searchsorted(shared, v), len(shared) - 1)
-        hit = shared[at] == v
-        run, who = at[hit], x[owner[hit]]
-        order = np.lexsort((who, run))
-        run, who = run[order], who[order]
-        head = np.concatenate(([True], run[1:] != run[:-1]))
-        low = who[np.maximum.accumulate(np.where(head, np.arange(len(run)), 0))]
-        edges = np.stack((low, who), axis=1)[~head]
-        return np.unique(edges, axis=0)
+
+@lru_cache(maxsize=8)
+def _ball(reach: int, blocks: int, passes: int = 0) -> _Ball:
+    """A task meets many buckets and deals all of them in the same way."""
+    return _Ball(reach, blocks, passes)
+
+
+def _stars(v: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """Edges (lowest, other) of the fingerprints ``who`` that share a variant ``v``."""
+    s = np.sort(v)
+    shared = np.unique(s[1:][s[1:] == s[:-1]])
+    if not len(shared):
+        return np.zeros((0, 2), np.uint64)
+    at = np.minimum(np.searchsorted(shared, v), len(shared) - 1)
+    hit = shared[at] == v
+    run, who = at[hit], who[hit]
+    order = np.lexsort((who, run))
+    run, who = run[order], who[order]
+    head = np.concatenate(([True], run[1:] != run[:-1]))
+    low = who[np.maximum.accumulate(np.where(head, np.arange(len(run)), 0))]
+    return np.unique(np.stack((low, who), axis=1)[~head], axis=0)
+
+
+def bucket_links(bucket: int, x: np.ndarray, reach: int, blocks: int) -> Iterator[np.ndarray]:
+    """Star edges of the fingerprints that share a variant of this bucket, pass after pass."""
+    size, passes = _ball(reach, blocks).size(bucket, x), 0
+    while size > PASS_VARIANTS << passes:
+        passes += 1
+    ball = _ball(reach, blocks, passes)
+    dealt = ball.dealt(x)
+    for inner in range(1 << passes):
+        v, owner = ball.variants(bucket | inner << blocks, x, dealt)
+        yield _stars(v, x[owner])
 
 
 def linked_pairs(distinct: DataFrame, radius: int = 4, count: int | None = None) -> DataFrame:
@@ -152,16 +193,17 @@ def linked_pairs(distinct: DataFrame, radius: int = 4, count: int | None = None)
 
     ``distinct`` has one bigint column of distinct fingerprints. Fingerprints that share a variant are
     all within the radius of each other, so tying them to the lowest one loses no connection, and no
-    list of all pairs is made. The number of buckets follows the number of fingerprints.
+    list of all pairs is made. The number of buckets follows the number of fingerprints. A fingerprint is
+    sent to ``1 + b + b(b-1)/2`` of ``2**b`` buckets at radius 4: 29 (232 bytes) up to 4 million
+    fingerprints, 56 (448 bytes) up to 18 million, 121 (968 bytes) up to 270 million.
     """
     if radius % 2 or not 0 <= radius <= 6:
         raise ValueError("radius must be 0, 2, 4 or 6")
     reach = radius // 2
-    n = distinct.count() if count is None else count
-    code = max(LEAST_CODE, int(np.ceil(np.log2(max(1, n * len(_masks(reach)) / BUCKET_VARIANTS)))))
+    blocks = block_count(distinct.count() if count is None else count, reach)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ball = _Ball(reach, code)
+        ball = _ball(reach, blocks)
 
         def rows(x: np.ndarray) -> pa.RecordBatch:
             sent = list(ball.send(x))
@@ -181,7 +223,7 @@ def linked_pairs(distinct: DataFrame, radius: int = 4, count: int | None = None)
     def meet(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
         x = np.unique(np.concatenate([np.frombuffer(p.as_py(), np.uint64) for p in group.column("packed")]))
-        edges = _Ball(reach, code).links(bucket, x).view(np.int64)
+        edges = np.unique(np.concatenate(list(bucket_links(bucket, x, reach, blocks))), axis=0).view(np.int64)
         return pa.table({"a": pa.array(edges[:, 0]), "b": pa.array(edges[:, 1])})
 
     sent = distinct.mapInArrow(emit, "bucket bigint, packed binary")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -283,6 +284,54 @@ def test_op9_ball_joins_find_every_link(spark):
         simhash.linked_pairs(spark.range(1), 3)
 
 
+@pytest.mark.parametrize(("radius", "blocks"), [(2, 7), (4, 7), (4, 10), (4, 16), (2, 32), (6, 7)])
+def test_op9_buckets_and_passes_lose_no_link(monkeypatch, radius, blocks):
+    rng = random.Random(blocks)
+    base = [rng.getrandbits(64) for _ in range(4)] + [rng.getrandbits(64) & rng.getrandbits(64) & rng.getrandbits(64)]
+    values = set(base)
+    for v in base:
+        for n in range(1, 9):
+            values.add(v ^ sum(1 << b for b in rng.sample(range(64), n)))
+    x = np.array(sorted(values), dtype=np.uint64)
+    ball = simhash._Ball(radius // 2, blocks)
+    assert len(ball.codes) == sum(math.comb(blocks, i) for i in range(radius // 2 + 1))
+    held = defaultdict(list)
+    for bucket, packed in ball.send(x):
+        held[bucket].append(np.frombuffer(packed, np.uint64))
+    found = []
+    for limit in (simhash.PASS_VARIANTS, 40):
+        monkeypatch.setattr(simhash, "PASS_VARIANTS", limit)
+        edges, calls = set(), 0
+        for bucket, parts in held.items():
+            for part in simhash.bucket_links(bucket, np.unique(np.concatenate(parts)), radius // 2, blocks):
+                edges |= set(map(tuple, part.tolist()))
+                calls += 1
+        assert calls == len(held) if limit > 40 else calls > len(held) or blocks > 7 or radius < 4
+        assert all((a ^ b).bit_count() <= radius for a, b in edges)
+        found.append(edges)
+    root = {int(v): int(v) for v in x}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    assert found[0] == found[1]
+    for a, b in found[0]:
+        root[find(b)] = find(a)
+    groups = lambda of: sorted(sorted(v for v in root if of(v) == r) for r in {of(v) for v in root})
+    plain = plain_components([int(v) for v in x], radius)
+    assert groups(find) == groups(plain.get)
+
+
+def test_op9_blocks_follow_the_fingerprints():
+    assert simhash.block_count(0, 2) == simhash.block_count(1_000_000, 2) == simhash.LEAST_BLOCKS
+    for n in (10**7, 15 * 10**6, 10**9, 10**12):
+        b = simhash.block_count(n, 2)
+        sent = 1 + b + b * (b - 1) // 2
+        assert n * sent / 2**b <= simhash.BUCKET_HELD and 8 * sent < (500 if n < 16 * 10**6 else 4000)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(7, 7), (None, 3)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
