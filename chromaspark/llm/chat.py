@@ -24,10 +24,11 @@ def maximal(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
     """``(conv, n_turns, n_copies)`` of the conversations to keep.
 
     Turns are ordered by (turn, role, text), nulls first. A conversation goes if all its turns begin a
-    longer one; of conversations with the same turns the one with the smallest id stays (a null id only
-    if there is no other), and ``n_copies`` counts them. Prefixes are compared by two 64-bit hashes.
+    longer one; of conversations with the same turns the one with the smallest id stays,
+    and ``n_copies`` counts them. Rows without an id belong to no conversation. Prefixes are compared by
+    two 64-bit hashes.
     """
-    turns = conversations.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    turns = conversations.where(F.col(conv).isNotNull()).select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     own = Window.partitionBy("conv")
     order = own.orderBy("turn", "role", "text")
     placed = turns.select(
@@ -48,15 +49,15 @@ def render(
 
     A null role is written as ``unknown``, a null text as nothing. One conversation must fit into one row.
     """
-    turns = conversations.select(F.col(conv).alias("c"), F.struct(
+    turns = conversations.where(F.col(conv).isNotNull()).select(F.col(conv).alias("c"), F.struct(
         F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).alias("t"))
     chosen = kept.withColumnRenamed(conv, "conv")
-    own = turns.join(chosen.select("conv"), F.col("c").eqNullSafe(F.col("conv")), "left_semi")
+    own = turns.join(chosen.select("conv"), F.col("c") == F.col("conv"), "left_semi")
     line = lambda t: F.concat(F.lit(OPEN), F.coalesce(t["role"], F.lit("unknown")), F.lit("\n"), F.coalesce(t["text"], F.lit("")), F.lit(CLOSE))
     whole = own.groupBy("c").agg(F.collect_list("t").alias("ts"))
     # sort_array puts nulls first, as the window of maximal() does
     whole = whole.select("c", F.array_join(F.transform(F.sort_array("ts"), line), "\n").alias("rendered"))
-    out = chosen.join(whole, F.col("conv").eqNullSafe(F.col("c"))).drop("c")
+    out = chosen.join(whole, F.col("conv") == F.col("c")).drop("c")
     return out.withColumnRenamed("conv", conv)
 
 
@@ -64,6 +65,6 @@ def format_chats(conversations: DataFrame, **names) -> DataFrame:
     """``(conv_id, n_turns, n_copies, rendered)`` of the conversations that no longer one repeats.
 
     Conversations without a row do not exist; an empty table gives an empty result. Rows with a null id
-    form one conversation. Repeated rows are repeated turns. Other columns are not looked at.
+    belong to no conversation and are left out: nothing tells which of them belong together. Repeated rows are repeated turns. Other columns are not looked at.
     """
     return render(conversations, maximal(conversations, **names), **names)

@@ -6,7 +6,7 @@ CHAT = """
 WITH t AS (
   SELECT conv_id, turn, role, text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
-  FROM conversations
+  FROM conversations WHERE conv_id IS NOT NULL
 ), c AS (
   SELECT conv_id, count(*) AS n_turns, list({'r': role, 't': text} ORDER BY pos) AS seq,
          string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>', chr(10) ORDER BY pos) AS rendered
