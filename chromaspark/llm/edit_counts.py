@@ -80,7 +80,9 @@ class EditedText:
 
         ``edits`` are (start, end, replacement) in characters of the text as it was, in order. Places
         outside are moved to the nearest one inside; an edit that begins before the end of the one
-        before it, or ends before its own start, is left out.
+        before it, or ends before its own start, is left out. Text, starts and tree are those of the
+        edited text afterwards. The tree keeps its leaves: what the edits touch is cut anew into at most as
+        many segments as it had, and leaves left over are empty segments behind them.
         """
         n, done, skipped, last = len(self.text), [], 0, -1
         for a, b, new in edits:
@@ -103,7 +105,7 @@ class EditedText:
             else:
                 groups.append([low, high, [e]])
         ends = [*self.starts[1:], n]
-        out, at = [], 0
+        out, at, shift, moved = [], 0, 0, starts.copy()
         for low, high, own in groups:
             begin, end = self.starts[low], ends[high]
             parts, p = [], begin
@@ -112,13 +114,19 @@ class EditedText:
                 p = b
             piece = "".join([*parts, self.text[p:end]])
             self.encoded += len(piece)
-            self.tree.set(low, self.count(piece))
-            for i in range(low + 1, high + 1):
-                self.tree.set(i, 0)
+            leaves = high - low + 1
+            cuts = cut_segments(piece, max(SEGMENT, -(-len(piece) // leaves))) if leaves > 1 else [0]
+            cuts += [len(piece)] * (leaves + 1 - len(cuts))
+            for i, (a, b) in enumerate(zip(cuts, cuts[1:]), low):
+                self.tree.set(i, self.count(piece[a:b]) if b > a else 0)
+                moved[i] = begin + shift + a
+            shift += len(piece) - (end - begin)
+            moved[high + 1:] = starts[high + 1:] + shift
             out += [self.text[at:begin], piece]
             at = end
         out.append(self.text[at:])
-        return "".join(out), skipped
+        self.text, self.starts = "".join(out), moved.tolist()
+        return self.text, skipped
 
 
 def counter(tokenizer_path: str):
@@ -153,9 +161,12 @@ def build(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
     return got.withColumnRenamed("key", key)
 
 
-def apply_edits(state: DataFrame, edits: DataFrame, tokenizer_path: str, key: str = "doc_id") -> DataFrame:
+def apply_edits(state: DataFrame, edits: DataFrame, tokenizer_path: str, key: str = "doc_id", with_state: bool = False) -> DataFrame:
     """``(key, text, n_before, n_tokens, n_edits, n_skipped, n_encoded)`` after one round of edits.
 
+    ``with_state`` adds ``starts`` and ``nodes`` of the edited texts: written as a table, the result is the
+    ``state`` of the next round, which encodes only what its own edits touch.
+
     ``edits`` is ``(key, start, end, replacement)`` in characters of the held text (a null place or key: no
     edit; a null replacement: none). Of several edits at one start the smallest by (end, replacement)
     counts, so a document has no more edits than places; of edits that overlap, the earlier counts.
@@ -169,11 +180,14 @@ def apply_edits(state: DataFrame, edits: DataFrame, tokenizer_path: str, key: st
     of = one.groupBy("edited").agg(F.sum("n").alias("given"), F.sort_array(F.collect_list(F.struct("start", "m.end", "m.replacement"))).alias("edits"))
     both = state.join(of, F.col(key) == F.col("edited"), "left").select(F.col(key).alias("key"), "text", "starts", "nodes", "edits", "given")
     kind = state.schema[key].dataType.simpleString()
+    kinds = {"text": pa.string()} | dict.fromkeys(("before", "after", "edits", "skipped", "encoded"), pa.int64())
+    more = ("starts", "nodes") if with_state else ()
+    kinds |= dict.fromkeys(more, pa.list_(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer_path)
         for b in batches:
-            out: dict[str, list] = {c: [] for c in ("text", "before", "after", "edits", "skipped", "encoded")}
+            out: dict[str, list] = {c: [] for c in kinds}
             size, since, columns = 0, 0, [b.column(i) for i in range(1, 6)]
             for i, row in enumerate(zip(*columns), 1):
                 text, starts, nodes, edits_, given = (x.as_py() for x in row)
@@ -182,18 +196,18 @@ def apply_edits(state: DataFrame, edits: DataFrame, tokenizer_path: str, key: st
                 if edits_:
                     new, skipped = held.apply([(e["start"], e["end"], e["replacement"]) for e in edits_])
                     skipped += given - len(edits_)
-                for c, v in zip(out, (new, before, held.tree.total(), given or 0, skipped, held.encoded)):
+                for c, v in zip(out, (new, before, held.tree.total(), given or 0, skipped, held.encoded, held.starts, held.tree.nodes)):
                     out[c].append(v)
                 size += len(new)
                 if size >= BATCH_BYTES or i == b.num_rows:
-                    kinds = (pa.string(), *[pa.int64()] * 5)
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).slice(since, i - since), *[pa.array(v, t) for v, t in zip(out.values(), kinds)]], ["key", *out]
+                        [b.column(0).slice(since, i - since), *[pa.array(v, t) for v, t in zip(out.values(), kinds.values())]], ["key", *out]
                     )
                     out, size, since = {c: [] for c in out}, 0, i
 
-    got = both.mapInArrow(run, f"key {kind}, text string, before bigint, after bigint, edits bigint, skipped bigint, encoded bigint")
+    schema = f"key {kind}, text string, before bigint, after bigint, edits bigint, skipped bigint, encoded bigint"
+    got = both.mapInArrow(run, ", ".join([schema, *[f"{c} {_STATE}" for c in more]]))
     return got.select(
         F.col("key").alias(key), "text", F.col("before").alias("n_before"), F.col("after").alias("n_tokens"), F.col("edits").alias("n_edits"),
-        F.col("skipped").alias("n_skipped"), F.col("encoded").alias("n_encoded"),
+        F.col("skipped").alias("n_skipped"), F.col("encoded").alias("n_encoded"), *more,
     )

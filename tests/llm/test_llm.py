@@ -108,7 +108,7 @@ def test_op3_maximal_conversations(spark):
     rows = [(c, i, "user" if i % 2 == 0 else None, t, "q") for c, ts in turns.items() for i, t in enumerate(ts)]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, pos string")
     got = {r["conv_id"]: r for r in chat.format_chats(df).collect()}
-    assert set(got) == {2, 5, 6, 7, 8, None}
+    assert set(got) == {2, 5, 6, 7, 8}  # rows without an id are no conversation
     assert got[2]["n_copies"] == 2 and got[2]["n_turns"] == 3
     assert got[6]["rendered"] == "<|im_start|>user\na<|im_end|>\n<|im_start|>unknown\nc<|im_end|>"
     assert chat.format_chats(df.limit(0)).count() == 0
@@ -195,6 +195,33 @@ def test_op7_counts_follow_edits(spark, docs, none):
     assert edit_counts.apply_edits(edit_counts.build(docs, BYTES), edits.limit(0), BYTES).where("n_tokens <> n_before").count() == 0
 
 
+def test_op7_rounds_follow_each_other(spark, docs):
+    library = Tokenizer.from_file(BYTES)
+    count = edit_counts.counter(BYTES)
+    size = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    rng = random.Random(7)
+    for t in [*ODD, *[prose(i, 1500) for i in range(3)]]:
+        held = edit_counts.EditedText.new(t, count)
+        leaves = len(held.starts)
+        for _ in range(12):
+            n = len(held.text)
+            edits = sorted((a := rng.randint(0, n), a + rng.choice([0, 1, 5, 700, n]), rng.choice(["", " ", "x", " new w", "'s", "  ", "ab cd " * 200])) for _ in range(3))
+            before = held.text
+            new, _ = held.apply(edits)
+            assert held.text == new and len(held.starts) == leaves and held.starts == sorted(held.starts) and held.starts[0] == 0
+            assert held.tree.total() == size(new), (before, edits)
+            ends = [*held.starts[1:], len(new)]
+            assert [int(v) for v in held.tree.nodes[held.tree.size:][:leaves]] == [size(new[a:b]) for a, b in zip(held.starts, ends)]
+    first = spark.createDataFrame([(26, 60_000, 60_010, "one"), (14, 3, 9, "AND")], "doc_id bigint, start int, end int, replacement string")
+    second = spark.createDataFrame([(26, 60_005, 60_300, " two "), (26, 10, 10, "z")], "doc_id bigint, start int, end int, replacement string")
+    once = edit_counts.apply_edits(edit_counts.build(docs, BYTES), first, BYTES, with_state=True)
+    twice = edit_counts.apply_edits(once, second, BYTES).collect()
+    assert all(r["n_tokens"] == size(r["text"]) for r in twice)
+    long = next(r for r in twice if r["doc_id"] == 26)
+    assert long["n_edits"] == 2 and 0 < long["n_encoded"] < 3000
+    assert next(r for r in twice if r["doc_id"] == 14)["n_encoded"] == 0
+
+
 def test_op8_leaks(spark, docs, none):
     rng = random.Random(8)
     words = [f"w{i}x{rng.randint(0, 9)}" for i in range(4000)]
