@@ -26,8 +26,30 @@ SEQUENCES_PER_BATCH = 256
 _INDEX = "part bigint, file string, doc_id bigint, first bigint, n_tokens bigint"
 
 
+# Hadoop's scheme of a path: the one Arrow knows the same store by
+_SCHEMES = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme, as Spark itself resolves it: a bare path lies in the cluster's default file system.
+
+    A store that Arrow cannot write to is an error here, before any task runs.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if whole.split(":", 1)[0] not in _SCHEMES:
+        raise ValueError(f"token files cannot be written to {whole}; known schemes: {', '.join(_SCHEMES)}")
+    return whole
+
+
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    """Arrow's file system of a qualified path, or of a bare one on this machine."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return pafs.LocalFileSystem(), path
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}")
 
 
 class TokenWriter:
@@ -119,7 +141,7 @@ def write_token_files(
     docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, key: str = "doc_id", text: str = "text",
     sequence: int = SEQUENCE, per_batch: int = SEQUENCES_PER_BATCH, bytes_per_id: int = 2,
 ) -> str:
-    """Encode ``docs`` into token files below ``folder`` (default: a new one in the shared folder), which is returned.
+    """Encode ``docs`` into token files below ``folder`` (default: a new one in the shared folder), which is returned with its scheme.
 
     Files hold the documents in ascending key order (null keys first; rows with equal keys by a hash of the
     text), each followed by ``end_id``; a null or empty text is its end id alone. ``folder/index`` is a
@@ -129,7 +151,7 @@ def write_token_files(
     no rows make an index without rows; other columns are not looked at.
     """
     spark = docs.sparkSession
-    folder = folder or new_folder(spark, "tokens")
+    folder = qualified(spark, folder or new_folder(spark, "tokens"))
     rows = docs.select(
         F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("mix"),
         F.monotonically_increasing_id().alias("place"),

@@ -101,6 +101,20 @@ def test_op2_digests(docs, rows, none):
     assert bpe.digests(bpe.encode_decode(none, WORDS)).count() == 0
 
 
+def test_op1_paths_have_the_scheme_spark_gives_them(spark, docs, tmp_path, monkeypatch):
+    assert token_files.qualified(spark, f"{tmp_path}/a b") == f"file:{tmp_path}/a b"
+    folder = token_files.write_token_files(docs, BYTES, 2, folder=f"{tmp_path}/a b")
+    files = [r["file"] for r in spark.read.parquet(f"{folder}/index").select("file").distinct().collect()]
+    assert files and all(f.startswith(f"file:{tmp_path}/a b/data/") for f in files)
+    assert token_files.read_token_files(spark, folder).count() == docs.count()
+    for path in ("/x/y", "file:/x/y", "file:///x/y"):
+        store, name = token_files._filesystem(path)
+        assert store.type_name == "local" and name == "/x/y"
+    monkeypatch.setattr(token_files, "_SCHEMES", {"hdfs": "hdfs"})
+    with pytest.raises(ValueError, match="known schemes"):
+        token_files.qualified(spark, "/x")
+
+
 def test_op3_maximal_conversations(spark):
     turns = {
         1: ["a", "b"], 2: ["a", "b", "c"], 3: ["a", "b", "c"], 4: ["a"], 5: ["x"], 6: ["a", "c"], 7: [None, "b"], 8: [""], None: ["z", "z"],
