@@ -4,7 +4,8 @@ Vectors are grouped into cells by a k-d cut of the train side. Each query is fir
 cells closest to it, which gives an upper bound of its k-th distance, and then only with the
 remaining cells whose bounding box comes within that bound. Cells are packed into small blocks, so
 the work is an ordinary equi-join on (cell, block) followed by a NumPy kernel over block pairs; a
-crowded cell is many join keys, not one.
+crowded cell is many join keys, not one. Vectors of many dimensions, where boxes prune next to nothing,
+are compared in a grid of (query group, train group) instead, so a vector travels once per group.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from chromaspark.functions.reuse import keep
@@ -21,6 +23,8 @@ from chromaspark.functions.reuse import keep
 DIGITS = 9  # distances are compared after rounding, so equal vectors tie in every engine
 MAX_CELLS = 16_384
 SAMPLE = 40_000
+FLAT_DIMS = 16  # with more dimensions every pair of groups is compared
+GROUP_BYTES = 16 << 20  # of the vectors of one group
 
 
 @dataclass
@@ -44,11 +48,17 @@ class Cells:
             node = 2 * node + 1 + right
         return node
 
-    def box_distance(self, x: np.ndarray) -> np.ndarray:
-        """Squared distance of every row of ``x`` to every cell box."""
-        total = np.zeros((len(x), len(self.ids)))
+    def within(self, x: np.ndarray, limit: float) -> np.ndarray:
+        """Indexes of the cells whose box may lie within ``limit`` (squared) of some row of ``x``."""
+        gap = np.maximum(np.maximum(self.low - x.max(axis=0), x.min(axis=0) - self.high), 0.0)
+        return np.flatnonzero(~((gap**2).sum(axis=1) > limit))
+
+    def box_distance(self, x: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """Squared distance of every row of ``x`` to every cell box, or to those at ``at``."""
+        low, high = (self.low, self.high) if at is None else (self.low[at], self.high[at])
+        total = np.zeros((len(x), len(low)))
         for d in range(x.shape[1]):
-            gap = np.maximum(self.low[:, d][None, :] - x[:, d][:, None], x[:, d][:, None] - self.high[:, d][None, :])
+            gap = np.maximum(low[:, d][None, :] - x[:, d][:, None], x[:, d][:, None] - high[:, d][None, :])
             total += np.maximum(gap, 0.0) ** 2
         return total
 
@@ -119,6 +129,8 @@ def nearest(
     head = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
     n, dim = head["n"], head["d"] or 1
     schema = "id bigint, v array<double>, w double"
+    if dim > FLAT_DIMS and not ward:
+        return _best(_grid(queries, train, n, dim, k, exclude_self), k).drop("tie")
     depth = 0 if n <= 2 * cell_rows else min(int(np.ceil(np.log2(n / cell_rows))), int(np.log2(MAX_CELLS)))
     cells = None
     if depth:
@@ -154,7 +166,24 @@ def nearest(
             return box
         return box * (2 * w[:, None] * cells.weight[None, :] / (w[:, None] + cells.weight[None, :]))
 
+    held = np.zeros(2 ** (depth + 1), dtype=np.int64)  # rows by cell id
+    held[cells.ids] = cells.count
+    slot = np.zeros(len(held), dtype=np.int64)
+    slot[cells.ids] = np.arange(len(cells.ids))
+
     def first_cells(x: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+        """Indexes of the cells met first: the vector's own where it holds enough rows, else the closest ones."""
+        if ward:
+            return closest_cells(x, w)
+        home = cells.locate(x)
+        chosen: list = [slot[h : h + 1] for h in home]
+        short = np.flatnonzero(held[home] < need)
+        if len(short):
+            for i, c in zip(short, closest_cells(x[short], w[short])):
+                chosen[i] = c
+        return chosen
+
+    def closest_cells(x: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
         order = np.argsort(scaled(cells.box_distance(x), w), axis=1, kind="stable")
         have = np.cumsum(cells.count[order], axis=1)
         stop = np.argmax(have >= need, axis=1)
@@ -170,23 +199,30 @@ def nearest(
 
     def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for part in _chunks(b, 512):
+            for part in _chunks(b, 128):
                 x, w = _matrix(part["v"]), part["w"].to_numpy(dtype=np.float64)
                 done = first_cells(x, w)
                 bound = part["bound"].to_numpy(dtype=np.float64)
-                box = scaled(cells.box_distance(x), w)
-                slack = 1e-8 + 1e-9 * np.abs(bound)
-                open_ = ~(box > (bound + slack)[:, None])
-                for i, c in enumerate(done):
-                    open_[i, c] = False
-                yield _repeat(part, [cells.ids[np.flatnonzero(o)] for o in open_])
-
+                limit = bound + 1e-8 + 1e-9 * np.abs(bound)
+                at = np.arange(len(cells.ids)) if ward else cells.within(x, limit.max())
+                box = cells.box_distance(x, at)
+                if ward:
+                    box = scaled(box, w)
+                open_ = ~(box > limit[:, None])
+                yield _repeat(part, [cells.ids[np.setdiff1d(at[o], d)] for o, d in zip(open_, done)])
+
+    if not ward:  # queries of one cell side by side, so that they are packed together
+        queries = keep(_with_cell(queries, cells, schema).repartitionByRange(
+            _parts(train.sparkSession, n), "cell", "id").sortWithinPartitions("cell").drop("cell"))
     close = keep(_best(_pairs(queries.mapInPandas(near, schema + ", cell bigint"), packed, blocks, rows, dim, k,
                               exclude_self, ward), k))
     bound = close.groupBy("qid").agg(F.max("d2").alias("bound"), F.count(F.lit(1)).alias("m"))
     bounded = queries.join(bound, queries["id"] == bound["qid"], "left").select(
         "id", "v", "w", F.when(F.col("m") >= k, F.col("bound")).otherwise(F.lit(float("inf"))).alias("bound")
     )
+    if not ward:  # neighbours side by side, so that a chunk of queries has a small box
+        bounded = _with_cell(bounded, cells, schema + ", bound double").repartitionByRange(
+            _parts(train.sparkSession, n), "cell", "id").sortWithinPartitions("cell").drop("cell")
     more = _pairs(bounded.mapInPandas(rest, schema + ", cell bigint"), packed, blocks, rows, dim, k, exclude_self, ward)
     return _best(close.unionByName(more), k).drop("tie")
 
@@ -283,14 +319,84 @@ def _block_best(r, dim: int, k: int, exclude_self: bool, ward: bool) -> pd.DataF
         a, b, tie = a[first][at], b[first][at], tie[first][at]
         return pd.DataFrame({"qid": qi[a], "tid": ti[b], "d2": d2[a, b], "tie": tie})
     take = min(k, d2.shape[1])
-    best = np.argsort(d2, axis=1, kind="stable")[:, :take]
-    rows = np.repeat(np.arange(len(qi)), take)
-    cols = best.reshape(-1)
-    ok = np.isfinite(d2[rows, cols])
-    rows, cols = rows[ok], cols[ok]
+    last = np.partition(d2, take - 1, axis=1)[:, take - 1]
+    rows, cols = np.nonzero((d2 <= last[:, None]) & np.isfinite(d2))
+    near = _first(rows, cols, d2[rows, cols], take)
+    rows, cols = rows[near], cols[near]
     return pd.DataFrame({"qid": qi[rows], "tid": ti[cols], "d2": d2[rows, cols], "tie": ti[cols]})
 
 
+def _first(rows: np.ndarray, cols: np.ndarray, d2: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` entries of each row with the smallest distance, then the smallest column."""
+    order = np.lexsort((cols, d2, rows))
+    ranked = rows[order]
+    return order[np.arange(len(ranked)) - np.searchsorted(ranked, ranked) < k]
+
+
+def _grid(queries: DataFrame, train: DataFrame, n: int, dim: int, k: int, exclude_self: bool) -> DataFrame:
+    """The k best of every (query, train group): all pairs, in tasks of one query group and one train group.
+
+    With g groups a side a vector travels g times. Groups are bounded in bytes; matrix products find the candidates, whose
+    distances are then summed as everywhere else.
+    """
+    spark = train.sparkSession
+    most = max(64, GROUP_BYTES // (8 * dim))
+
+    def groups(rows: int) -> int:
+        wide = int(np.ceil(np.sqrt(2 * _parts(spark, 1 << 30))))
+        return max(1, -(-rows // most), min(wide, rows // 256))
+
+    down, across = groups(queries.count()), groups(n)
+
+    def spread(df: DataFrame, mine: str, own: int, other: str, copies: int) -> DataFrame:
+        group = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(own)).cast("int").alias(mine)
+        return df.select("id", "v", group, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other))
+
+    def compare(key: tuple, q: pa.Table, t: pa.Table) -> pa.Table:
+        qi, ti = q["id"].to_numpy(), t["id"].to_numpy()
+        if not len(qi) or not len(ti):
+            return _found(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        order = np.argsort(ti, kind="stable")
+        ti, z = ti[order], _vectors(t["v"], dim)[order]
+        x_all, norm = _vectors(q["v"], dim), (z * z).sum(axis=1)
+        take, parts = min(k, len(ti)), []
+        for s in range(0, len(qi), 256):
+            x, ids = x_all[s : s + 256], qi[s : s + 256]
+            own = (x * x).sum(axis=1)[:, None]
+            about = own + norm[None, :] - 2.0 * (x @ z.T)
+            if exclude_self:
+                at = np.minimum(np.searchsorted(ti, ids), len(ti) - 1)
+                hit = np.flatnonzero(ti[at] == ids)
+                about[hit, at[hit]] = np.inf
+            about[np.isnan(about)] = -np.inf  # decided below
+            # beyond the rounding of the product and of the distance nothing else can be among the first
+            slack = 10.0 ** -DIGITS + 1e-12 * (own + norm.max())
+            last = np.partition(about, take - 1, axis=1)[:, take - 1 : take] + 2.0 * slack
+            rows, cols = np.nonzero((about <= last) & (about < np.inf))
+            d2 = np.zeros(len(rows))
+            for d in range(dim):
+                d2 += (x[rows, d] - z[cols, d]) ** 2
+            d2 = np.round(d2, DIGITS)
+            ok = np.isfinite(d2)
+            rows, cols, d2 = rows[ok], cols[ok], d2[ok]
+            near = _first(rows, cols, d2, k)
+            parts.append(_found(ids[rows[near]], ti[cols[near]], d2[near]))
+        return pa.concat_tables(parts)
+
+    left = spread(queries, "qg", down, "tg", across).groupBy("qg", "tg")
+    right = spread(train, "tg", across, "qg", down).select("id", "v", "qg", "tg").groupBy("qg", "tg")
+    return left.cogroup(right).applyInArrow(compare, "qid bigint, tid bigint, d2 double, tie bigint")
+
+
+def _vectors(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).reshape(-1, dim)
+
+
+def _found(qid: np.ndarray, tid: np.ndarray, d2: np.ndarray) -> pa.Table:
+    names = ("qid", "tid", "d2", "tie")
+    return pa.table(dict(zip(names, (pa.array(qid), pa.array(tid), pa.array(d2), pa.array(tid)))))
+
+
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Order-free 64-bit mix of two ids, used to break distance ties evenly."""
     lo, hi = np.minimum(a, b).astype(np.uint64), np.maximum(a, b).astype(np.uint64)
