@@ -7,9 +7,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+from chromaspark.functions.reuse import fits_rows
+
 FEW_PARTITIONS = 64
+LOCAL_ROWS = 50_000  # packed rows that one task fits by itself
 
 
 def is_wide(data: DataFrame) -> bool:
@@ -47,6 +51,25 @@ def row_sums(data: DataFrame, columns: list[str], part: Callable[[dict], np.ndar
     return np.sum([r["s"] for r in sums.collect()], axis=0)
 
 
+def solved(data: DataFrame, columns: list[str], solve: Callable[[Callable], object]):
+    """What ``solve(sums)`` returns, where ``sums(part)`` is the sum of ``part`` over all batches of ``data``.
+
+    Up to ``LOCAL_ROWS`` rows the whole fit runs in one task, as its steps are shorter than a job; several fits then
+    run beside each other. More rows stay where they are and each step is a job.
+    """
+    if not fits_rows(data, LOCAL_ROWS):
+        wide = is_wide(data)
+        return solve(lambda part: row_sums(data, columns, part, wide))
+
+    def here(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = [b for b in batches if len(b)]
+        if frames:
+            whole = {c: np.concatenate([b[c].to_numpy() for b in frames]) for c in columns}
+            yield pd.DataFrame({"r": [cloudpickle.dumps(solve(lambda part: part(whole)))]})
+
+    return cloudpickle.loads(data.select(*columns).coalesce(1).mapInPandas(here, "r binary").first()["r"])
+
+
 def lbfgs(
     value_and_grad: Callable[[np.ndarray], tuple[float, np.ndarray]],
     start: np.ndarray,

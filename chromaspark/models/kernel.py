@@ -10,11 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from chromaspark.functions.columns import zero_filled
+from chromaspark.functions.columns import features_as, zero_filled
 from chromaspark.functions.descent import is_wide, lbfgs, row_sums
 from chromaspark.functions.reuse import hot
 from chromaspark.models.base import Model, TrainingTable, stacked
 from chromaspark.operators.moments import Scaler, fit_scaler
+from chromaspark.schema import quoted
 
 N_FEATURES = 128
 MAX_STEPS = 1000  # of the optimiser, which ends earlier where the value settles
@@ -98,38 +99,61 @@ class SvrModel(Model):
         return {"map": self.fmap.state(), "coef": self.coef, "bias": self.bias}
 
 
+def _vector_blocks(rows: DataFrame, features: list[str], y: str) -> DataFrame:
+    """Blocks ``(x, n, y)`` of packed doubles: distinct feature vectors, their numbers of rows, and the targets one by one.
+
+    A vector's rows lie side by side in a few partitions (a hot vector is spread by its targets).
+    """
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = b[features].to_numpy(dtype=np.float64)
+                first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]).any(axis=1)]))
+                n = np.diff(np.append(first, len(x))).astype(np.float64)
+                target = b[y].to_numpy(dtype=np.float64)
+                yield pd.DataFrame({"x": [x[first].tobytes()], "n": [n.tobytes()], "y": [target.tobytes()]})
+
+    names = [quoted(f) for f in features]
+    spread = F.pmod(F.xxhash64(quoted(y)), F.lit(16))
+    base = rows.selectExpr(*features_as(features), quoted(y))
+    return base.repartition(*names, spread).sortWithinPartitions(*names).mapInPandas(pack, "x binary, n binary, y binary")
+
+
 def fit_svr(rows: DataFrame, features: list[str], params: dict, y: str = "y", n_features: int = N_FEATURES) -> SvrModel:
     """1/2 |w|^2 + C * sum max(0, |r| - epsilon), with the corner rounded so L-BFGS applies.
 
     Runs until the value settles; ``converged`` tells whether ``max_iter`` steps were enough.
     """
-    rows = hot(rows)
     scaler = fit_scaler(rows, features)
     fmap = fourier_map(scaler, n_features, gamma=params.get("gamma", "scale"))
     c, eps = float(params.get("C", 1.0)), float(params.get("epsilon", EPSILON))
     head = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("m")).first()
-    n, columns, wide = head["n"], [*features, y], is_wide(rows)
+    n, blocks = head["n"], hot(_vector_blocks(rows, features, y))
+    wide = is_wide(blocks)
 
     def value_and_grad(w: np.ndarray) -> tuple[float, np.ndarray]:
         coef, bias = w[:-1], w[-1]
 
         def part(b: dict) -> np.ndarray:
-            h = fmap.numpy(np.column_stack([b[f] for f in features]).astype(np.float64))
-            r = h @ coef + bias - b[y]
+            x, times, target = (np.frombuffer(b"".join(b[c])) for c in ("x", "n", "y"))
+            h, times = fmap.numpy(x.reshape(-1, len(features))), times.astype(np.int64)
+            r = np.repeat(h @ coef + bias, times) - target
             over = np.abs(r) - eps
             t = np.clip((over + SMOOTH) / (2 * SMOOTH), 0.0, 1.0)
             loss = np.where(over >= SMOOTH, over, np.where(over <= -SMOOTH, 0.0, (over + SMOOTH) ** 2 / (4 * SMOOTH)))
             slope = t * np.sign(r)
+            slope = np.add.reduceat(slope, np.cumsum(times) - times)
             return np.concatenate([[loss.sum()], h.T @ slope, [slope.sum()]])
 
-        s = row_sums(rows, columns, part, wide)
+        s = row_sums(blocks, ["x", "n", "y"], part, wide)
         value = (0.5 * coef @ coef + c * s[0]) / n
         grad = np.concatenate([(coef + c * s[1:-1]) / n, [c * s[-1] / n]])
         return float(value), grad
 
     start = np.concatenate([np.zeros(n_features), [head["m"] or 0.0]])
     w, history, converged = lbfgs(value_and_grad, start, rounds=int(params.get("max_iter", MAX_STEPS)), tol=1e-3)
-    rows.unpersist()
+    blocks.unpersist()
     return SvrModel("SVR", "regression", list(features), dict(params), 0, fmap, w[:-1].tolist(), float(w[-1]), history, converged)
 
 

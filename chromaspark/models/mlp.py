@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from chromaspark.functions.columns import zero_filled
-from chromaspark.functions.descent import is_wide, lbfgs, row_sums
+from chromaspark.functions.descent import lbfgs, solved
 from chromaspark.functions.reuse import hot
 from chromaspark.models.base import Model, stacked
 from chromaspark.operators.moments import Scaler, fit_scaler
@@ -137,25 +137,8 @@ def fit_mlp(
     early = n_held > 0 and n > 0
     if not early:
         data, n = data.withColumn("held", F.lit(0.0)), n + n_held
-    xs, wide = [f"x{i}" for i in range(d)], is_wide(data)
+    xs = [f"x{i}" for i in range(d)]
     size = sum(int(np.prod(s)) for s in _shapes(d, hidden, out))
-    seen: dict[bytes, float] = {}
-
-    def value_and_grad(w: np.ndarray) -> tuple[float, np.ndarray]:
-        def part(b: dict) -> np.ndarray:
-            x = np.column_stack([b[c] for c in xs]).astype(np.float64)
-            train = loss_and_gradient(x, b["y"], b["w"] - b["held"], w, d, hidden, out, classify)
-            use = b["held"] > 0
-            valid = loss_and_gradient(x[use], b["y"][use], b["held"][use], w, d, hidden, out, classify)[0] if early and use.any() else 0.0
-            return np.append(train, valid)
-
-        s = row_sums(data, [*xs, "y", "w", "held"], part, wide)
-        seen[w.tobytes()] = s[-1] / max(n_held, 1.0)
-        parts = unpack(w, d, hidden, out)
-        penalty = 0.5 * alpha * sum(np.sum(m * m) for m in parts[::2]) / n
-        shrink = np.concatenate([p.ravel() if i % 2 == 0 else np.zeros(p.size) for i, p in enumerate(parts)]) * alpha / n
-        return float(s[0] / n + penalty), s[1:-1] / n + shrink
-
     rng = np.random.default_rng(seed)
     sizes, begin = (d, *hidden, out), []
     for a, b in zip(sizes, sizes[1:]):
@@ -163,20 +146,41 @@ def fit_mlp(
         begin += [rng.uniform(-bound, bound, a * b), rng.uniform(-bound, bound, b)]
     begin[-1] = np.zeros(out) if classify else np.full(out, sums["m"] or 0.0)
     start = np.concatenate(begin)
-    best = {"loss": np.inf, "w": start, "since": 0}
-
-    def watch(w: np.ndarray, value: float) -> bool:
-        loss = seen[w.tobytes()] if early else value
-        seen.clear()
-        if loss < best["loss"] - tol:
-            best.update(loss=loss, w=w.copy(), since=0)
-        else:
-            best["since"] += 1
-            if loss < best["loss"]:
-                best.update(loss=loss, w=w.copy())
-        return best["since"] >= 10
-
-    w, history, _ = lbfgs(value_and_grad, start, rounds=rounds, tol=tol * 1e-2, watch=watch)
+
+    def solve(sums):
+        seen: dict[bytes, float] = {}
+
+        def value_and_grad(w: np.ndarray) -> tuple[float, np.ndarray]:
+            def part(b: dict) -> np.ndarray:
+                x = np.column_stack([b[c] for c in xs]).astype(np.float64)
+                train = loss_and_gradient(x, b["y"], b["w"] - b["held"], w, d, hidden, out, classify)
+                use = b["held"] > 0
+                valid = loss_and_gradient(x[use], b["y"][use], b["held"][use], w, d, hidden, out, classify)[0] if early and use.any() else 0.0
+                return np.append(train, valid)
+
+            s = sums(part)
+            seen[w.tobytes()] = s[-1] / max(n_held, 1.0)
+            parts = unpack(w, d, hidden, out)
+            penalty = 0.5 * alpha * sum(np.sum(m * m) for m in parts[::2]) / n
+            shrink = np.concatenate([p.ravel() if i % 2 == 0 else np.zeros(p.size) for i, p in enumerate(parts)]) * alpha / n
+            return float(s[0] / n + penalty), s[1:-1] / n + shrink
+
+        best = {"loss": np.inf, "w": start, "since": 0}
+
+        def watch(w: np.ndarray, value: float) -> bool:
+            loss = seen[w.tobytes()] if early else value
+            seen.clear()
+            if loss < best["loss"] - tol:
+                best.update(loss=loss, w=w.copy(), since=0)
+            else:
+                best["since"] += 1
+                if loss < best["loss"]:
+                    best.update(loss=loss, w=w.copy())
+            return best["since"] >= 10
+
+        w, history, _ = lbfgs(value_and_grad, start, rounds=rounds, tol=tol * 1e-2, watch=watch)
+        return (best["w"] if early and np.isfinite(best["loss"]) else w), history
+
+    chosen, history = solved(data, [*xs, "y", "w", "held"], solve)
     data.unpersist()
-    chosen = best["w"] if early and np.isfinite(best["loss"]) else w
     return MlpModel(name, task, list(features), dict(params), n_labels, scaler, hidden, chosen.tolist(), history)

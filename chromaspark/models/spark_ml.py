@@ -10,7 +10,7 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chromaspark.functions.descent import is_wide, lbfgs, row_sums
+from chromaspark.functions.descent import lbfgs, solved
 from chromaspark.models.base import Model, TrainingTable, padded
 from chromaspark.models.kernel import MAX_STEPS, FourierMap, fourier_map, margins
 from chromaspark.operators.moments import Scaler, fit_scaler
@@ -90,26 +90,31 @@ def fit_svc(table: TrainingTable, params: dict) -> SvcModel:
     fmap = fourier_map(scaler, gamma=params.get("gamma", "scale"))
     m, c = len(fmap.phase), float(params.get("C", 1.0))
     n = float(packed.agg(F.sum("w")).first()[0])
-    wide = is_wide(packed)
-
-    def value_and_grad(flat: np.ndarray) -> tuple[float, np.ndarray]:
-        w = flat.reshape(m + 1, k)
-
-        def part(b: dict) -> np.ndarray:
-            h = fmap.numpy(np.column_stack([b[f] for f in features]).astype(np.float64))
-            h = np.hstack([h, np.ones((len(h), 1))])
-            sign = np.where(b["y"].astype(np.int64)[:, None] == np.arange(k)[None, :], 1.0, -1.0)
-            short = 1.0 - sign * (h @ w)
-            loss = np.where(short >= CORNER, short - CORNER / 2, np.where(short > 0, short * short / (2 * CORNER), 0.0))
-            slope = -sign * np.clip(short / CORNER, 0.0, 1.0) * b["w"][:, None]
-            return np.concatenate([[float((loss * b["w"][:, None]).sum())], (h.T @ slope).ravel()])
-
-        s = row_sums(packed, [*features, "y", "w"], part, wide)
-        free = np.vstack([w[:-1], np.zeros((1, k))])
-        value = (0.5 * np.sum(free * free) + c * s[0]) / n
-        return float(value), (free.ravel() + c * s[1:]) / n
-
-    w, history, converged = lbfgs(value_and_grad, np.zeros((m + 1) * k), rounds=int(params.get("max_iter", MAX_STEPS)), tol=1e-3)
+    rounds = int(params.get("max_iter", MAX_STEPS))
+
+    def solve(sums):
+        def value_and_grad(flat: np.ndarray) -> tuple[float, np.ndarray]:
+            w = flat.reshape(m + 1, k)
+
+            def part(b: dict) -> np.ndarray:
+                if "_h" not in b:  # the same for all steps, where the rows stay
+                    h = fmap.numpy(np.column_stack([b[f] for f in features]).astype(np.float64))
+                    b["_h"] = np.hstack([h, np.ones((len(h), 1))])
+                h = b["_h"]
+                sign = np.where(b["y"].astype(np.int64)[:, None] == np.arange(k)[None, :], 1.0, -1.0)
+                short = 1.0 - sign * (h @ w)
+                loss = np.where(short >= CORNER, short - CORNER / 2, np.where(short > 0, short * short / (2 * CORNER), 0.0))
+                slope = -sign * np.clip(short / CORNER, 0.0, 1.0) * b["w"][:, None]
+                return np.concatenate([[float((loss * b["w"][:, None]).sum())], (h.T @ slope).ravel()])
+
+            s = sums(part)
+            free = np.vstack([w[:-1], np.zeros((1, k))])
+            value = (0.5 * np.sum(free * free) + c * s[0]) / n
+            return float(value), (free.ravel() + c * s[1:]) / n
+
+        return lbfgs(value_and_grad, np.zeros((m + 1) * k), rounds=rounds, tol=1e-3)
+
+    w, history, converged = solved(packed, [*features, "y", "w"], solve)
     w = w.reshape(m + 1, k)
     coef, bias = w[:-1].T, w[-1]
     scored = packed.select(
