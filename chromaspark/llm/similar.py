@@ -1,8 +1,9 @@
-"""Near-duplicates by the similarity of their word shingles: MinHash bands find candidates, whole sets of shingles decide.
+"""Near-duplicates by the similarity of their word shingles: SimHash balls and MinHash bands find candidates, whole sets of shingles decide.
 
 Two texts are linked if the Jaccard similarity of their sets of ``k``-word shingles is at least ``share``.
-Texts with equal sets are taken together first. A text's sketch of ``BANDS`` x ``ROWS`` minima is cut into
-bands, and texts with an equal band meet. In each such bucket all are compared with the most central one; only
+Texts with equal sets are taken together first. Texts meet if meet-in-the-middle ball hashing (:mod:`simhash`, with its
+own shingles and radius) ties their fingerprints. That finds copies that are all but equal; for texts with more
+edits, a sketch of ``BANDS`` x ``ROWS`` minima is cut into bands, and texts with an equal band meet, too. In each such bucket all are compared with the most central one; only
 those that stay apart from it are then compared with all that met it, block by block, so a large group of copies costs as
 many comparisons as it has rows. A band is eight minima, which texts far from similar hardly ever share, so few stay
 apart; pairs whose sets differ too much in size are never compared.
@@ -17,10 +18,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from chromaspark.llm.common import keep, outlive, placed, scratch
+from chromaspark.llm.common import BATCH_BYTES, keep, outlive, placed, scratch
 from chromaspark.llm.components import components
 from chromaspark.llm.decontaminate import _BASE, _mix, _power_tables
-from chromaspark.llm.simhash import _LOWER, _PIECE, _SPACE
+from chromaspark.llm.simhash import _LOWER, _PIECE, _SPACE, fingerprint, linked_pairs
 
 WORDS = 5
 SHARE = 0.8
@@ -100,30 +101,46 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _marked(docs: DataFrame, text: str, k: int) -> DataFrame:
-    """``(place, key, content, n, bands)`` of ``(row, key, place)``: ``content`` is shared by equal sets of ``n`` shingles only."""
+    """``(place, key, content, n, fp, bands)`` of ``(row, key, place)``: ``content`` is shared by equal sets of ``n`` shingles only."""
 
-    @F.arrow_udf("struct<content: binary, n: int, bands: array<bigint>>")
+    @F.arrow_udf("struct<content: binary, n: int, fp: bigint, bands: array<bigint>>")
     def mark(texts: pa.Array) -> pa.Array:
-        contents, sizes, keys = [], [], []
-        for t in texts:
-            found = shingles(t.as_py(), k)
+        contents, sizes, prints, keys = [], [], np.zeros(len(texts), np.uint64), []
+        for i, t in enumerate(texts):
+            t = t.as_py()
+            found = shingles(t, k)
             contents.append(xxhash.xxh3_128_digest(found.tobytes()))
             sizes.append(len(found))
+            prints[i] = fingerprint(t)
             keys.append(bands(found).view(np.int64))
         return pa.StructArray.from_arrays(
-            [pa.array(contents, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["content", "n", "bands"]
+            [pa.array(contents, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
+            ["content", "n", "fp", "bands"],
         )
 
     return docs.select("place", "key", mark(F.col("row")[text]).alias("mark")).select("place", "key", "mark.*")
 
 
+def _tied(prints: DataFrame) -> DataFrame:
+    """``(place, n, band)`` of the distinct ``(place, n, fp)``: texts share a bucket with the lowest fingerprint that theirs is tied to."""
+    stars = keep(linked_pairs(keep(prints.select("fp").distinct(), "distinct")), "stars")
+    to = prints.join(stars.select(F.col("a").alias("to"), F.col("b").alias("fp")), "fp").select("place", "n", "to")
+    every = prints.select("place", "n", F.col("fp").alias("to")).union(to)
+    return every.select("place", "n", F.xxhash64("to", F.lit("ball")).alias("band")).distinct()
+
+
 def _sets(texts: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """``(place, found)``: the shingles of the texts whose place is in the kept table ``asked``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingles(t.as_py(), k).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["place", "found"])
+            found, size, since = [], 0, 0
+            for i, t in enumerate(b.column(1), 1):
+                found.append(shingles(t.as_py(), k).view(np.int64))
+                size += found[-1].nbytes
+                if size >= BATCH_BYTES or i == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(since, i - since), pa.array(found, pa.list_(pa.int64()))], ["place", "found"])
+                    found, size, since = [], 0, i
 
     few = asked.count() <= BROADCAST_ROWS  # 8 bytes each: the texts need not move
     return texts.join(F.broadcast(asked) if few else asked, "place", "left_semi").mapInArrow(cut, "place bigint, found array<bigint>")
@@ -219,9 +236,13 @@ def _extra(whole: DataFrame, texts: DataFrame, text: str, k: int, share: float)
     # the id is a pair: rows without a key come last, rows with equal keys are told apart by place
     order = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col("place").alias("place"))
     first = keep(marked.select("content", order.alias("id")).groupBy("content").agg(F.min("id").alias("id")), "contents")
+    # equal sets may have several fingerprints, as those count repeats
+    prints = marked.select("content", "n", "fp").distinct().join(first.select("content", F.col("id.place").alias("place")), "content")
+    balls = keep(_tied(keep(prints.select("place", "n", "fp"), "prints")), "balls")
     first = first.select("id", F.col("id.place").alias("place"))
 
     met = marked.join(first.select("place"), "place", "left_semi").select("place", "n", F.explode("bands").alias("band"))
+    met = met.union(balls)
     size = met.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = keep(met.join(size, "band"), "met")  # buckets of two and more
     # the text in the most and largest buckets is the likeliest origin of the others, and so all of a bucket meet that one

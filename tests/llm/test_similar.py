@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from chromaspark.llm import similar
+from chromaspark.llm import similar, simhash
 
 from test_llm import prose
 
@@ -115,3 +115,14 @@ def test_small_blocks_find_the_same(spark, monkeypatch):
     for shingles in (similar.BLOCK_SHINGLES, 100):
         monkeypatch.setattr(similar, "BLOCK_SHINGLES", shingles)
         assert sorted(r["doc_id"] for r in similar.keep_first(df).collect()) == want
+
+
+def test_fingerprints_alone_link_small_edits(spark, monkeypatch):
+    rng = random.Random(9)
+    base = " ".join(f"e{rng.randint(0, 9999)}" for _ in range(2000))
+    near, far = edited(base, 1, 1), edited(base, 400, 2)
+    assert (simhash.fingerprint(base) ^ simhash.fingerprint(near)).bit_count() <= 4
+    # one word twice as often: the same set of five-word shingles, another fingerprint
+    df = spark.createDataFrame([(1, base), (2, near), (3, far), (4, "w " * 9), (5, "w " * 12), (6, None)], "doc_id bigint, text string")
+    monkeypatch.setattr(similar, "bands", lambda found: found[:0])
+    assert sorted(r["doc_id"] for r in similar.keep_first(df).collect()) == [1, 3, 4, 6]
