@@ -24,7 +24,7 @@ FIT_ROWS = 20_000  # sampled rows for each language, about; more change little
 BLOCK = 256  # languages scored in one pass
 MAX_BROADCAST_LABELS = 1_000_000
 OPEN_LABELS = 400  # 0.2 GB of counts
-PIECE = 1 << 20  # characters that are hashed at once
+PIECE = 1 << 18  # characters that are hashed at once: about 50 MB of arrays
 
 _letters: np.ndarray | None = None
 
