@@ -15,7 +15,8 @@ if sys.byteorder != "little":
     raise ImportError("ids are written as the machine holds them, which must be little-endian")
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-MARKS = ".,;:!?%$#&*|"  # after a word, a run of these is one pre-token
+MARKS = ".,;:!?%$#&*|"  # after a word or number, a run of these is one pre-token
+LONGEST_KEPT = 64
 
 
 def byte_letters() -> list[str]:
@@ -52,6 +53,22 @@ class Recent(dict):
         self[key] = value
 
 
+class Worked(Recent):
+    """A :class:`Recent` that works out what it does not hold; long keys are not kept."""
+
+    def __init__(self, room: int, work):
+        super().__init__(room)
+        self.work = work
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.work(key)
+        if len(key) <= LONGEST_KEPT:
+            self.put(key, got)
+        return got
+
+
 class WholeTextEncoder:
     """Ids of a text as little-endian integers, equal to the library's encoding of the text as a whole.
 
@@ -68,56 +85,53 @@ class WholeTextEncoder:
         self.tokenizer.no_padding()
         self.tokenize = self.tokenizer.model.tokenize
         self.code = {2: "H", 4: "I"}[bytes_per_id]
-        self.pieces, self.words, self.marks = Recent(room), Recent(room), {}
+        self.pieces, self.lines, self.marks = Worked(room, self._piece), Worked(room // 8, self._line), {}
+        self.line_break = self.ids("\n")
 
     def ids(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        got = self.words.old.get(word)
+    def _mark(self, mark: str) -> bytes:
+        got = self.marks.get(mark)
         if got is None:
-            # a word with its space is one pre-token; the model takes it in byte-level letters
-            letters = "\u0120" + word if word.isascii() else (" " + word).encode().decode("latin-1").translate(BYTE_LETTERS)
-            got = array(self.code, [t.id for t in self.tokenize(letters)]).tobytes()
-        self.words.put(word, got)
+            if len(self.marks) > 1000:
+                self.marks.clear()
+            got = self.marks[mark] = self.ids(mark)
         return got
 
+    def _word(self, word: str) -> bytes:
+        """Ids of one pre-token; the model takes it in byte-level letters."""
+        letters = word.replace(" ", "\u0120") if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array(self.code, [t.id for t in self.tokenize(letters)]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
         """Ids of a piece with its space; empty if the spaces beside the piece are no safe cuts."""
-        got = self.pieces.old.get(piece)
-        if got is None:
-            word = piece.rstrip(MARKS)
-            if word.isalpha():
-                got = self.words.get(word) or self._word(word)
-                if len(word) < len(piece):
-                    mark = piece[len(word):]
-                    if mark not in self.marks:
-                        if len(self.marks) > 1000:
-                            self.marks.clear()
-                        self.marks[mark] = self.ids(mark)
-                    got += self.marks[mark]
-            elif not piece or piece[0].isspace() or piece[-1].isspace():
-                got = b""
-            else:
-                got = self.ids(" " + piece)
-        if len(piece) <= 64:
-            self.pieces.put(piece, got)
-        return got
+        word = piece.rstrip(MARKS)
+        if word.isalpha() or word.isascii() and word.isdigit():
+            # a word or number with its space is one pre-token
+            return self.pieces[word] + self._mark(piece[len(word):]) if len(word) < len(piece) else self._word(" " + word)
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            return b""
+        head, _, tail = piece.partition("\n")
+        if tail and not head[-1].isspace() and not tail[0].isspace():
+            # a single line break between two visible characters is a pre-token of its own
+            return self.pieces[head] + self.line_break + self.lines[tail]
+        return self.ids(" " + piece)
+
+    def _line(self, piece: str) -> bytes:
+        """Ids of a piece that follows a line break."""
+        word = piece.rstrip(MARKS)
+        if not word.isalpha():
+            return self.ids(piece)
+        return self.lines[word] + self._mark(piece[len(word):]) if len(word) < len(piece) else self._word(word)
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         first, *rest = text.split(" ")
         if first and not first[-1].isspace():
-            get, look_up, out = self.pieces.get, self._piece, [self.ids(first)]
-            for p in rest:
-                got = get(p)
-                if got is None:
-                    got = look_up(p)
-                if not got:
-                    break
-                out.append(got)
-            else:
-                return b"".join(out)
+            got = list(map(self.pieces.__getitem__, rest))
+            if b"" not in got:
+                return self.ids(first) + b"".join(got)
         first, *rest = _SAFE.split(text)
-        return self.ids(first) + b"".join([self.pieces.get(p) or self._piece(p) or self.ids(" " + p) for p in rest])
+        return self.ids(first) + b"".join([self.pieces[p] or self.ids(" " + p) for p in rest])
