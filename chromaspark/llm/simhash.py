@@ -31,7 +31,7 @@ BITS = 64
 BLOCK = 1 << 14  # fingerprints that a task deals to the buckets at a time
 LEAST_BLOCKS, MOST_BLOCKS = 7, 32  # with 32 blocks, 8e12 fingerprints are a million a bucket
 BUCKET_HELD = 1_000_000  # fingerprints that one bucket receives
-PASS_VARIANTS = 4_000_000  # variants that one pass over a bucket holds in memory
+PASS_VARIANTS = 1_000_000  # variants that one pass over a bucket holds in memory
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
