@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from chromaspark.llm.common import keep, outlive, placed, scratch
+from chromaspark.llm.common import keep, outlive, placed, scratch, text_batches
 
 # Masks over windows of words: 1 is compared, 0 ignored. One of them fits every stretch of 12 words with two others, of 15 with
 # three and of 20 with four (tests/llm/test_leaks.py counts them all); every longer stretch within the share holds one of these.
@@ -318,7 +318,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 def keep_clean_rows(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that have no leak themselves, whatever their keys are; columns as given."""
     whole = placed(docs)
-    with scratch():
+    with scratch(), text_batches(docs.sparkSession):
         found = leaks(whole.select("place", F.col("row")[text].alias("text")), benchmark, "place")
         bad = outlive(keep(found.select("place").distinct(), "leaking"))
     return whole.join(bad, "place", "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from chromaspark.llm.common import BATCH_BYTES, keep, outlive, placed, scratch
+from chromaspark.llm.common import BATCH_BYTES, keep, outlive, placed, scratch, text_batches
 from chromaspark.llm.components import components
 from chromaspark.llm.decontaminate import _BASE, _mix, _power_tables
 from chromaspark.llm.simhash import _LOWER, _PIECE, _SPACE, fingerprint, linked_pairs
@@ -30,6 +30,7 @@ BANDS, ROWS = 72, 8
 
 BROADCAST_ROWS = 2_000_000
 BLOCK_SHINGLES, BLOCK_SETS = 1 << 18, 512  # of one block, about
+BLOCK_ROWS = 8  # pairs of blocks that a task holds at a time
 _COLUMNS = 4096
 
 _STEP = 256  # shingles that meet all hash functions at a time
@@ -146,6 +147,11 @@ def _sets(texts: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     return texts.join(F.broadcast(asked) if few else asked, "place", "left_semi").mapInArrow(cut, "place bigint, found array<bigint>")
 
 
+def _kept_sets(texts: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    with text_batches(texts.sparkSession):
+        return keep(_sets(texts, asked, k), "sets")
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, share: float) -> DataFrame:
     """Those of the distinct ``pairs`` (kept table of places ``a`` < ``b``) whose texts are similar enough."""
 
@@ -156,10 +162,11 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, share: float) -> DataFra
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(yes)
 
     asked = keep(pairs.select(F.col("a").alias("place")).union(pairs.select("b")).distinct(), "asked")
-    sets = keep(_sets(texts, asked, k), "sets")
+    sets = _kept_sets(texts, asked, k)
     first = pairs.join(sets.select(F.col("place").alias("a"), F.col("found").alias("x")), "a")
     both = first.join(sets.select(F.col("place").alias("b"), F.col("found").alias("y")), "b")
-    return keep(both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"), "links")
+    with text_batches(texts.sparkSession):  # two sets a row
+        return keep(both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"), "links")
 
 
 def _blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -196,7 +203,7 @@ def _linked_apart(tied: DataFrame, texts: DataFrame, k: int, share: float) -> Da
     apart = tied.where("root <> low_root")
     rows = keep(tied.join(apart.select("low").distinct(), "low", "left_semi"), "crowded")
     asked = keep(rows.select("place").distinct(), "asked")
-    sets = keep(_sets(texts, asked, k), "sets")
+    sets = _kept_sets(texts, asked, k)
     ask, given = (_blocks(r.select("low", "place", "n", "root"), sets) for r in (rows.where("root <> low_root"), rows))
     both = ask.join(given.select("low", *[F.col(c).alias(f"other_{c}") for c in given.columns[1:]]), "low")
 
@@ -214,7 +221,8 @@ def _linked_apart(tied: DataFrame, texts: DataFrame, k: int, share: float) -> Da
                 _, first = np.unique(np.stack((i, o_root[j])), axis=1, return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array(place[i[first]]), pa.array(o_place[j[first]])], ["a", "b"])
 
-    return keep(both.drop("low").mapInArrow(check, "a bigint, b bigint"), "links")
+    with text_batches(texts.sparkSession, BLOCK_ROWS):
+        return keep(both.drop("low").mapInArrow(check, "a bigint, b bigint"), "links")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, share: float = SHARE) -> DataFrame:
@@ -232,7 +240,8 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
 
 def _extra(whole: DataFrame, texts: DataFrame, text: str, k: int, share: float) -> DataFrame:
     """Places of the rows of ``(row, key, place)`` that do not stay."""
-    marked = keep(_marked(whole, text, k), "marked")
+    with text_batches(whole.sparkSession):
+        marked = keep(_marked(whole, text, k), "marked")
     # the id is a pair: rows without a key come last, rows with equal keys are told apart by place
     order = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col("place").alias("place"))
     first = keep(marked.select("content", order.alias("id")).groupBy("content").agg(F.min("id").alias("id")), "contents")

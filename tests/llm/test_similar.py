@@ -126,3 +126,26 @@ def test_fingerprints_alone_link_small_edits(spark, monkeypatch):
     df = spark.createDataFrame([(1, base), (2, near), (3, far), (4, "w " * 9), (5, "w " * 12), (6, None)], "doc_id bigint, text string")
     monkeypatch.setattr(similar, "bands", lambda found: found[:0])
     assert sorted(r["doc_id"] for r in similar.keep_first(df).collect()) == [1, 3, 4, 6]
+
+
+def test_whole_texts_travel_in_small_batches(spark, monkeypatch):
+    """Near-duplicates must not hold 10,000 texts a task at a time, and the session's setting is as before."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, write = spark.conf.get(name), {}, similar.keep
+    monkeypatch.setattr(similar, "keep", lambda df, what="table": seen.setdefault(what, int(spark.conf.get(name))) and write(df, what))
+    df = spark.createDataFrame([(i, f"one two three four five six {i // 2}") for i in range(40)], "doc_id bigint, text string")
+    assert similar.keep_first(df).count() == 20
+    assert max(seen["marked"], seen["sets"]) <= 1000 and spark.conf.get(name) == before
+
+
+def test_pipeline_stages_send_few_texts_at_a_time(spark):
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        docs = spark.createDataFrame([(1, "one two three")], "doc_id bigint, text string")
+        corpus_pipeline.token_ids(spark, docs, "")
+        assert int(spark.conf.get(name)) <= 1000
+    finally:
+        spark.conf.set(name, before)
