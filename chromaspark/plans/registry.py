@@ -24,6 +24,8 @@ from chromaspark.schema import DESCRIPTORS, QUALITY, QUALITY_CODE, RETENTION, RU
 from chromaspark.sources import report as rep, session as ses, tables
 from chromaspark.streaming import score as stream
 
+FILE_RUNS = 1_000_000  # of one file of arriving runs, at most
+
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
 _memo: dict = {}
@@ -852,8 +854,10 @@ def stream_knn(spark, sf):
     """All runs arrive as a stream in several batches and are scored by the neighbour model."""
     folder = scratch(spark, "stream")
     runs = raw_runs(spark, sf)
-    runs.repartition(4).write.parquet(f"{folder}/in")
-    arriving = stream.stream_runs(spark, f"{folder}/in", runs.schema, files_per_batch=2)
+    lines = given.read_table(spark, sf, "lineitem").count()  # from the footers
+    half = 2 * max(1, -(-lines // (4 * FILE_RUNS)))
+    runs.repartition(2 * half).write.parquet(f"{folder}/in")
+    arriving = stream.stream_runs(spark, f"{folder}/in", runs.schema, files_per_batch=half)
     stream.run_batches(arriving, descriptor_lookup(spark), _reg_knn(spark, sf), [RUN_ID, "prediction"], f"{folder}/out", f"{folder}/state")
     return tidy(spark.read.parquet(f"{folder}/out").drop("batch"))
 
