@@ -8,8 +8,9 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from chromaspark.functions.columns import features_as
+from chromaspark.functions.columns import col, features_as
 from chromaspark.functions.reuse import hot, keep
+from chromaspark.operators.lookup import lookup_join
 from chromaspark.schema import RUN_ID, quoted
 
 
@@ -50,6 +51,28 @@ class Model:
         return {"kind": self.kind, **head, "state": self.state()}
 
 
+def distinct_features(df: DataFrame, features: list[str]) -> DataFrame:
+    """The distinct zero-filled feature vectors of ``df``."""
+    return df.selectExpr(*features_as(features)).distinct()
+
+
+def predict_distinct(model: Model, df: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """What ``model.predict(df)`` returns for a table of runs, with each distinct feature vector scored once.
+
+    ``vectors`` are the :func:`distinct_features` of ``df``, if they are at hand. Neighbour models take distinct vectors
+    by themselves and linear ones are a sum of columns, so those score the rows.
+    """
+    if model.kind in ("knn", "linear"):
+        return model.predict(df)
+    asked = vectors if vectors is not None else distinct_features(df, model.features)
+    alias = {f: f"_f{i}" for i, f in enumerate(model.features)}
+    said = keep(model.predict(asked).withColumnsRenamed(alias))
+    rows = df.selectExpr("*", *features_as(model.features, list(alias.values())))
+    return lookup_join(rows, said, list(alias.values()), "left", spread=F.xxhash64(col(RUN_ID))).select(
+        *[col(c) for c in df.columns], *[c for c in said.columns if c not in alias.values()]
+    )
+
+
 def padded(probability: Column, n_labels: int) -> Column:
     """Probability array with an entry for every class, also for classes the fit never saw."""
     return F.transform(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from chromaspark.functions.columns import col, hash32
 from chromaspark.functions.reuse import keep
 from chromaspark.models import catalog as cat, knn, linear, trees
-from chromaspark.models.base import Model, TrainingTable, packed_score, training_table
+from chromaspark.models.base import Model, TrainingTable, distinct_features, packed_score, predict_distinct, training_table
 from chromaspark.operators.clean import Dataset, class_counts, known_target
 from chromaspark.operators.evaluate import accuracy, class_report, rank_models, regression_metrics
 from chromaspark.operators.split import exact_split, fold_count, hash_folds, stratified_folds
@@ -130,12 +130,13 @@ def _train(
     table = training_table(train, result.features, result.target, result.task, len(result.labels), folds)
     test = keep(result.test)
     result.test = test
+    vectors = keep(distinct_features(test, result.features))  # shared by the models
 
     def one(name: str) -> tuple[Model, Search, dict]:
         grid = grids.get((result.task, name)) or cat.DEFAULT_GRIDS[(result.task, name)]
         search = grid_search(name, table, cat.expand(grid), parallelism)
         model = cat.fit(name, table, search.grid[search.best])
-        scored = model.predict(test)
+        scored = predict_distinct(model, test, vectors)
         head = {"task": result.task, "model": name, "catalog_pos": order.index(name), "params": str(model.params)}
         if result.task == "regression":
             m = regression_metrics(scored, result.target).first()
@@ -178,7 +179,7 @@ def train_regression(
     if RETENTION not in ds.df.columns or known_target(ds.df).isEmpty():
         result.skipped = f"no known {RETENTION}"
         return result
-    split = keep(split_regression(ds, seed))
+    split = split_regression(ds, seed)
     result.test = split.where("is_test")
     train = hash_folds(split.where("NOT is_test"))
     return _train(result, train, models or DEFAULT_REGRESSION, grids or {}, 3, parallelism)
@@ -196,7 +197,7 @@ def train_classification(
     if low is None or low < 2:
         result.skipped = "a class has fewer than two rows"
         return result
-    split = keep(split_classification(ds, seed))
+    split = split_classification(ds, seed)
     result.test = split.where("is_test")
     smallest = class_counts(split.where("NOT is_test")).agg(F.min("n")).first()[0]
     folds = fold_count(smallest)

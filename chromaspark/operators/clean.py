@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from chromaspark.functions.columns import clean_double, col, cut_text, features_as, run_label, to_number
-from chromaspark.functions.reuse import collect_bounded
+from chromaspark.functions.reuse import collect_bounded, keep
 from chromaspark.schema import (
     NO_DATA, PH, QUALITY, QUALITY_CODE, RETENTION, RUN_ID, feature_columns, quoted, solvent_columns,
 )
@@ -81,8 +81,11 @@ def clean_numbers(df: DataFrame) -> DataFrame:
 
 
 def load_dataset(df: DataFrame, chromatogram: DataFrame | None = None) -> Dataset:
-    """Clean a run table that already carries descriptors and code its labels."""
-    ready = fill_labels(coerce_ph(clean_numbers(df)))
+    """Clean a run table that already carries descriptors and code its labels.
+
+    The cleaned rows are kept, so ``df`` is made once; the code is a projection of the label beside it.
+    """
+    ready = keep(fill_labels(coerce_ph(clean_numbers(df))))
     labels: list[str] = []
     if QUALITY in ready.columns:
         labels = label_list(ready)

@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from chromaspark.functions.columns import col, hash32
-from chromaspark.functions.reuse import collect_bounded
+from chromaspark.functions.reuse import collect_bounded, keep
 from chromaspark.schema import RUN_ID
 
 SEED = 42
 FOLD_SEED = 43
-_ALL = "_all"
+_ALL, _HASH = "_all", "_split_hash"
 _LEVELS = (20, 10, 0)  # hash bits left over after each narrowing step
 SMALL_GROUP = 100_000
 
@@ -39,14 +39,13 @@ def class_quotas(counts: dict, test_size: float) -> dict:
     return quota
 
 
-def _cutoffs(df: DataFrame, strata: str, key: str, seed: int, quota: dict) -> dict:
-    """For each class the (hash, key) of its last test row.
+def _cutoffs(rows: DataFrame, quota: dict) -> dict:
+    """For each class the (hash, key) of its last test row, from ``(c, k, h)`` of a kept table.
 
     Radix selection: count rows per hash prefix, keep only the prefix the quota falls into, refine.
     Every step is one aggregation over at most 4,096 prefixes a class and hands one row a class to the
     driver; no class is ever sorted as a whole.
     """
-    rows = df.select(col(strata).alias("c"), col(key).alias("k"), hash32(key, seed).alias("h"))
     open_ = {c: (None, q) for c, q in quota.items() if q > 0}
     ready: dict = {}
     for level, shift in enumerate(_LEVELS):
@@ -82,10 +81,12 @@ def exact_split(
 ) -> DataFrame:
     """Add ``is_test`` for exactly ceil(test_size * n) rows: the lowest hashes, per class if given.
 
-    Row placement is a projection against one cut-off per class; rows are not shuffled.
+    Rows are kept with their hash, which is the dearest part. Row placement is a projection of that table against
+    one cut-off per class; rows are not shuffled.
     """
     group = strata or _ALL
-    base = df if strata else df.withColumn(_ALL, F.lit(0))
+    base = keep(df.withColumn(_HASH, hash32(key, seed)))
+    base = base if strata else base.withColumn(_ALL, F.lit(0))
     rows = collect_bounded(base.groupBy(col(group)).count(), 10_000, "classes of a split")
     counts = {r[0]: r[1] for r in rows if r[0] is not None}
     if not counts:
@@ -93,13 +94,13 @@ def exact_split(
     quota = class_quotas(counts, test_size)
     if strata and sum(quota.values()) < len(counts):
         raise ValueError("the test share is smaller than the number of classes")
-    last = _cutoffs(base, group, key, seed, quota)
+    last = _cutoffs(base.select(col(group).alias("c"), col(key).alias("k"), F.col(_HASH).alias("h")), quota)
     schema = StructType([
         StructField("_cut_class", base.select(col(group)).schema[0].dataType), StructField("_cut_hash", LongType()),
         StructField("_cut_key", base.select(col(key)).schema[0].dataType),
     ])
     cuts = df.sparkSession.createDataFrame([(c, h, k) for c, (h, k) in last.items()], schema)  # one row a class
-    h = hash32(key, seed)
+    h = F.col(_HASH)
     before = (h < F.col("_cut_hash")) | ((h == F.col("_cut_hash")) & (col(key) <= F.col("_cut_key")))
     joined = base.join(F.broadcast(cuts), col(group) == F.col("_cut_class"), "left")
     return joined.select(*[col(c) for c in df.columns], F.coalesce(before, F.lit(False)).alias("is_test"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from chromaspark.functions.reuse import keep
 from chromaspark.operators.clean import Dataset, load_dataset
 from chromaspark.operators.descriptors import enrich_descriptors
 
@@ -17,18 +19,27 @@ SERIES = [
     ("c1ccccc1", 78.114, 1.69, 0.0, 0, 0),
 ]
 CARBONS = 12
+RETURN_FLAGS, LINE_STATUS = ["A", "N", "R"], ["F", "O"]  # in order
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _place(name: str, known: list[str]) -> Column:
+    """Place of a text among the sorted ``known`` ones: odd for these, even between them, in the order of the texts.
+
+    The least place is that of the least text, and a minimum of numbers is hashed where one of texts is sorted.
+    """
+    return reduce(add, [(F.col(name) >= k).cast("int") + (F.col(name) > k).cast("int") for k in known])
+
+
 def raw_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chromatography run per order line: compound from the part, condition from the line."""
     line = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
         F.min("l_partkey").alias("partkey"), F.min("l_quantity").alias("qty"),
-        F.min("l_extendedprice").alias("price"), F.min("l_returnflag").alias("rf"),
-        F.min("l_linestatus").alias("ls"),
+        F.min("l_extendedprice").alias("price"), F.min(_place("l_returnflag", RETURN_FLAGS)).alias("rf"),
+        F.min(_place("l_linestatus", LINE_STATUS)).alias("ls"),
     )
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     k = line.join(part, F.col("partkey") == F.col("p_partkey"))
@@ -39,7 +50,7 @@ def raw_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("partkey") % 37 == 0, "not_a_smiles").otherwise(F.concat(chain, tail))
 
     def flags(rf: str, ls: str):
-        return (F.col("rf") == rf) & (F.col("ls") == ls)
+        return (F.col("rf") == 2 * RETURN_FLAGS.index(rf) + 1) & (F.col("ls") == 2 * LINE_STATUS.index(ls) + 1)
 
     quality = (
         F.when(flags("A", "F"), "Completely separated").when(flags("A", "O"), "Switching-fully separated")
@@ -79,9 +90,7 @@ def dataset(spark: SparkSession, sf_dir: str) -> Dataset:
     """Cleaned, enriched and coded runs; built once per session and folder, kept as a table."""
     slot = (spark.sparkContext.applicationId, sf_dir)
     if slot not in _ready:
-        ds = load_dataset(enrich_descriptors(raw_runs(spark, sf_dir), descriptor_lookup(spark)))
-        ds.df = keep(ds.df)
-        _ready[slot] = ds
+        _ready[slot] = load_dataset(enrich_descriptors(raw_runs(spark, sf_dir), descriptor_lookup(spark)))
     return _ready[slot]
 
 

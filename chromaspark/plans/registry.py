@@ -13,7 +13,7 @@ from chromaspark.functions.columns import col
 from chromaspark.functions.nearest import nearest
 from chromaspark.functions.reuse import keep, shared_folder
 from chromaspark.models import catalog as cat, knn as knn_model, linear, tune
-from chromaspark.models.base import training_table
+from chromaspark.models.base import predict_distinct, training_table
 from chromaspark.operators import clean, conditions as cond, descriptors as desc, evaluate as ev, moments, split
 from chromaspark.operators.explain import feature_importance, most_influential
 from chromaspark.operators.neighbours import as_vectors, distinct_vectors, knn_join
@@ -157,7 +157,7 @@ def descriptor_rejects(spark, sf):
 
 @once
 def _compounds(spark, sf):
-    valid, _ = prepare_compounds(raw_runs(spark, sf), descriptor_lookup(spark), dataset(spark, sf).solvents)
+    valid, _ = prepare_compounds(dataset(spark, sf).df, descriptor_lookup(spark), dataset(spark, sf).solvents)
     return keep(valid)
 
 
@@ -176,12 +176,12 @@ def split_random(spark, sf):
 
 @once
 def _reg_split(spark, sf):
-    return keep(tune.split_regression(dataset(spark, sf)))
+    return tune.split_regression(dataset(spark, sf))
 
 
 @once
 def _clf_split(spark, sf):
-    return keep(tune.split_classification(dataset(spark, sf)))
+    return tune.split_classification(dataset(spark, sf))
 
 
 @query
@@ -564,7 +564,7 @@ def _test_scores(spark, sf, name: str, task: str, params: dict) -> DataFrame:
     rows = _reg_split if task == "regression" else _clf_split
     target = RETENTION if task == "regression" else QUALITY_CODE
     model = fitted(spark, sf, name, task, params)
-    return model.predict(rows(spark, sf).where("is_test")).select(RUN_ID, col(target).alias("actual"), "prediction")
+    return predict_distinct(model, rows(spark, sf).where("is_test")).select(RUN_ID, col(target).alias("actual"), "prediction")
 
 
 @query
