@@ -28,6 +28,7 @@ CALIBRATION = 64  # queries whose true neighbours are computed
 RECALL = 0.94
 BLOCK = 1024
 SLACK = 1e-9
+HELD_ROWS = 1 << 20  # scored rows (24 bytes each) that a task holds before it sorts out the best of each query
 
 
 @dataclass
@@ -109,6 +110,22 @@ def inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return total
 
 
+def best_rows(rep: np.ndarray, hit: np.ndarray, score: np.ndarray, most: int) -> tuple[tuple[np.ndarray, ...], list[tuple[int, float]]]:
+    """The distinct ``(rep, hit, score)`` of each ``rep`` that score no less than its ``most``-th, and that score of each that has so many."""
+    order = np.lexsort((hit, -score, rep))
+    rep, hit, score = rep[order], hit[order], score[order]
+    new = np.ones(len(rep), dtype=bool)
+    new[1:] = (rep[1:] != rep[:-1]) | (hit[1:] != hit[:-1]) | (score[1:] != score[:-1])
+    rep, hit, score = rep[new], hit[new], score[new]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(rep)), dtype=bool), rep[1:] != rep[:-1])))
+    size = np.diff(np.append(first, len(rep)))
+    full = size >= most
+    bar = np.full(len(first), -np.inf)
+    bar[full] = score[first[full] + most - 1]
+    stay = score >= np.repeat(bar, size)
+    return (rep[stay], hit[stay], score[stay]), list(zip(rep[first[full]].tolist(), bar[full].tolist()))
+
+
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """``(id, v)`` of the distinct rows that take part: no null, zero or non-finite vectors; the commonest length counts."""
     v = F.col(vector)
@@ -213,7 +230,12 @@ def search(
     most = k + 1
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bar: dict[int, float] = {}  # what a query's k-th best of one block reached: nothing below it is among the best
+        bar: dict[int, float] = {}  # what a query's k-th best so far reached: nothing below it is among the best
+        held, n_held = [], 0
+
+        def out(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["rep", "hit", "score"])
+
         for b in batches:
             for qs, vs, ids, xs in zip(*(b.column(i) for i in range(4))):
                 qs, ids = qs.values.to_numpy(), ids.values.to_numpy()
@@ -224,9 +246,18 @@ def search(
                 low = np.maximum(low, [bar.get(i, -np.inf) for i in qs.tolist()])
                 bar.update(zip(qs.tolist(), low.tolist()))
                 i, j = np.nonzero(s >= (low - SLACK * np.maximum(1.0, np.abs(low)))[:, None])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(qs[i]), pa.array(ids[j]), pa.array(inner(q[i], x[j]))], ["rep", "hit", "score"]
-                )
+                held.append((qs[i], ids[j], inner(q[i], x[j])))
+                n_held += len(i)
+                if n_held >= HELD_ROWS:
+                    rows, reached = best_rows(*map(np.concatenate, zip(*held)), most)
+                    for r, value in reached:
+                        bar[r] = max(bar.get(r, -np.inf), value)
+                    held, n_held = [rows], len(rows[0])
+                    if n_held > HELD_ROWS // 2:  # too many queries meet in this task; the bars stay
+                        yield out(rows)
+                        held, n_held = [], 0
+        if held:
+            yield out(best_rows(*map(np.concatenate, zip(*held)), most)[0])
 
     found = met.mapInArrow(score, "rep bigint, hit bigint, score double").distinct()
     best = found.withColumn("r", F.rank().over(Window.partitionBy("rep").orderBy(F.desc("score")))).where(F.col("r") <= most).drop("r")
