@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from chromaspark.llm.common import BATCH_BYTES
-from chromaspark.llm.pieces import WholeTextEncoder
+from chromaspark.llm.pieces import whole_text_encoder
 
 SEGMENT = 256  # characters a segment has at the least, but for the last
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -130,7 +130,7 @@ class EditedText:
 
 
 def counter(tokenizer_path: str):
-    encode = WholeTextEncoder(tokenizer_path, 4).encode
+    encode = whole_text_encoder(tokenizer_path, 4).encode
     return lambda text: len(encode(text)) // 4
 
 

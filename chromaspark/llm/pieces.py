@@ -10,6 +10,7 @@ import os
 import re
 import sys
 from array import array
+from functools import lru_cache
 
 if sys.byteorder != "little":
     raise ImportError("ids are written as the machine holds them, which must be little-endian")
@@ -52,6 +53,10 @@ class Recent(dict):
             self.clear()
         self[key] = value
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class Worked(Recent):
     """A :class:`Recent` that works out what it does not hold; long keys are not kept."""
@@ -76,7 +81,7 @@ class WholeTextEncoder:
     safe spaces is never cut, so a text of any length needs memory for its longest piece only.
     """
 
-    def __init__(self, path: str, bytes_per_id: int, room: int = 600_000):
+    def __init__(self, path: str, bytes_per_id: int, room: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -135,3 +140,9 @@ class WholeTextEncoder:
                 return self.ids(first) + b"".join(got)
         first, *rest = _SAFE.split(text)
         return self.ids(first) + b"".join([self.pieces[p] or self.ids(" " + p) for p in rest])
+
+
+@lru_cache(maxsize=2)
+def whole_text_encoder(path: str, bytes_per_id: int) -> WholeTextEncoder:
+    """The encoder of a file, once for each Python worker: the tasks of a worker share what is cached."""
+    return WholeTextEncoder(path, bytes_per_id)

@@ -19,7 +19,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chromaspark.llm.common import new_folder
-from chromaspark.llm.pieces import WholeTextEncoder
+from chromaspark.llm.pieces import whole_text_encoder
 
 SEQUENCE = 1024
 SEQUENCES_PER_BATCH = 256
@@ -161,7 +161,7 @@ def write_token_files(
     parts = dealt.select("doc_id", "text", F.spark_partition_id().cast("bigint").alias("part"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, out, path = WholeTextEncoder(tokenizer_path, bytes_per_id).encode, end_id.to_bytes(bytes_per_id, "little"), None, None
+        encode, end, out, path = whole_text_encoder(tokenizer_path, bytes_per_id).encode, end_id.to_bytes(bytes_per_id, "little"), None, None
         for b in batches:
             first, size, keys, parts = [], [], b.column(0), b.column(2)
             for t in b.column(1):

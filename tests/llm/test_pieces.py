@@ -6,7 +6,7 @@ import random
 
 import public_tokenizers
 
-from chromaspark.llm.pieces import WholeTextEncoder
+from chromaspark.llm.pieces import WholeTextEncoder, whole_text_encoder
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -26,3 +26,10 @@ def test_line_breaks_and_numbers_need_no_whole_encoding():
     encoder.ids = lambda t: asked.append(t) or plain(t)
     assert encoder.encode(text) == want
     assert sorted(asked) == [",", ".", "go"]
+
+
+def test_tasks_of_a_worker_share_an_encoder():
+    first = whole_text_encoder(BYTES, 2)
+    first.encode("some words are met again")
+    again = whole_text_encoder(BYTES, 2)
+    assert again is first and "words" in again.pieces
