@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import heapq
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,10 +20,10 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from chromaspark.llm.common import BATCH_BYTES
-from chromaspark.llm.pieces import BYTE_LETTERS, Recent
+from chromaspark.llm.pieces import BYTE_LETTERS, Recent, Worked
 
 SHORT = 256
-MOST_CACHED = 600_000
+MOST_PIECES, MOST_WORDS = 400_000, 200_000  # cached in a worker
 _NONE = 1 << 60
 # White space as the tokenizer's patterns understand it, and its word pattern.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -43,11 +44,12 @@ class WordBpe:
         self.names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.pattern = regex.compile(WORD)
         self.apart = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
-        self.words, self.pieces = Recent(MOST_CACHED), Recent(MOST_CACHED)
+        # ids as bytes, which take half the room of tuples
+        self.words, self.pieces = Recent(MOST_WORDS), Worked(MOST_PIECES, self._piece)
 
     def parts(self, word: str) -> list[str]:
         """The parts a word ends up in."""
-        symbols = list(word.encode().decode("latin-1").translate(BYTE_LETTERS))
+        symbols = list(word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(BYTE_LETTERS))
         if not symbols:
             return []
         symbols[-1] += self.end
@@ -88,53 +90,47 @@ class WordBpe:
                     heapq.heappush(queue, (r, a, parts[a], parts[b]))
         return [p for p in parts if p is not None]
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _new(self, word: str) -> bytes:
+        return array("I", [self.ids[p] for p in self.parts(word) if p in self.ids]).tobytes()
+
+    def _word(self, word: str) -> bytes:
         got = self.words.find(word)
         if got is None:
-            got = tuple([self.ids[p] for p in self.parts(word) if p in self.ids])
+            got = self._new(word)
             self.words.put(word, got)
         return got
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _piece(self, piece: str) -> bytes:
         """Ids of text between two spaces; no word and no composed letter reaches over a space."""
         low = piece.lower()
         if low.isascii() and low.isalpha():
-            return self.words.get(low) or self._word(low)
+            # most words stand between spaces only: as a piece such a word is kept once
+            return self.words.get(low) or (self._word(low) if low != piece or low in self.words.old else self._new(low))
         if not self.apart.search(piece):
-            return tuple(self._plain(piece))
-        out: list[int] = []
+            return self._plain(piece)
+        out: list[bytes] = []
         at = 0
         for m in self.apart.finditer(piece):
-            out += self._plain(piece[at: m.start()])
-            out.append(self.special[m.group()])
+            out += self._plain(piece[at: m.start()]), array("I", [self.special[m.group()]]).tobytes()
             at = m.end()
-        return tuple(out + self._plain(piece[at:]))
+        return b"".join(out) + self._plain(piece[at:])
 
-    def _plain(self, text: str) -> list[int]:
+    def _plain(self, text: str) -> bytes:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         # letter by letter: a capital sigma at the end of a word has no form of its own here
         text = text.lower() if "\u03a3" not in text else "".join(c.lower() for c in text)
-        out: list[int] = []
-        for w in self.pattern.findall(text):
-            out += self.words.get(w) or self._word(w)
-        return out
+        return b"".join([self.words.get(w) or self._word(w) for w in self.pattern.findall(text)])
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        out: list[int] = []
-        known = self.pieces
-        for piece in text.split(" "):
-            got = known.get(piece)
-            if got is None:
-                got = known.find(piece)
-                if got is None:
-                    got = self._piece(piece)
-                    if len(piece) <= SHORT:
-                        known.put(piece, got)
-            out += got
-        return out
+        return array("I", b"".join(map(self.pieces.__getitem__, text.split(" ")))).tolist()
+
+    def forget(self) -> None:
+        """Drop what is cached; the worker may go on with tasks of other stages, which need the memory."""
+        self.words.forget()
+        self.pieces.forget()
 
     def decode(self, ids: list[int]) -> str:
         """The parts joined by spaces, as a file without a decoder of its own asks for; unknown ids give nothing."""
@@ -159,18 +155,21 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(tokenizer_path)
-        for b in batches:
-            keys, ids, decoded, size, since = b.column(0), [], [], 0, 0
-            for n, t in enumerate(b.column(1), 1):
-                ids.append(bpe.encode(t.as_py()))
-                decoded.append(bpe.decode(ids[-1]))
-                size += 4 * len(ids[-1]) + len(decoded[-1])
-                if size >= BATCH_BYTES or n == b.num_rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [keys.slice(since, n - since), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())],
-                        ["key", "ids", "decoded"],
-                    )
-                    ids, decoded, size, since = [], [], 0, n
+        try:
+            for b in batches:
+                keys, ids, decoded, size, since = b.column(0), [], [], 0, 0
+                for n, t in enumerate(b.column(1), 1):
+                    ids.append(bpe.encode(t.as_py()))
+                    decoded.append(bpe.decode(ids[-1]))
+                    size += 4 * len(ids[-1]) + len(decoded[-1])
+                    if size >= BATCH_BYTES or n == b.num_rows:
+                        yield pa.RecordBatch.from_arrays(
+                            [keys.slice(since, n - since), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())],
+                            ["key", "ids", "decoded"],
+                        )
+                        ids, decoded, size, since = [], [], 0, n
+        finally:
+            bpe.forget()
 
     out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
         run, f"key {kind.simpleString()}, ids array<int>, decoded string"
