@@ -11,12 +11,13 @@ neighbours of some queries are computed, and the queue runs as far as it must to
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from chromaspark.llm.common import keep
 
@@ -29,6 +30,7 @@ RECALL = 0.94
 BLOCK = 1024
 SLACK = 1e-9
 HELD_ROWS = 1 << 20  # scored rows (24 bytes each) that a task holds before it sorts out the best of each query
+GROUP_BYTES = 32 << 20  # of the vectors of one group of queries or rows
 
 
 @dataclass
@@ -126,6 +128,64 @@ def best_rows(rep: np.ndarray, hit: np.ndarray, score: np.ndarray, most: int) ->
     return (rep[stay], hit[stay], score[stay]), list(zip(rep[first[full]].tolist(), bar[full].tolist()))
 
 
+class _Best:
+    """The best rows of a group of queries so far; queries and rows are named by their places. Scores are exact at the end only."""
+
+    def __init__(self, q: np.ndarray, x: np.ndarray, most: int):
+        self.q, self.x, self.most = q, x, most
+        self.bar = np.full(len(q), -np.inf)  # what a query's k-th best so far reached, less rounding: nothing below it is among the best
+        self.held: list = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        self.n_held, self.limit = 0, HELD_ROWS
+
+    def meet(self, qs: np.ndarray, xs: np.ndarray) -> None:
+        """Score all rows ``xs`` for the queries ``qs``."""
+        s = self.q[qs] @ self.x[xs].T
+        if s.shape[1] > self.most:
+            low = np.partition(s, -self.most, axis=1)[:, -self.most]
+            self.bar[qs] = np.maximum(self.bar[qs], low - SLACK * np.maximum(1.0, np.abs(low)))
+        i, j = np.nonzero(s >= self.bar[qs][:, None])
+        self.held.append((qs[i], xs[j], s[i, j]))
+        self.n_held += len(i)
+        if self.n_held >= self.limit:
+            self._sort_out()
+
+    def _sort_out(self) -> None:
+        q, x, s = map(np.concatenate, zip(*self.held))
+        once = np.unique(q * len(self.x) + x, return_index=True)[1]  # a row may have been met in several trees
+        q, x, s = q[once], x[once], s[once]
+        order = np.lexsort((-s, q))
+        q, x, s = q[order], x[order], s[order]
+        first = np.flatnonzero(np.diff(q, prepend=-1))
+        full = first[np.diff(np.append(first, len(q))) >= self.most]
+        low = s[full + self.most - 1]
+        self.bar[q[full]] = np.maximum(self.bar[q[full]], low - SLACK * np.maximum(1.0, np.abs(low)))
+        stay = s >= self.bar[q]
+        self.held, self.n_held = [(q[stay], x[stay], s[stay])], int(stay.sum())
+        self.limit = max(HELD_ROWS, 2 * self.n_held)
+
+    def rows(self) -> tuple[np.ndarray, ...]:
+        self._sort_out()
+        q, x, _ = self.held[0]
+        score = np.concatenate([np.zeros(0), *(inner(self.q[q[i: i + 65536]], self.x[x[i: i + 65536]]) for i in range(0, len(q), 65536))])
+        return best_rows(q, x, score, self.most)[0]
+
+
+def _group(key: str, groups: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(13)), F.lit(groups)).cast("int")
+
+
+def _copies(groups: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+
+
+def _groups(spark: SparkSession, rows: int, row_bytes: int, queries: int, query_bytes: int) -> tuple[int, int]:
+    """Numbers of groups of rows and of queries: bounded in bytes, and two cells of the grid for each partition where there are rows enough."""
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    row_groups = max(1, -(-rows * row_bytes // GROUP_BYTES), min(math.isqrt(2 * parts), rows // BLOCK))
+    query_groups = max(1, -(-queries * query_bytes // GROUP_BYTES), min(-(-2 * parts // row_groups), queries // 64))
+    return row_groups, query_groups
+
+
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """``(id, v)`` of the distinct rows that take part: no null, zero or non-finite vectors; the commonest length counts."""
     v = F.col(vector)
@@ -163,7 +223,8 @@ def search(
     ).first()
     n, dim, longest = head["n"], head["d"] or 1, head["longest"] or 0.0
     asked = rows.where(is_query).select(F.col("id").alias("qid"), "v")
-    query = keep(asked.join(index.withColumnRenamed("id", "rep"), "v").select("qid", "rep", "v"), "queries")
+    # no side of a join here is broadcast: all grow with the table, and what a plan estimates of vectors or of Python's output is far too low
+    query = keep(asked.hint("merge").join(index.withColumnRenamed("id", "rep"), "v").select("qid", "rep", "v"), "queries")
     n_query = query.count()
     kind = members.schema["v"].dataType.simpleString()
     depth = int(max(0, min(np.ceil(np.log2(max(1, n / leaf_rows))), np.floor(np.log2(max(1, min(n, fit_rows) / LEAST_FIT_LEAF))))))
@@ -189,80 +250,82 @@ def search(
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = shared.value.leaves(_lifted(_matrix(b.column(1), dim), longest))
-            trees_ = got.shape[1]
-            take = pa.array(np.repeat(np.arange(b.num_rows), trees_))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(np.arange(trees_, dtype=np.int32), b.num_rows)), pa.array(got.ravel().astype(np.int32)),
-                 b.column(0).take(take), b.column(1).take(take)], ["tree", "leaf", "id", "v"],
-            )
+            ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * got.shape[1])
+            leaves = pa.ListArray.from_arrays(ends, pa.array(got.ravel().astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), leaves], ["id", "v", "leaves"])
 
-    placed = keep(index.mapInArrow(place, f"tree int, leaf int, id bigint, v {kind}"), "leaves")
+    placed = keep(index.mapInArrow(place, f"id bigint, v {kind}, leaves array<int>"), "leaves")
     sizes = np.zeros((max(1, len(planes)), 2**depth), dtype=np.int64)
-    for r in placed.groupBy("tree", "leaf").count().toLocalIterator():  # a row for each leaf
+    for r in placed.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").count().toLocalIterator():  # a row for each leaf
         sizes[r["tree"], r["leaf"]] = r["count"]
     enough = _enough(query, index, forest, sizes, dim, k, recall, n)
-    blocks = F.pmod(F.xxhash64("id"), F.lit(int(max(1, -(-sizes.max() // BLOCK))))).alias("block")
-    packed = placed.groupBy("tree", "leaf", blocks).agg(F.collect_list(F.struct("id", "v")).alias("t")).select(
-        "tree", "leaf", F.col("t.id").alias("ids"), F.flatten("t.v").alias("xs")
-    )
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, BLOCK):
-                b = whole.slice(at, BLOCK)
-                q, reps = _matrix(b.column(1), dim), b.column(0).to_numpy()
-                where: dict[tuple[int, int], list[int]] = {}
-                for s in range(0, len(q), 32):
-                    lifted = np.concatenate((q[s: s + 32], np.zeros((len(q[s: s + 32]), 1))), axis=1)
-                    for i, found in enumerate(shared.value.visits(lifted, sizes, enough), s):
-                        for leaf in found:
-                            where.setdefault(leaf, []).append(i)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([t for t, _ in where], pa.int32()), pa.array([x for _, x in where], pa.int32()),
-                     pa.array([reps[i] for i in where.values()], pa.list_(pa.int64())),
-                     pa.array([q[i].ravel() for i in where.values()], pa.list_(pa.float64()))], ["tree", "leaf", "qs", "vs"],
-                )
-
+            for at in range(0, whole.num_rows, 32):
+                b = whole.slice(at, 32)
+                q = _matrix(b.column(1), dim)
+                seen = np.zeros((len(q), *sizes.shape), dtype=bool)
+                for i, found in enumerate(shared.value.visits(np.concatenate((q, np.zeros((len(q), 1))), axis=1), sizes, enough)):
+                    for leaf in found:
+                        seen[i][leaf] = True
+                bits = np.packbits(seen, axis=2).reshape(len(q), -1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in bits], pa.binary())], ["rep", "v", "seen"])
+
+    # A grid of (query group, row group): a vector travels once for each group of the other side, not once for each leaf met.
+    row_groups, query_groups = _groups(spark, n, 8 * dim, n_query, 8 * dim + sizes.size // 8)
     # walking a query costs far more than its bytes tell, so the number of tasks does not follow them
     distinct = query.select(F.col("rep"), "v").distinct().repartition(max(spark.sparkContext.defaultParallelism, n_query // BLOCK))
-    walked = distinct.mapInArrow(walk, "tree int, leaf int, qs array<bigint>, vs array<double>")
-    met = walked.join(packed, ["tree", "leaf"]).select("qs", "vs", "ids", "xs")
+    walked = distinct.mapInArrow(walk, f"rep bigint, v {kind}, seen binary")
+    asking = walked.select("rep", "v", "seen", _group("rep", query_groups).alias("qg"), _copies(row_groups).alias("rg"))
+    asked_of = placed.select("id", "v", "leaves", _copies(query_groups).alias("qg"), _group("id", row_groups).alias("rg"))
     most = k + 1
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bar: dict[int, float] = {}  # what a query's k-th best so far reached: nothing below it is among the best
+    def meet(q: pa.Table, rows: pa.Table) -> pa.Table:
+        """The best of each query of a group among the rows of a group that lie in its leaves."""
+        if q.num_rows and rows.num_rows:
+            reps, vs, seen = (q.column(c).combine_chunks() for c in ("rep", "v", "seen"))
+            ids, xs, leaves = (rows.column(c).combine_chunks() for c in ("id", "v", "leaves"))
+            vs, xs, reps, ids = _matrix(vs, dim), _matrix(xs, dim), reps.to_numpy(), ids.to_numpy()
+            leaves, best = leaves.flatten().to_numpy().reshape(len(ids), -1), _Best(vs, xs, most)
+            bits = np.frombuffer(b"".join(seen.to_pylist()), dtype=np.uint8).reshape(len(reps), len(sizes), -1)
+            for t in range(leaves.shape[1]):
+                met = np.unpackbits(bits[:, t], axis=1).T
+                order = np.argsort(leaves[:, t], kind="stable")
+                first = np.flatnonzero(np.diff(leaves[order, t], prepend=-1))
+                for members in np.split(order, first[1:]):
+                    who = np.flatnonzero(met[leaves[members[0], t]])
+                    for i in range(0, len(who), BLOCK):
+                        for j in range(0, len(members), BLOCK):
+                            best.meet(who[i: i + BLOCK], members[j: j + BLOCK])
+            i, j, score = best.rows()
+            return pa.table({"rep": pa.array(reps[i]), "hit": pa.array(ids[j]), "score": pa.array(score)})
+        return pa.table({"rep": pa.array([], pa.int64()), "hit": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the groups that meet in one task, the best of each query."""
         held, n_held = [], 0
 
         def out(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["rep", "hit", "score"])
 
         for b in batches:
-            for qs, vs, ids, xs in zip(*(b.column(i) for i in range(4))):
-                qs, ids = qs.values.to_numpy(), ids.values.to_numpy()
-                q = vs.values.to_numpy().reshape(-1, dim)
-                x = xs.values.to_numpy().astype(np.float64).reshape(-1, dim)
-                s = q @ x.T
-                low = np.partition(s, -most, axis=1)[:, -most] if s.shape[1] > most else np.full(len(q), -np.inf)
-                low = np.maximum(low, [bar.get(i, -np.inf) for i in qs.tolist()])
-                bar.update(zip(qs.tolist(), low.tolist()))
-                i, j = np.nonzero(s >= (low - SLACK * np.maximum(1.0, np.abs(low)))[:, None])
-                held.append((qs[i], ids[j], inner(q[i], x[j])))
-                n_held += len(i)
-                if n_held >= HELD_ROWS:
-                    rows, reached = best_rows(*map(np.concatenate, zip(*held)), most)
-                    for r, value in reached:
-                        bar[r] = max(bar.get(r, -np.inf), value)
-                    held, n_held = [rows], len(rows[0])
-                    if n_held > HELD_ROWS // 2:  # too many queries meet in this task; the bars stay
-                        yield out(rows)
-                        held, n_held = [], 0
+            held.append(tuple(b.column(i).to_numpy() for i in range(3)))
+            n_held += b.num_rows
+            if n_held >= HELD_ROWS:
+                rows, _ = best_rows(*map(np.concatenate, zip(*held)), most)
+                held, n_held = [rows], len(rows[0])
+                if n_held > HELD_ROWS // 2:  # too many queries meet in this task
+                    yield out(rows)
+                    held, n_held = [], 0
         if held:
             yield out(best_rows(*map(np.concatenate, zip(*held)), most)[0])
 
-    found = met.mapInArrow(score, "rep bigint, hit bigint, score double").distinct()
+    cells = asking.groupBy("qg", "rg").cogroup(asked_of.groupBy("qg", "rg"))
+    found = cells.applyInArrow(meet, "rep bigint, hit bigint, score double").mapInArrow(merge, "rep bigint, hit bigint, score double")
     best = found.withColumn("r", F.rank().over(Window.partitionBy("rep").orderBy(F.desc("score")))).where(F.col("r") <= most).drop("r")
-    with_ids = best.join(members.select(F.col("rep").alias("hit"), F.col("id").alias("vec_id")), "hit")
-    answers = query.select("qid", "rep").join(with_ids, "rep").where("qid <> vec_id")
+    with_ids = best.hint("merge").join(members.select(F.col("rep").alias("hit"), F.col("id").alias("vec_id")), "hit")
+    answers = query.select("qid", "rep").hint("merge").join(with_ids, "rep").where("qid <> vec_id")
     one = answers.groupBy("qid", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     top = one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
