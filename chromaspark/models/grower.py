@@ -120,14 +120,95 @@ def poisson(mean: np.ndarray, ids: np.ndarray, seed: int) -> np.ndarray:
         p = p * mean[few] / i
         total += p
     out[few] = n
-    for i in np.flatnonzero(~few):
-        out[i] = np.random.default_rng(int(h[i])).poisson(mean[i])
+    many = np.flatnonzero(~few)
+    out[many] = _poisson_many(mean[many], h[many])
+    return out
+
+
+def _poisson_many(mean: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """``default_rng(seed).poisson(mean)`` of each row, for means of 10 and more, a few tries of all rows at a time.
+
+    NumPy's transformed rejection; a row whose test is within rounding, or that needs more tries, gets a generator of its own.
+    """
+    out, left = np.zeros(len(mean)), np.arange(len(mean))
+    draws, alone = first_doubles(seeds, 8), []
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for u, v in zip(draws[::2], draws[1::2]):
+            m, u, v = mean[left], u[left] - 0.5, v[left]
+            b = 0.931 + 2.53 * np.sqrt(m)
+            a = -0.059 + 0.02483 * b
+            us = 0.5 - np.abs(u)
+            k = np.floor((2 * a / us + b) * u + m + 0.43)
+            sure = (us >= 0.07) & (v <= 0.9277 - 3.6224 / (b - 2))
+            never = ~sure & ((k < 0) | ((us < 0.013) & (v > us)))
+            x = np.maximum(k, 0.0) + 1
+            gamma = (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3)
+            gap = np.log(v) + np.log(1.1239 + 1.1328 / (b - 3.4)) - np.log(a / (us * us) + b) - (k * np.log(m) - m - gamma)
+            close = ~sure & ~never & ((x < 8) | ~(np.abs(gap) > 1e-5))
+            done = sure | (~never & ~close & (gap < 0))
+            out[left[done]] = k[done]
+            alone.append(left[close])
+            left = left[~done & ~close]
+    for i in np.concatenate((left, *alone)):
+        out[i] = np.random.default_rng(int(seeds[i])).poisson(mean[i])
+    return out
+
+
+def first_doubles(seeds: np.ndarray, n: int) -> list[np.ndarray]:
+    """The first ``n`` numbers of ``default_rng(seed).random()`` for every seed (uint64) at once: SeedSequence and PCG64 over arrays."""
+    small, big = np.uint32, np.uint64
+    low32, half = big(0xFFFFFFFF), big(32)
+    with np.errstate(over="ignore"):
+        const = small(0x43B0D7E5)
+
+        def hashed(v: np.ndarray) -> np.ndarray:
+            nonlocal const
+            v, const = v ^ const, const * small(0x931E8875)
+            v = v * const
+            return v ^ (v >> small(16))
+
+        none = np.zeros(len(seeds), small)
+        pool = [hashed(v) for v in ((seeds & low32).astype(small), (seeds >> half).astype(small), none, none)]
+        for i in range(4):
+            for j in range(4):
+                if i != j:
+                    v = small(0xCA01F9DD) * pool[j] - small(0x4973F715) * hashed(pool[i])
+                    pool[j] = v ^ (v >> small(16))
+        const, words = small(0x8B51F9DD), []
+        for i in range(8):
+            v, const = pool[i % 4] ^ const, const * small(0x58F38DED)
+            v = v * const
+            words.append((v ^ (v >> small(16))).astype(big))
+        start_high, start_low, step_high, step_low = (words[2 * i] | (words[2 * i + 1] << half) for i in range(4))
+        step_high, step_low = (step_high << big(1)) | (step_low >> big(63)), (step_low << big(1)) | big(1)
+        times_high, times_low = big(2549297995355413924), big(4865540595714422341)
+
+        def plus(high, low, more_high, more_low):
+            total = low + more_low
+            return high + more_high + (total < low), total
+
+        def step(high, low):
+            a, b, c, d = low & low32, low >> half, times_low & low32, times_low >> half
+            middle = (a * c >> half) + (a * d & low32) + (b * c & low32)
+            carried = b * d + (a * d >> half) + (b * c >> half) + (middle >> half) + high * times_low + low * times_high
+            return plus(carried, low * times_low, step_high, step_low)
+
+        high, low = step(*plus(step_high, step_low, start_high, start_low))
+        out = []
+        for _ in range(n):
+            high, low = step(high, low)
+            x, turn = high ^ low, high >> big(58)
+            x = (x >> turn) | (x << ((big(64) - turn) & big(63)))
+            out.append((x >> big(11)).astype(float) / 2.0**53)
     return out
 
 
 @dataclass
 class Block:
-    """Packed rows: ``bins`` (features x rows), weight, target, spread inside the row, fold and an id."""
+    """Packed rows: ``bins`` (features x rows), weight, target, spread inside the row, fold and an id.
+
+    Blocks that are at hand also have the distinct columns of ``bins`` and which of them each row is: a tree is grown on these.
+    """
 
     bins: np.ndarray
     w: np.ndarray
@@ -135,6 +216,17 @@ class Block:
     ss: np.ndarray
     fold: np.ndarray
     ids: np.ndarray
+    vectors: np.ndarray | None = None
+    which: np.ndarray | None = None
+
+    def with_vectors(self) -> Block:
+        """The rows stay in order, so sums over a vector's rows are the same wherever they are made."""
+        _, first, which = np.unique(self.bins.T, axis=0, return_index=True, return_inverse=True)
+        order = np.argsort(first)  # vectors as they come
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.vectors, self.which = np.ascontiguousarray(self.bins[:, first[order]]), place[which.ravel()]
+        return self
 
 
 def softmax(raw: np.ndarray) -> np.ndarray:
@@ -158,6 +250,36 @@ def statistics(block: Block, spec: Spec, raw: np.ndarray | None = None) -> np.nd
     return np.stack((w, w * r, w * np.abs(r) * (1 - np.abs(r))), axis=1)
 
 
+def vector_statistics(block: Block, spec: Spec, raw: np.ndarray | None = None, held: dict | None = None) -> np.ndarray:
+    """:func:`statistics` added up over the rows of each distinct vector; ``raw`` has a row a vector, ``held`` keeps what rounds share."""
+    size = block.vectors.shape[1]
+
+    def total(v: np.ndarray) -> np.ndarray:
+        return np.bincount(block.which, weights=v, minlength=size)
+
+    held = {} if held is None else held
+    if "w" not in held:
+        held["w"] = np.where(block.fold != spec.fold, block.w, 0.0)
+        if spec.bootstrap:
+            live = held["w"] > 0
+            held["w"][live] = poisson(block.w[live], block.ids[live], spec.seed)
+    w = held["w"]
+    if spec.kind == "mean":
+        return np.stack((total(w), total(w * block.y)), axis=1)
+    if spec.kind == "class" or spec.booster.classify:
+        if "classes" not in held:
+            k = spec.n_labels or len(spec.booster.start)
+            place = block.which * k + block.y.astype(np.int64)
+            held["classes"] = np.bincount(place, weights=w, minlength=size * k).reshape(size, k)
+        classes = held["classes"]
+        weight = classes.sum(axis=1)
+        if spec.kind == "class":
+            return np.concatenate((weight[:, None], classes), axis=1)
+        p = softmax(raw)[:, spec.of]
+        return np.stack((weight, classes[:, spec.of] * (1 - p) - (weight - classes[:, spec.of]) * p, weight * p * (1 - p)), axis=1)
+    return np.stack((total(w), total(w * (block.y - raw[block.which, 0]))), axis=1)
+
+
 def labels_of(block: Block, spec: Spec) -> np.ndarray | None:
     return block.y.astype(np.int64) if spec.kind == "class" else None
 
@@ -193,8 +315,38 @@ def _score(s: np.ndarray, averaged: int) -> np.ndarray:
     return (s[..., 1: 1 + averaged] ** 2).sum(axis=-1) / np.maximum(s[..., 0], 1e-300)
 
 
-def best_splits(hist: np.ndarray, sizes: list[int], averaged: int, some: int, path: np.ndarray) -> list[tuple | None]:
-    """(feature, cut, gain, sums left, sums right) of each node, or None; ties go to the first feature and cut."""
+@dataclass
+class Splits:
+    """The best split of each node: whether there is one, feature, cut, gain, sums left and right."""
+
+    real: np.ndarray
+    feature: np.ndarray
+    cut: np.ndarray
+    gain: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+    @staticmethod
+    def of(found: list[tuple | None], width: int) -> Splits:
+        some = [f if f is not None else (0, 0, 0.0, np.zeros(width), np.zeros(width)) for f in found]
+        return Splits(np.array([f is not None for f in found]), *[np.array([f[i] for f in some]) for i in range(5)])
+
+
+def _chosen(gains: np.ndarray, cuts: np.ndarray, lefts: list[np.ndarray], total: np.ndarray, base: np.ndarray, some: int, path: np.ndarray) -> Splits:
+    """Ties go to the first feature."""
+    if some:  # the first few of a random order of the features that can be split at all
+        order = mix(path[:, None] ^ mix(np.arange(1, gains.shape[1] + 1, dtype=np.uint64))[None, :]).astype(float)
+        order[~np.isfinite(gains)] = np.inf
+        rank = order.argsort(axis=1).argsort(axis=1)
+        gains = np.where(rank < some, gains, -np.inf)
+    best, at = gains.argmax(axis=1), np.arange(len(gains))
+    left = np.array(lefts)[best, at]
+    gain = gains[at, best]
+    return Splits(gain > LEAST_GAIN * np.maximum(base, 1e-300), best, cuts[at, best], gain, left, total - left)
+
+
+def best_splits(hist: np.ndarray, sizes: list[int], averaged: int, some: int, path: np.ndarray) -> Splits:
+    """The best split of each node from the sums of all bins; ties go to the first feature and cut."""
     slots, total, at = len(hist), hist[:, : sizes[0]].sum(axis=1), 0
     base = _score(total, averaged)
     gains, cuts, lefts = np.full((slots, len(sizes)), -np.inf), np.zeros((slots, len(sizes)), np.int64), []
@@ -210,37 +362,51 @@ def best_splits(hist: np.ndarray, sizes: list[int], averaged: int, some: int, pa
             lefts.append(left[np.arange(slots), cuts[:, f]])
         else:
             lefts.append(np.zeros_like(total))
-    if some:  # the first few of a random order of the features that can be split at all
-        order = mix(path[:, None] ^ mix(np.arange(1, len(sizes) + 1, dtype=np.uint64))[None, :]).astype(float)
-        order[~np.isfinite(gains)] = np.inf
-        rank = order.argsort(axis=1).argsort(axis=1)
-        gains = np.where(rank < some, gains, -np.inf)
-    best = gains.argmax(axis=1)
-    out: list[tuple | None] = []
-    for i, f in enumerate(best):
-        if gains[i, f] > LEAST_GAIN * max(base[i], 1e-300):
-            out.append((int(f), int(cuts[i, f]), float(gains[i, f]), lefts[f][i], total[i] - lefts[f][i]))
-        else:
-            out.append(None)
-    return out
+    return _chosen(gains, cuts, lefts, total, base, some, path)
 
 
-def extend(tree: Tree, open_: np.ndarray, splits: list[tuple | None], classes: bool) -> np.ndarray:
+def sparse_splits(bins: np.ndarray, sizes: list[int], slot: np.ndarray, slots: int, stats: np.ndarray, averaged: int, some: int, path: np.ndarray) -> Splits:
+    """:func:`best_splits` of rows whose nodes are ``slot``, from the bins that hold rows only; every slot has rows."""
+    use = np.flatnonzero((slot >= 0) & (stats[:, 0] > 0))
+    slot, stats = slot[use].astype(np.int64), stats[use]
+    gains, cuts, lefts = np.full((slots, len(sizes)), -np.inf), np.zeros((slots, len(sizes)), np.int64), []
+    total = base = None
+    for f, size in enumerate(sizes):
+        key, at = np.unique(slot * size + bins[f, use], return_inverse=True)
+        sums = np.stack([np.bincount(at, weights=stats[:, k], minlength=len(key)) for k in range(stats.shape[1])], axis=1)
+        node = key // size
+        first = np.flatnonzero(np.diff(node, prepend=-1))
+        length = np.diff(np.append(first, len(key)))
+        for step in range(1, length.max()):  # running sums within each node, added in order
+            place = first[length > step] + step
+            sums[place] += sums[place - 1]
+        if total is None:
+            total = sums[first + length - 1]
+            base = _score(total, averaged)
+        right = total[node] - sums
+        real = (sums[:, 0] > 1e-9) & (right[:, 0] > 1e-9)
+        gain = np.where(real, _score(sums, averaged) + _score(right, averaged) - base[node], -np.inf)
+        gains[:, f] = np.maximum.reduceat(gain, first)
+        best = np.minimum.reduceat(np.where(gain == gains[node, f], np.arange(len(key)), len(key)), first)
+        cuts[:, f] = key[best] - node[best] * size
+        lefts.append(sums[best])
+    return _chosen(gains, cuts, lefts, total, base, some, path)
+
+
+def extend(tree: Tree, open_: np.ndarray, splits: Splits, classes: bool) -> np.ndarray:
     """Split the open nodes of a tree; returns its new open nodes (those of one class are done)."""
-    sums, paths, n = [], [], len(tree.left)
-    for node, s in zip(open_, splits):
-        if s is None:
-            continue
-        tree.feature[node], tree.cut[node], tree.gain[node], tree.left[node] = s[0], s[1], s[2], n + len(sums)
-        sums += [s[3], s[4]]
-        with np.errstate(over="ignore"):
-            paths += [mix(tree.path[node] * np.uint64(2) + np.uint64(side)) for side in (0, 1)]
-    more = len(sums)
+    real, n = np.flatnonzero(splits.real), len(tree.left)
+    node, more = open_[real], 2 * len(real)
     if more:
+        tree.feature[node], tree.cut[node], tree.gain[node] = splits.feature[real], splits.cut[real], splits.gain[real]
+        tree.left[node] = n + 2 * np.arange(len(real))
+        with np.errstate(over="ignore"):
+            paths = mix(tree.path[node][:, None] * np.uint64(2) + np.arange(2, dtype=np.uint64)[None, :]).ravel()
+        sums = np.stack((splits.left[real], splits.right[real]), axis=1).reshape(more, -1)
         grown = lambda x, fill: np.concatenate((x, np.full(more, fill, x.dtype)))
         tree.feature, tree.cut, tree.gain = grown(tree.feature, 0), grown(tree.cut, 0), grown(tree.gain, 0)
         tree.left, tree.sums = grown(tree.left, -1), np.concatenate((tree.sums, sums))
-        tree.path = np.concatenate((tree.path, np.array(paths, np.uint64)))
+        tree.path = np.concatenate((tree.path, paths))
     new = np.arange(n, n + more)
     return new[tree.sums[new, 1:].max(axis=1) < tree.sums[new, 0] * (1 - 1e-12)] if classes and more else new
 
@@ -251,19 +417,25 @@ def _slots(tree: Tree, open_: np.ndarray, node: np.ndarray) -> np.ndarray:
     return place[node]
 
 
-def grow_here(blocks: list[Block], sizes: list[int], spec: Spec, raws: list[np.ndarray] | None = None) -> Tree:
-    """One tree from blocks that are at hand."""
-    stats = [statistics(b, spec, raws[i] if raws else None) for i, b in enumerate(blocks)]
-    labels = [labels_of(b, spec) for b in blocks]
-    tree, open_ = Tree.root(sum(s.sum(axis=0) for s in stats), spec.seed), np.zeros(1, np.int64)
-    nodes = [np.zeros(b.bins.shape[1], np.int32) for b in blocks]
-    for _ in range(spec.depth):
-        hist = sum(histogram(b.bins, sizes, _slots(tree, open_, n), len(open_), s, y) for b, n, s, y in zip(blocks, nodes, stats, labels))
-        open_ = extend(tree, open_, best_splits(hist, sizes, width(spec), spec.some, tree.path[open_]), spec.kind == "class")
-        nodes = [tree.down(b.bins, 1, n) for b, n in zip(blocks, nodes)]
-        # a node of one packed row cannot be split
-        count = sum(np.bincount(n[s[:, 0] > 0], minlength=len(tree.left)) for n, s in zip(nodes, stats))
-        open_ = open_[count[open_] > 1]
+def grow_here(blocks: list[Block], sizes: list[int], spec: Spec, raws: list[np.ndarray] | None = None, held: list[dict] | None = None) -> Tree:
+    """One tree from blocks that are at hand; ``raws`` has a row a vector of each block."""
+    if len(blocks) != 1:
+        raise ValueError("a tree is grown on one block")
+    stats = vector_statistics(blocks[0], spec, raws[0] if raws else None, held[0] if held else None)
+    bins = blocks[0].vectors
+    tree, open_ = Tree.root(stats.sum(axis=0), spec.seed), np.zeros(1, np.int64)
+    node = np.zeros(bins.shape[1], np.int32)
+    live = stats[:, 0] > 0
+    for _ in range(spec.depth if live.any() else 0):
+        slot = _slots(tree, open_, node)
+        if len(open_) * sum(sizes) > 2 * bins.size:  # most bins of most nodes are empty
+            splits = sparse_splits(bins, sizes, slot, len(open_), stats, width(spec), spec.some, tree.path[open_])
+        else:
+            splits = best_splits(histogram(bins, sizes, slot, len(open_), stats), sizes, width(spec), spec.some, tree.path[open_])
+        open_ = extend(tree, open_, splits, spec.kind == "class")
+        node = tree.down(bins, 1, node)
+        # a node of one vector cannot be split
+        open_ = open_[np.bincount(node[live], minlength=len(tree.left))[open_] > 1]
         if not len(open_):
             break
     return tree
@@ -317,7 +489,7 @@ class Rows:
         if size <= LOCAL_BYTES:
             held = [pickle.loads(bytes(r["block"])) for r in self.blocks.collect()]
             one = Block(np.concatenate([b.bins for b in held], axis=1), *[np.concatenate([getattr(b, n) for b in held]) for n in ("w", "y", "ss", "fold", "ids")])
-            self.shared = self.spark.sparkContext.broadcast([one])
+            self.shared = self.spark.sparkContext.broadcast([one.with_vectors()])
 
     def each(self, jobs: list, work: Callable) -> list:
         """``work(blocks, job)`` for each job, one Spark task a job where cores allow; broadcast blocks only."""
@@ -394,7 +566,8 @@ class Rows:
                 t, slot = group.column("t")[0].as_py(), group.column("slot")[0].as_py()
                 spec, (tree, nodes) = shared.value[t], now.value[t]
                 hist = sum(np.frombuffer(h.as_py()) for h in group.column("h")).reshape(1, sum(sizes), -1)
-                split = best_splits(hist, sizes, width(spec), spec.some, tree.path[nodes[slot: slot + 1]])[0]
+                best = best_splits(hist, sizes, width(spec), spec.some, tree.path[nodes[slot: slot + 1]])
+                split = (best.feature[0], best.cut[0], best.gain[0], best.left[0], best.right[0]) if best.real[0] else None
                 return pa.table({"t": pa.array([t], pa.int32()), "slot": pa.array([slot], pa.int32()), "split": pa.array([cloudpickle.dumps(split)], pa.binary())})
 
             found = self.blocks.mapInArrow(level, "t int, slot int, h binary").groupBy("t", "slot").applyInArrow(choose, "t int, slot int, split binary")
@@ -403,7 +576,7 @@ class Rows:
                 splits[r["t"]][r["slot"]] = pickle.loads(bytes(r["split"]))
             after = {}
             for t, nodes in open_.items():
-                new = extend(trees[t], nodes, splits[t], specs[t].kind == "class")
+                new = extend(trees[t], nodes, Splits.of(splits[t], k[t]), specs[t].kind == "class")
                 if len(new) and specs[t].depth > _levels(trees[t]):
                     after[t] = new
             open_ = after
@@ -421,12 +594,13 @@ class Rows:
             def whole(blocks: list[Block], job: tuple) -> Booster:
                 (fold, depth, rate), start = job
                 booster = Booster(start, rate, classify)
-                raws = [booster.raw(b.bins) for b in blocks]
+                raws = [booster.raw(b.vectors) for b in blocks]
+                held: list[dict] = [{} for _ in blocks]
                 for _ in range(rounds):
-                    trees = [grow_here(blocks, sizes, Spec("boost", fold, depth, of=c, booster=booster), raws) for c in range(n)]
+                    trees = [grow_here(blocks, sizes, Spec("boost", fold, depth, of=c, booster=booster), raws, held) for c in range(n)]
                     booster.rounds.append([(t, leaf_values(t, booster)) for t in trees])
-                    raws = [booster.raw(b.bins, len(booster.rounds) - 1, r) for b, r in zip(blocks, raws)]
-                    booster.scores.append(left_out_score(blocks, raws, fold, classify))
+                    raws = [booster.raw(b.vectors, len(booster.rounds) - 1, r) for b, r in zip(blocks, raws)]
+                    booster.scores.append(left_out_score(blocks, [r[b.which] for b, r in zip(blocks, raws)], fold, classify))
                 return booster
 
             return self.each(list(zip(jobs, starts)), whole)

@@ -190,8 +190,9 @@ def cv_scores(name: str, table: TrainingTable, grid: list[dict]) -> list[tuple[i
             tree = grower.grow_here(blocks, sizes, spec)
             value = _means(tree, columns)
             for i, d in enumerate(chosen):
-                sums[i] = sums[i] + np.concatenate([value[tree.down(b.bins[:, b.fold == job[0]], d)] for b in blocks])
-        return sums
+                sums[i] = sums[i] + np.concatenate([value[tree.down(b.vectors, d)] for b in blocks])
+        whose = np.concatenate([b.which[b.fold == job[0]] for b in blocks])  # of the one block
+        return [total[whose] for total in sums]
 
     got = dict(zip(((f, b) for f in folds for b in ends), rows.each(jobs, chunk)))
     blocks, out = rows.shared.value, []
