@@ -30,7 +30,7 @@ RECALL = 0.94
 BLOCK = 1024
 SLACK = 1e-9
 HELD_ROWS = 1 << 20  # scored rows (24 bytes each) that a task holds before it sorts out the best of each query
-GROUP_BYTES = 32 << 20  # of the vectors of one group of queries or rows
+GROUP_BYTES = 16 << 20  # of the vectors of one group of queries or rows
 
 
 @dataclass
@@ -288,7 +288,8 @@ def search(
             ids, xs, leaves = (rows.column(c).combine_chunks() for c in ("id", "v", "leaves"))
             vs, xs, reps, ids = _matrix(vs, dim), _matrix(xs, dim), reps.to_numpy(), ids.to_numpy()
             leaves, best = leaves.flatten().to_numpy().reshape(len(ids), -1), _Best(vs, xs, most)
-            bits = np.frombuffer(b"".join(seen.to_pylist()), dtype=np.uint8).reshape(len(reps), len(sizes), -1)
+            begin, end = (seen.buffers()[1].to_pybytes()[4 * i: 4 * i + 4] for i in (seen.offset, seen.offset + len(seen)))
+            bits = np.frombuffer(seen.buffers()[2], dtype=np.uint8)[int.from_bytes(begin, "little"): int.from_bytes(end, "little")].reshape(len(reps), len(sizes), -1)
             for t in range(leaves.shape[1]):
                 met = np.unpackbits(bits[:, t], axis=1).T
                 order = np.argsort(leaves[:, t], kind="stable")
