@@ -207,7 +207,7 @@ def first_doubles(seeds: np.ndarray, n: int) -> list[np.ndarray]:
 class Block:
     """Packed rows: ``bins`` (features x rows), weight, target, spread inside the row, fold and an id.
 
-    Blocks that are at hand also have the distinct columns of ``bins`` and which of them each row is: a tree is grown on these.
+    Blocks that are at hand also have the distinct columns of ``bins`` and which of them each row is: trees of classes are grown on these.
     """
 
     bins: np.ndarray
@@ -251,33 +251,24 @@ def statistics(block: Block, spec: Spec, raw: np.ndarray | None = None) -> np.nd
 
 
 def vector_statistics(block: Block, spec: Spec, raw: np.ndarray | None = None, held: dict | None = None) -> np.ndarray:
-    """:func:`statistics` added up over the rows of each distinct vector; ``raw`` has a row a vector, ``held`` keeps what rounds share."""
+    """:func:`statistics` of classes, added up over the rows of each distinct vector; ``raw`` has a row a vector, ``held`` keeps what rounds share."""
     size = block.vectors.shape[1]
-
-    def total(v: np.ndarray) -> np.ndarray:
-        return np.bincount(block.which, weights=v, minlength=size)
-
     held = {} if held is None else held
     if "w" not in held:
         held["w"] = np.where(block.fold != spec.fold, block.w, 0.0)
         if spec.bootstrap:
             live = held["w"] > 0
             held["w"][live] = poisson(block.w[live], block.ids[live], spec.seed)
-    w = held["w"]
-    if spec.kind == "mean":
-        return np.stack((total(w), total(w * block.y)), axis=1)
-    if spec.kind == "class" or spec.booster.classify:
-        if "classes" not in held:
-            k = spec.n_labels or len(spec.booster.start)
-            place = block.which * k + block.y.astype(np.int64)
-            held["classes"] = np.bincount(place, weights=w, minlength=size * k).reshape(size, k)
-        classes = held["classes"]
-        weight = classes.sum(axis=1)
-        if spec.kind == "class":
-            return np.concatenate((weight[:, None], classes), axis=1)
-        p = softmax(raw)[:, spec.of]
-        return np.stack((weight, classes[:, spec.of] * (1 - p) - (weight - classes[:, spec.of]) * p, weight * p * (1 - p)), axis=1)
-    return np.stack((total(w), total(w * (block.y - raw[block.which, 0]))), axis=1)
+    if "classes" not in held:
+        k = spec.n_labels or len(spec.booster.start)
+        place = block.which * k + block.y.astype(np.int64)
+        held["classes"] = np.bincount(place, weights=held["w"], minlength=size * k).reshape(size, k)
+    classes = held["classes"]
+    weight = classes.sum(axis=1)
+    if spec.kind == "class":
+        return np.concatenate((weight[:, None], classes), axis=1)
+    p = softmax(raw)[:, spec.of]
+    return np.stack((weight, classes[:, spec.of] * (1 - p) - (weight - classes[:, spec.of]) * p, weight * p * (1 - p)), axis=1)
 
 
 def labels_of(block: Block, spec: Spec) -> np.ndarray | None:
@@ -421,8 +412,11 @@ def grow_here(blocks: list[Block], sizes: list[int], spec: Spec, raws: list[np.n
     """One tree from blocks that are at hand; ``raws`` has a row a vector of each block."""
     if len(blocks) != 1:
         raise ValueError("a tree is grown on one block")
-    stats = vector_statistics(blocks[0], spec, raws[0] if raws else None, held[0] if held else None)
-    bins = blocks[0].vectors
+    block, raw = blocks[0], raws[0] if raws else None
+    if spec.kind == "class" or spec.kind == "boost" and spec.booster.classify:
+        bins, stats = block.vectors, vector_statistics(block, spec, raw, held[0] if held else None)
+    else:  # sums of targets depend on their order in the last digits, which decide between equal splits, so rows are added one by one
+        bins, stats = block.bins, statistics(block, spec, None if raw is None else raw[block.which])
     tree, open_ = Tree.root(stats.sum(axis=0), spec.seed), np.zeros(1, np.int64)
     node = np.zeros(bins.shape[1], np.int32)
     live = stats[:, 0] > 0
@@ -434,7 +428,7 @@ def grow_here(blocks: list[Block], sizes: list[int], spec: Spec, raws: list[np.n
             splits = best_splits(histogram(bins, sizes, slot, len(open_), stats), sizes, width(spec), spec.some, tree.path[open_])
         open_ = extend(tree, open_, splits, spec.kind == "class")
         node = tree.down(bins, 1, node)
-        # a node of one vector cannot be split
+        # a node of one vector or row cannot be split
         open_ = open_[np.bincount(node[live], minlength=len(tree.left))[open_] > 1]
         if not len(open_):
             break

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chromaspark.functions.reuse import keep
 from chromaspark.models.base import SCORES, Model, TrainingTable
-from chromaspark.operators.moments import Scaler
-from chromaspark.operators.neighbours import KnnIndex, as_vectors, distinct_vectors, fit_knn, knn_predict
-from chromaspark.schema import quoted
+from chromaspark.operators.moments import Scaler, fit_scaler
+from chromaspark.operators.neighbours import KnnIndex, as_vectors, first_members, fit_knn, knn_predict
+from chromaspark.schema import RUN_ID, quoted
 
 
 @dataclass
@@ -56,24 +57,37 @@ def _votes_for(near: DataFrame, sizes: list[int], classify: bool) -> DataFrame:
     return votes.groupBy("qid").agg(*[F.expr(f"-max(struct(c{i}, -y)).col2 AS p{i}") for i in range(len(sizes))])
 
 
-def cv_scores(table: TrainingTable, grid: list[dict]) -> list[tuple[int, int, float]]:
-    """``(grid_id, fold, score)``; one neighbour search per fold serves every k of the grid."""
+def cv_scores(table: TrainingTable, grid: list[dict], parallelism: int = 3) -> list[tuple[int, int, float]]:
+    """``(grid_id, fold, score)``; one neighbour search per fold serves every k of the grid.
+
+    The distinct vectors and first members of all folds are taken from the rows once; what a fold leaves follows from them.
+    """
     sizes = [int(p.get("n_neighbors", 5)) for p in grid]
-    classify = table.task == "classification"
-    out = []
-    for f in range(table.folds):
-        train, test = table.rows.where(F.col("fold") != f), table.rows.where(F.col("fold") == f)
-        index = fit_knn(train, table.features, max(sizes), "y")
-        asked = distinct_vectors(test, table.features)
+    classify, k = table.task == "classification", max(sizes)
+    names = [quoted(c) for c in table.features]
+    least = keep(table.rows.groupBy(*names, "fold").agg(F.min(RUN_ID).alias("id"), F.count(F.lit(1)).cast("double").alias("w")))
+    over = ", ".join([*names, "fold"])
+    ranked = table.rows.selectExpr("*", f"row_number() OVER (PARTITION BY {over} ORDER BY {RUN_ID}) AS rn")
+    few = keep(ranked.where(f"rn <= {k}").drop("rn"))
+
+    def one(f: int) -> list[tuple[int, int, float]]:
+        rest = F.col("fold") != f
+        scaler = fit_scaler(table.rows.where(rest), table.features)
+        vectors = least.where(rest).groupBy(*names).agg(F.min("id").alias("id"), F.sum("w").alias("w"))
+        members = keep(first_members(few.where(rest), table.features, k, ["y"]))
+        index = KnnIndex(list(table.features), scaler, k, keep(as_vectors(vectors, scaler, table.features)), members, "y")
+        asked = least.where(F.col("fold") == f)
         near = index.vector_neighbours(as_vectors(asked, index.scaler, table.features))
         said = _votes_for(near, sizes, classify).withColumnRenamed("qid", "id")
-        named = asked.select("id", *[quoted(c) for c in table.features]).join(said, "id")
+        named = asked.select("id", *names).join(said, "id")
         scored = table.packed.where(F.col("fold") == f).join(named, list(table.features))
         row = scored.selectExpr(*[
             f"{SCORES[table.task].replace('prediction', f'p{i}')} AS s{i}" for i in range(len(grid))
         ]).first()
-        out += [(i, f, float(row[f"s{i}"])) for i in range(len(grid)) if row[f"s{i}"] is not None]
-    return out
+        return [(i, f, float(row[f"s{i}"])) for i in range(len(grid)) if row[f"s{i}"] is not None]
+
+    with ThreadPool(max(1, parallelism)) as pool:  # the jobs of a fold are short
+        return [score for scores in pool.map(one, range(table.folds), chunksize=1) for score in scores]
 
 
 def load(spark: SparkSession, path: str, head: dict) -> KnnModel:

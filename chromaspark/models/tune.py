@@ -73,7 +73,7 @@ def grid_search(name: str, table: TrainingTable, grid: list[dict], parallelism:
     if regression and name in cat.LINEAR:
         scores = linear.cv_scores(name, linear.fold_grams(table), grid)
     elif name == "KNN":
-        scores = knn.cv_scores(table, grid)
+        scores = knn.cv_scores(table, grid, parallelism)
     elif name in trees.NAMES[table.task]:
         scores = trees.cv_scores(name, table, grid)
     else:

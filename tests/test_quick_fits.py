@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
-from chromaspark.models import grower, kernel
+from chromaspark.models import grower, kernel, knn
+from chromaspark.models.base import training_table
+from chromaspark.operators import neighbours, split
 
 
 def test_draws_of_many_rows_are_those_of_a_generator_each():
@@ -63,3 +65,20 @@ def test_an_svr_of_few_targets_takes_no_job_a_step(spark, monkeypatch):
     monkeypatch.setattr(kernel, "row_sums", sums)
     here = kernel.fit_svr(rows, ["a", "b"], {"C": 1.0}, n_features=16)
     assert here.converged and np.isclose(here.history[-1], far.history[-1], rtol=1e-6)
+
+
+def test_neighbour_search_takes_the_rows_of_all_folds_once(spark, ds, monkeypatch):
+    rows = split.hash_folds(ds.df.where("Retention_Time_min IS NOT NULL"))
+    table = training_table(rows, ds.features, "Retention_Time_min", "regression")
+    want = []
+    for f in range(3):
+        index = neighbours.fit_knn(table.rows.where(f"fold <> {f}"), table.features, 4, "y")
+        test = table.rows.where(f"fold = {f}").withColumnRenamed("y", "actual")
+        for i, k in enumerate((2, 4)):
+            index.k = k
+            said = neighbours.knn_predict(index, test, False).selectExpr("sqrt(avg(power(actual - prediction, 2))) AS s").first()["s"]
+            want.append((i, f, said))
+    monkeypatch.setattr(knn, "fit_knn", None)
+    got = knn.cv_scores(table, [{"n_neighbors": 2}, {"n_neighbors": 4}])
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.allclose([g[2] for g in got], [w[2] for w in want])
